@@ -10,8 +10,10 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from tenderglow import rules as R
+from tenderglow import schemas
 from tenderglow.session import ensure_utc, spread
 
 RECORDS_NOW = datetime(2001, 7, 15, 12, 0, tzinfo=timezone.utc)
@@ -250,3 +252,62 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         _utc("o_orderdate").alias("fetched_at"),
         F.lit(None).cast("timestamp").alias("normalized_at"),
     )
+
+
+# ---- a record table and a batch that meets it in every way ---------------------------------------
+
+
+def current_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third record as the stored table."""
+    third = records(spark, sf_dir).filter(F.col("id") % 3 == 0)
+    have = set(third.columns)
+    return third.select(
+        *[
+            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in S.StructType.fromDDL(schemas.RECORD)
+        ]
+    )
+
+
+def notice_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other records as notices: known links, links shared by three, shared CIGs."""
+    k = F.col("id")
+    customer_cig = F.concat(F.lit("C"), F.lpad(F.substring("ente", 10, 9), 9, "0"))
+    known, lone = k % 3 == 1, (k % 3 == 2) & (k % 7 == 0)
+    text = k.cast("string")
+    site = F.lit("https://notices.example.com/")
+    group = F.floor(k / 9).cast("string")
+    return records(spark, sf_dir).filter(k % 3 != 0).select(
+        k.alias("raw_id"),
+        F.col("data_pubblicazione").alias("fetched_at"),
+        "source_priority_rank",
+        F.when(known, F.concat(site, F.lit("t/"), (k - 1).cast("string")))
+        .when(lone, F.concat(site, F.lit("u/"), text))
+        .otherwise(F.concat(site, F.lit("n/"), group)).alias("link_bando"),
+        F.when(k % 2 == 0, F.col("descrizione")).alias("descrizione"),
+        F.when(k % 4 != 1, F.col("data_pubblicazione")).alias("data_pubblicazione"),
+        F.when(k % 5 != 4, F.col("scadenza")).alias("scadenza"),
+        F.when(k % 8 < 4, F.lit("aperta")).alias("tipologia_gara_procedura"),
+        F.when(k % 5 == 1, pick(INSTRUMENTS, k)).alias("tipo_strumento"),
+        "regione",
+        "provincia",
+        F.when(k % 2 == 1, F.concat(F.lit("Comune "), text)).alias("comune"),
+        F.when(known & (k % 5 == 2), F.concat(F.lit("X"), F.lpad(text, 9, "0")))
+        .when(lone, customer_cig)
+        .when((k % 3 == 2) & (k % 5 == 3), F.concat(F.lit("Y"), F.lpad(group, 9, "0")))
+        .alias("cig"),
+        F.when(k % 6 == 1, F.lit(0).cast("decimal(18,2)"))
+        .when(k % 6 != 2, F.col("importo")).alias("importo"),
+        F.array_compact(
+            F.array(
+                F.when(k % 4 == 0, "PPP"), F.when(k % 5 == 0, "LED"), F.when(k % 6 == 1, "PNRR")
+            )
+        ).alias("tag_tecnico"),
+        *R.FLAGS,
+        "stato_procedurale",
+        pick(("Alta", "Media", "Bassa"), k).alias("reliability_index"),
+        "macrosettore",
+        pick(("L1", "L2", "L3"), F.floor(k / 3)).alias("validation_level"),
+        "is_weak_evidence",
+        "ente",
+    )
