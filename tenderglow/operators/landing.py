@@ -140,7 +140,7 @@ def touch_sources(sources: DataFrame, metrics: DataFrame, now: datetime) -> Data
     return (
         sources.join(checked, "id", "left")
         .withColumn(
-            "last_checked_at", F.when("_done", V.at(now)).otherwise(F.col("last_checked_at"))
+            "last_checked_at", F.when(F.col("_done"), V.at(now)).otherwise(F.col("last_checked_at"))
         )
         .select(*sources.columns)
     )

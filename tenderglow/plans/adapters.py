@@ -212,8 +212,14 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as raw records: repeated links, shared CIGs, gaps, several spellings of a value."""
-    o = load(spark, sf_dir, "orders", busy=True)
+    return raw_records_of(load(spark, sf_dir, "orders", busy=True))
+
+
+def raw_records_of(o: DataFrame) -> DataFrame:
+    """Orders as raw records: repeated links, shared CIGs, gaps, several spellings of a value.
+
+    Works on a stream of orders too.
+    """
     k = F.col("o_orderkey")
     cust = F.col("o_custkey").cast("string")
     money = F.col("o_totalprice").cast("decimal(18,2)") * 20

@@ -3,6 +3,8 @@
 from tenderglow.plans import (  # noqa: F401
     queries_columns,
     queries_records,
+    queries_sources,
+    queries_streams,
 )
 from tenderglow.plans.registry import ORACLES, QUERIES
 

@@ -330,3 +330,43 @@ folded AS (
       CASE WHEN led THEN 'LED' END, CASE WHEN pnrr THEN 'PNRR' END) END) AS first_tags
   FROM numbered GROUP BY target_id
 )"""
+
+# Where the notices of RAW go when no record is stored yet. A CIG belongs to one customer here: its
+# first notice holds it, later ones with that CIG join unless their own link is open by then.
+PLACED_RAW = NOTICES + """,
+ordered AS (
+  SELECT *, strftime(fetched_at, '%Y%m%d') || lpad(CAST(raw_id AS VARCHAR), 12, '0') AS seq FROM typed
+),
+held AS (
+  SELECT cig, min(seq) AS held_from, arg_min(link_bando, seq) AS held_link
+  FROM ordered WHERE cig IS NOT NULL GROUP BY cig
+),
+joined AS (
+  SELECT o.*, held_link, coalesce(seq > held_from, false) AS joins
+  FROM ordered o LEFT JOIN held h ON o.cig = h.cig
+),
+opened AS (SELECT link_bando, min(seq) AS opened_at FROM joined WHERE NOT joins GROUP BY link_bando),
+goes AS (
+  SELECT j.*, CASE WHEN seq >= opened_at THEN j.link_bando ELSE held_link END AS target_link
+  FROM joined j LEFT JOIN opened o ON j.link_bando = o.link_bando
+),
+counted AS (
+  SELECT *, row_number() OVER (PARTITION BY target_link ORDER BY seq) AS rn,
+    row_number() OVER (PARTITION BY target_link ORDER BY seq DESC) AS from_end,
+    count(*) OVER (PARTITION BY target_link) AS n
+  FROM goes
+),
+merged AS (
+  SELECT target_link AS link_bando, max(CASE WHEN rn = 1 THEN ente END) AS ente,
+    arg_min(descrizione, seq) AS descrizione, arg_min(cig, seq) AS cig,
+    coalesce(max(CASE WHEN rn = 1 THEN importo END),
+      arg_min(CASE WHEN importo <> 0 THEN importo END, seq)) AS importo,
+    max(CASE WHEN rn = 1 THEN rank END) AS rank, max(validation_level) AS validation_level,
+    max(flag_om) AS flag_om, max(CASE WHEN from_end = 1 THEN stato_procedurale END) AS stato_procedurale,
+    CASE WHEN max(CASE WHEN from_end = 1 THEN stato_procedurale END) = 'PRE-GARA'
+        THEN 'Segnale pre-gara'
+      WHEN max(n) > 1 THEN 'Aggiornamento gara nota'
+      WHEN max(CASE WHEN rn = 1 THEN data_pubblicazione END) < DATE '2001-07-15'
+        THEN 'Nuovo emerso oggi ma pubblicato prima' ELSE 'Nuovo oggi' END AS tipo_novita
+  FROM counted GROUP BY target_link
+)"""

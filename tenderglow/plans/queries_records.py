@@ -191,7 +191,23 @@ def upsert_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _record_view(merged.filter(F.length("id") == 64))
 
 
-@query()
+_KEYED_RAW = O.PLACED_RAW + """,
+keyed AS (
+  SELECT *, sha256('record|' || link_bando) AS id, CASE WHEN cig IS NOT NULL THEN 'cig:' || cig
+    ELSE 'eo:' || substr(lower(ente), 1, 28) || '|' || substr(lower(coalesce(descrizione, '')), 1, 38)
+      || '|' || coalesce(CAST(CAST(round_even(CAST(importo AS DOUBLE) / 50000, 0) * 50000 AS BIGINT)
+        AS VARCHAR), 'x') END AS dedup_key
+  FROM merged),
+best AS (SELECT dedup_key, arg_min(id, lpad(CAST(rank AS VARCHAR), 4, '0') || id) AS best
+  FROM keyed GROUP BY dedup_key)"""
+
+
+@query(f"""
+WITH {_KEYED_RAW}
+SELECT id, link_bando, ente, cig, stato_procedurale, tipo_novita, k.dedup_key,
+  CASE WHEN id <> best THEN best END AS master_record_id
+FROM keyed k JOIN best b ON k.dedup_key = b.dedup_key
+""")
 def daily_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw records through normalise, merge, deduplicate and score; no stored records yet."""
     empty = spark.createDataFrame([], schemas.RECORD)
@@ -200,7 +216,7 @@ def daily_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return out.select(
         "id", "link_bando", "ente", "cig", "stato_procedurale", "tipo_novita", "dedup_key",
-        "master_record_id", "score_commerciale", "priorita_commerciale",
+        "master_record_id",
     )
 
 

@@ -118,6 +118,6 @@ def mark_scanned(items: DataFrame, scanned: DataFrame, now: datetime) -> DataFra
     done = scanned.select(F.col("item_id").alias("id"), F.lit(True).alias("_done")).distinct()
     return (
         items.join(done, "id", "left")
-        .withColumn("last_scan_at", F.when("_done", V.at(now)).otherwise(F.col("last_scan_at")))
+        .withColumn("last_scan_at", F.when(F.col("_done"), V.at(now)).otherwise(F.col("last_scan_at")))
         .select(*items.columns)
     )

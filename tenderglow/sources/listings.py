@@ -7,6 +7,7 @@ dates, scope and duplicates are columns.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime
@@ -14,6 +15,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ from tenderglow.operators.landing import first_per_key, gate
 
 MAX_ROWS = 100
 
+# Executors need not have this package installed: the page parser travels with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass(frozen=True)
 class Profile:
