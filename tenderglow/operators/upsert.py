@@ -32,6 +32,13 @@ OPENING = ("ente", "link_bando", "source_priority_rank", "is_weak_evidence", "ma
 
 _ORDER = ("fetched_at", "raw_id")
 
+# What to do with an intermediate table that is read more than once.
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def _as_is(df: DataFrame) -> DataFrame:
+    return df
+
 
 def record_id(link: Column) -> Column:
     """Deterministic id of a record opened for a link, equal across retries and re-runs."""
@@ -81,7 +88,7 @@ def match_existing(batch: DataFrame, current: DataFrame) -> DataFrame:
     return joins.lookup(linked, by_cig, "cig", spread_by="link_bando")
 
 
-def resolve_targets(batch: DataFrame, current: DataFrame) -> DataFrame:
+def resolve_targets(batch: DataFrame, current: DataFrame, keep: Keep = _as_is) -> DataFrame:
     """(link, cig) pairs with the record their notices go to.
 
     Besides the current records this follows what the batch itself opens. A CIG is *held* from
@@ -90,7 +97,7 @@ def resolve_targets(batch: DataFrame, current: DataFrame) -> DataFrame:
     opened, a link takes all its later notices. ``before`` is where notices ordered before
     ``opened_at`` go, ``target`` where the rest goes.
     """
-    pairs = match_existing(batch, current)
+    pairs = keep(match_existing(batch, current))
 
     # The first CIG each open-ended link brings, and when; links whose record has one bring none.
     brings = (
@@ -143,11 +150,11 @@ def resolve_targets(batch: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def assign_targets(
-    batch: DataFrame, current: DataFrame, hot_rows: int = joins.HOT_ROWS
+    batch: DataFrame, current: DataFrame, hot_rows: int = joins.HOT_ROWS, keep: Keep = _as_is
 ) -> DataFrame:
     """The batch with ``target_id``; pairs repeated very often do not meet in one task."""
     pair = F.to_json(F.struct("link_bando", "cig"))
-    targets = resolve_targets(batch, current).withColumn("_pair", pair)
+    targets = keep(resolve_targets(batch, current, keep).withColumn("_pair", pair))
     out = joins.attach(
         batch.withColumn("_pair", pair),
         targets.select("_pair", "opened_at", "before", "target"),
@@ -294,12 +301,13 @@ def upsert(
     *,
     tag_rules: R.TagRules = R.TagRules(),
     hot_rows: int = joins.HOT_ROWS,
-    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+    keep: Keep = _as_is,
 ) -> DataFrame:
     """Whole step: resolve, fold, merge.
 
-    The notices and the folded batch are both read twice; ``keep`` (for one,
-    ``session.cut_lineage``) lets a job store them in between.
+    Notices, key pairs, targets and the folded batch are each read several times. A job passes
+    ``keep=session.cut_lineage``, so that each is computed once and the record table is scanned
+    three times (by link, by CIG, for the merge). Without it everything stays one lazy plan.
     """
-    placed = assign_targets(keep(batch), current, hot_rows)
+    placed = assign_targets(keep(batch), current, hot_rows, keep)
     return merge(current, keep(fold_batch(placed, tag_rules)), now)
