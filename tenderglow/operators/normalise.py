@@ -12,6 +12,7 @@ from tenderglow.functions import jsonvals as J
 from tenderglow.functions import text as T
 from tenderglow.functions import values as V
 
+PREVALIDATED = "perimeter_prevalidated"
 # Amounts keep this precision until the threshold and zero tests are done.
 _EXACT = "decimal(38,10)"
 
@@ -40,12 +41,14 @@ def _hint(df: DataFrame, name: str) -> Column:
 def with_scope(df: DataFrame, scope: R.ScopeRules = R.ScopeRules()) -> DataFrame:
     """Add the parsed document and ``in_scope`` (prevalidated, or scored in scope)."""
     combined = T.join_filled(" ", F.col("raw_title"), F.col("raw_body"))
+    # The document is parsed for this only where the key occurs in it at all.
+    named = F.coalesce(F.col("extracted_json").contains(PREVALIDATED), F.lit(False))
     return (
         df.withColumn("_doc", J.parsed(F.col("extracted_json")))
         .withColumn("_text", combined)
         .withColumn(
             "in_scope",
-            J.truthy(F.col("_doc"), "perimeter_prevalidated") | T.in_scope(F.col("_text"), scope),
+            (named & J.truthy(F.col("_doc"), PREVALIDATED)) | T.in_scope(F.col("_text"), scope),
         )
     )
 
