@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,37 +36,47 @@ def with_dedup_key(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     )
 
 
-def elect_master(records: DataFrame, hot_rows: int = joins.HOT_ROWS) -> DataFrame:
+def elect_master(
+    records: DataFrame,
+    hot_rows: int = joins.HOT_ROWS,
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> DataFrame:
     """Set ``master_record_id``: null on masters, the master's id on duplicates.
 
     The master of a key is the row of lowest source rank (0 or none counts as last), then the
-    earliest seen, then the lowest id. It is elected by an aggregate, which combines on the map
-    side, and attached by a join that keeps frequent keys (say, notices without a buyer) out of
-    single tasks. Groups of one never reach the join.
+    earliest seen, then the lowest id. Groups are formed on four narrow columns (which ``keep``
+    may store): an aggregate that combines map-side elects, and a join that keeps frequent keys
+    (say, notices without a buyer) out of single tasks attaches. What comes back to the records
+    is one row per duplicate, by id, so whole records move only if there are too many duplicates
+    to broadcast.
     """
     rank = F.coalesce(
         F.when(F.col("source_priority_rank") != 0, F.col("source_priority_rank")),
         F.lit(R.UNKNOWN_RANK),
     )
+    narrow = keep(
+        records.filter(F.col("dedup_key").isNotNull()).select(
+            "id", "dedup_key", rank.alias("rank"), "first_seen_at"
+        )
+    )
     groups = (
-        records.groupBy("dedup_key")
+        narrow.groupBy("dedup_key")
         .agg(
-            F.min_by("id", F.struct(rank, F.col("first_seen_at"), F.col("id"))).alias("_master"),
+            F.min_by("id", F.struct("rank", "first_seen_at", "id")).alias("master_record_id"),
             F.count("*").alias("n"),
         )
         .filter("n > 1")
     )
-    out = joins.attach(
-        records.drop("master_record_id"),
-        groups.select("dedup_key", "_master"),
-        "dedup_key",
-        counts=groups,
-        spread_by="id",
+    members = joins.attach(
+        narrow.select("id", "dedup_key"), groups, "dedup_key", group_size="n", spread_by="id",
         hot_rows=hot_rows,
     )
-    return out.withColumn(
-        "master_record_id", F.when(F.col("_master") != F.col("id"), F.col("_master"))
-    ).drop("_master")
+    duplicates = members.filter(F.col("master_record_id") != F.col("id")).drop("dedup_key")
+    return (
+        records.drop("master_record_id")
+        .join(duplicates, "id", "left")
+        .select(*dict.fromkeys([*records.columns, "master_record_id"]))
+    )
 
 
 def duplicate_counts(records: DataFrame) -> DataFrame:

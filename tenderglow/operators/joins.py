@@ -36,8 +36,8 @@ def attach(
     right: DataFrame,
     key: str,
     *,
-    counts: DataFrame | None = None,
     spread_by: str,
+    group_size: str | None = None,
     hot_rows: int = HOT_ROWS,
     hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
@@ -45,24 +45,28 @@ def attach(
 
     Rows of a hot key get their columns from a broadcast of at most ``hot_keys`` rows. In the
     shuffled join they carry a key made of ``spread_by`` that matches nothing, so they spread
-    over all tasks instead of meeting in one. ``counts`` (``key``, ``n``) saves a pass over
-    ``left`` when the caller already has the group sizes.
+    over all tasks instead of meeting in one. ``group_size`` names a column of ``right`` with the
+    number of left rows per key; without it the keys of ``left`` are counted first.
     """
-    if counts is None:
-        counts = left.groupBy(key).agg(F.count("*").alias("n"))
-    values = [c for c in right.columns if c != key]
-    hottest = (
-        counts.filter((F.col("n") > hot_rows) & F.col(key).isNotNull())
-        .orderBy(F.desc("n"), key)
-        .limit(hot_keys)
-        .select(key)
-    )
-    hot = F.broadcast(
-        right.join(F.broadcast(hottest), key, "left_semi").select(
-            F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot")
+    values = [c for c in right.columns if c not in (key, group_size)]
+    if group_size:
+        sized = right.withColumn("_n", F.col(group_size))
+    else:
+        counted = (
+            left.groupBy(key)
+            .agg(F.count("*").alias("_n"))
+            .filter(F.col("_n") > hot_rows)
+            .orderBy(F.desc("_n"), key)
+            .limit(hot_keys)
         )
+        sized = right.join(F.broadcast(counted), key)
+    hot = (
+        sized.filter((F.col("_n") > hot_rows) & F.col(key).isNotNull())
+        .orderBy(F.desc("_n"), key)
+        .limit(hot_keys)
+        .select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
     )
-    marked = left.join(hot, F.col(key) == F.col("_hot_key"), "left")
+    marked = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     # Hot rows need no match here, so they are keyed like null keys.
     shuffled = F.when(F.col("_hot_key").isNull(), F.col(key))
     joined_key = _spread_key(shuffled, F.col(spread_by))

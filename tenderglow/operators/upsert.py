@@ -75,19 +75,32 @@ def key_collisions(current: DataFrame) -> DataFrame:
 def match_existing(batch: DataFrame, current: DataFrame) -> DataFrame:
     """Distinct (link, cig) pairs of the batch with the current record each one hits.
 
-    Link first, CIG second. Works on pairs, so repeats of a notice cost nothing in the joins.
+    Link first, CIG second. Works on pairs, so repeats of a notice cost nothing in the joins, and
+    on the current records whose key is in the batch at all: for a batch small enough to
+    broadcast the record table is filtered in the scan and not shuffled.
     """
     pairs = batch.groupBy("link_bando", "cig").agg(
         F.min(_order()).alias("t"), F.count("*").alias("n")
     )
-    by_link = _oldest_per(current, "link_bando", "cig").select(
+
+    def asked(key: str) -> DataFrame:
+        keys = pairs.select(key).filter(F.col(key).isNotNull()).distinct()
+        return current.join(keys, key, "left_semi")
+
+    by_link = _oldest_per(asked("link_bando"), "link_bando", "cig").select(
         "link_bando", F.col("id").alias("id_by_link"), T.filled(F.col("cig")).alias("held_cig")
     )
-    by_cig = _oldest_per(current, "cig").select("cig", F.col("id").alias("id_by_cig"))
+    by_cig = _oldest_per(asked("cig"), "cig").select("cig", F.col("id").alias("id_by_cig"))
     linked = pairs.join(by_link, "link_bando", "left")
     return joins.lookup(linked, by_cig, "cig", spread_by="link_bando")
 
 
+def _place(record: Column, opens: Column | bool) -> Column:
+    """A target: record id and whether the batch itself opens that record."""
+    flag = opens if isinstance(opens, Column) else F.lit(opens)
+    return F.when(record.isNotNull(), F.struct(record.alias("id"), flag.alias("opens")))
+
+
 def resolve_targets(batch: DataFrame, current: DataFrame, keep: Keep = _as_is) -> DataFrame:
     """(link, cig) pairs with the record their notices go to.
 
@@ -95,7 +108,10 @@ def resolve_targets(batch: DataFrame, current: DataFrame, keep: Keep = _as_is) -
     the first notice that brings it to a record without one; a notice without a record for its
     link joins the holder of its CIG when that came earlier, and opens a record otherwise. Once
     opened, a link takes all its later notices. ``before`` is where notices ordered before
-    ``opened_at`` go, ``target`` where the rest goes.
+    ``opened_at`` go, ``target`` where the rest goes, both as (``id``, ``opens``).
+
+    This equals applying the notices one by one as long as no link brings two different CIGs in
+    one batch; of those the first counts as the one the link holds.
     """
     pairs = keep(match_existing(batch, current))
 
@@ -113,59 +129,54 @@ def resolve_targets(batch: DataFrame, current: DataFrame, keep: Keep = _as_is) -
             F.first("id_by_link").alias("id_by_link"),
         )
     )
-    # Earliest holder per CIG, as the id of the record it sits in.
-    holder_id = F.coalesce("id_by_link", record_id(F.col("link_bando")))
-    holders = (
-        brings.groupBy("cig")
-        .agg(
-            F.min_by(holder_id, "held_from").alias("id_by_new_cig"),
-            F.min("held_from").alias("held_from"),
-        )
+    # Earliest holder per CIG, as the record it sits in.
+    holder = _place(
+        F.coalesce("id_by_link", record_id(F.col("link_bando"))), F.col("id_by_link").isNull()
+    )
+    holders = brings.groupBy("cig").agg(
+        F.min_by(holder, "held_from").alias("holder"), F.min("held_from").alias("held_from")
     )
+    known, by_cig = _place(F.col("id_by_link"), False), _place(F.col("id_by_cig"), False)
     placed = joins.lookup(pairs, holders, "cig", spread_by="link_bando").withColumn(
-        "id_by_earlier_cig",
-        F.coalesce(
-            "id_by_cig", F.when(F.col("held_from") < F.col("t"), F.col("id_by_new_cig"))
-        ),
+        "earlier", F.coalesce(by_cig, F.when(F.col("held_from") < F.col("t"), F.col("holder")))
     )
     # When a new link gets a record of its own: its first notice that joins no CIG holder.
     opened = (
-        placed.filter(F.col("id_by_link").isNull() & F.col("id_by_earlier_cig").isNull())
+        placed.filter(F.col("id_by_link").isNull() & F.col("earlier").isNull())
         .groupBy("link_bando")
         .agg(F.min("t").alias("opened_at"))
     )
+    own = F.when(F.col("opened_at").isNotNull(), _place(record_id(F.col("link_bando")), True))
     return placed.join(opened, "link_bando", "left").select(
         "link_bando",
         "cig",
         "n",
         "opened_at",
-        F.coalesce("id_by_link", "id_by_cig", "id_by_new_cig").alias("before"),
-        F.coalesce(
-            F.col("id_by_link"),
-            F.when(F.col("opened_at").isNotNull(), record_id(F.col("link_bando"))),
-            F.col("id_by_cig"),
-            F.col("id_by_new_cig"),
-        ).alias("target"),
+        F.coalesce(known, by_cig, F.col("holder")).alias("before"),
+        F.coalesce(known, own, by_cig, F.col("holder")).alias("target"),
     )
 
 
 def assign_targets(
     batch: DataFrame, current: DataFrame, hot_rows: int = joins.HOT_ROWS, keep: Keep = _as_is
 ) -> DataFrame:
-    """The batch with ``target_id``; pairs repeated very often do not meet in one task."""
+    """The batch with ``target_id`` and whether that record is ``opened`` by the batch.
+
+    Pairs repeated very often do not meet in one task.
+    """
     pair = F.to_json(F.struct("link_bando", "cig"))
     targets = keep(resolve_targets(batch, current, keep).withColumn("_pair", pair))
     out = joins.attach(
         batch.withColumn("_pair", pair),
-        targets.select("_pair", "opened_at", "before", "target"),
+        targets.select("_pair", "n", "opened_at", "before", "target"),
         "_pair",
-        counts=targets.select("_pair", "n"),
+        group_size="n",
         spread_by="raw_id",
         hot_rows=hot_rows,
     )
     early = F.col("opened_at").isNull() | (_order() < F.col("opened_at"))
     own = F.coalesce(F.when(early, F.col("before")), F.col("target"))
-    return out.withColumn("target_id", own).drop("_pair", "opened_at", "before", "target")
+    return out.select(*batch.columns, own["id"].alias("target_id"), own["opens"].alias("opened"))
 
 
 def _tag_mask(tags: Column, vocabulary: tuple[str, ...]) -> Column:
@@ -188,6 +199,7 @@ def fold_batch(batch: DataFrame, tag_rules: R.TagRules = R.TagRules()) -> DataFr
     order = _order()
     tagged = F.size("tag_tecnico") > 0
     aggregates = [
+        F.max("opened").alias("opened"),
         F.count("*").alias("n_rows"),
         F.min_by(
             F.struct(
@@ -220,12 +232,11 @@ def merge(current: DataFrame, folded: DataFrame, now: datetime) -> DataFrame:
     """Current records with the batch merged in, plus the records it opens.
 
     The updated part is a left join from the record table, so a batch that Spark finds small
-    enough is broadcast and the table is not shuffled; new records come from an anti join on ids.
+    enough is broadcast and the table is not shuffled. New records are known as such since their
+    target was resolved, so finding them takes no second look at the table.
     """
-    ids = current.select(F.col("id").alias("target_id"))
-    updated = _updated(current, folded, now)
-    opened = insert_new(folded.join(ids, "target_id", "left_anti"), now)
-    return updated.unionByName(opened)
+    updated = _updated(current, folded.filter(~F.col("opened")), now)
+    return updated.unionByName(insert_new(folded.filter("opened"), now))
 
 
 def _updated(current: DataFrame, folded: DataFrame, now: datetime) -> DataFrame:

@@ -32,7 +32,8 @@ def refresh_records(
     notices = normalise.normalise(normalise.pending(raw, sources), rules.normalise)
     keep = cut_lineage if store else lambda df: df
     merged = upsert(notices, current, now, tag_rules=rules.normalise.tags, keep=keep)
-    return scoring.score(dedupe.elect_master(dedupe.with_dedup_key(merged)), now, rules.score)
+    elected = dedupe.elect_master(dedupe.with_dedup_key(merged), keep=keep)
+    return scoring.score(elected, now, rules.score)
 
 
 def table(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:

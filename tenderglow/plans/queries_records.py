@@ -114,10 +114,10 @@ def match_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("link_bando", "cig", "n", "id_by_link", "id_by_cig")
 
 
-@query(f"WITH {O.BATCH} SELECT raw_id, target_id FROM placed")
+@query(f"WITH {O.BATCH} SELECT raw_id, target_id, length(target_id) = 64 AS opened FROM placed")
 def upsert_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = upsert.assign_targets(A.notice_batch(spark, sf_dir), A.current_records(spark, sf_dir))
-    return placed.select("raw_id", "target_id")
+    return placed.select("raw_id", "target_id", "opened")
 
 
 @query(f"""
