@@ -788,6 +788,16 @@ def export_csv_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""
+WITH {O.ELECTED}
+SELECT '4.0' AS schema_version, '2001-07-15T12:00:00+00:00' AS generated_at, count(*) AS record_count
+FROM elected WHERE master_record_id IS NULL
+""")
+def export_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    elected = dedupe.elect_master(dedupe.with_dedup_key(A.records(spark, sf_dir)))
+    return export.export_envelope(export.export_rows(elected), NOW)
+
+
 @query(f"""
 WITH {O.RUNS}
 SELECT job_name, status, count(*) AS runs, CAST(sum(records_found) AS BIGINT) AS records_found,

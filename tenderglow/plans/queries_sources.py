@@ -6,12 +6,13 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from tenderglow import rules as R
 from tenderglow import schemas
 from tenderglow.functions import text as T
 from tenderglow.functions import urls as U
-from tenderglow.operators import landing
+from tenderglow.operators import landing, search
 from tenderglow.plans import adapters as A
 from tenderglow.plans import oracle_tables as O
 from tenderglow.plans.registry import query
@@ -457,7 +458,11 @@ def listing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _order_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as portal pages: one page per customer, table, card grid or item list by portal."""
+    """Orders as portal pages: table, card grid or item list by portal.
+
+    A page holds the orders of one customer within a run of 1,000 order keys, so however many
+    orders a customer has, no page has more rows than that.
+    """
     o = A.load(spark, sf_dir, "orders")
     k, key = F.col("o_orderkey"), _text("o_orderkey")
     portal = A.pick(("asmecomm", "traspare", "sater"), F.col("o_custkey"))
@@ -487,12 +492,20 @@ def _order_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit('">x</time><span class="importo-gara">'), money, F.lit("</span></div>"),
         )
     )
-    rows = o.select("o_custkey", portal.alias("source"), F.struct(k.alias("k"), row.alias("r")).alias("x"))
-    # A customer has a few dozen orders at most; they are the rows of one page.
-    return rows.groupBy("o_custkey", "source").agg(F.sort_array(F.collect_list("x")).alias("xs")).select(
+    part = F.floor(k / 1000)
+    rows = o.select(
+        "o_custkey", portal.alias("source"), part.alias("part"),
+        F.struct(k.alias("k"), row.alias("r")).alias("x"),
+    )
+    gathered = rows.groupBy("o_custkey", "source", "part").agg(
+        F.sort_array(F.collect_list("x")).alias("xs")
+    )
+    return gathered.select(
         "source",
-        F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/l/"), _text("o_custkey"))
-        .alias("url"),
+        F.concat(
+            F.lit("https://"), F.col("source"), F.lit(".example.com/l/"), _text("o_custkey"),
+            F.lit("?p="), _text("part"),
+        ).alias("url"),
         F.concat(
             F.lit("<html><body><table class='gare'>"), F.array_join("xs.r", "\n"),
             F.lit("</table></body></html>"),
@@ -725,8 +738,6 @@ def _source_seed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def _fields(schema: str) -> list[tuple[str, str]]:
-    from pyspark.sql import types as S
-
     return [(f.name, f.dataType.simpleString()) for f in S.StructType.fromDDL(schema)]
 
 
@@ -793,10 +804,35 @@ def seed_watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---- listings of dimensions -----------------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey % 5 <> 0")
+def list_watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.list_watchlist(_watchlist(spark, sf_dir), active=True).select("id")
+
+
+@query(f"WITH {O.SOURCES} SELECT id, name, active FROM sources")
+def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.list_sources(A.sources(spark, sf_dir)).select("id", "name", "active")
+
+
 @query("""
-SELECT c_custkey AS id FROM customer WHERE c_custkey % 5 <> 0
+SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer
+WHERE c_custkey % 2 = 0 AND c_custkey % 7 <> 0 AND c_mktsegment = 'MACHINERY'
 """)
-def list_watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tenderglow.operators import search
+def list_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current, _ = _entity_seed(spark, sf_dir)
+    return search.list_entities(current, region="MACHINERY").select("id", "name")
 
-    return search.list_watchlist(_watchlist(spark, sf_dir), active=True).select("id")
+
+@query("""
+SELECT doc_id FROM documents WHERE doc_id % 20 = 3
+""")
+def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    stored = A.load(spark, sf_dir, "documents").select(
+        "doc_id", k.alias("id"), _text(k % 20).alias("procurement_record_id"),
+        F.lit(NOW).alias("created_at"),
+    )
+    return search.list_documents(stored, "3").select("doc_id")
