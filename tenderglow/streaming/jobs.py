@@ -19,7 +19,7 @@ from tenderglow.functions import values as V
 from tenderglow.operators import landing
 from tenderglow.operators.normalise import normalise
 from tenderglow.operators.upsert import upsert
-from tenderglow.session import cut_lineage
+from tenderglow.session import cut_lineage, spread
 
 
 def read_table_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
@@ -102,7 +102,7 @@ def upsert_batch(
         else:
             current = seed if seed is not None else spark.createDataFrame([], schemas.RECORD)
         ranks = sources.select(F.col("id").alias("source_id"), "source_priority_rank")
-        ranked = batch.join(ranks, "source_id", "left").withColumn(
+        ranked = spread(batch).join(ranks, "source_id", "left").withColumn(
             "source_priority_rank", F.coalesce("source_priority_rank", F.lit(R.UNKNOWN_RANK))
         )
         notices = normalise(ranked, rules)
