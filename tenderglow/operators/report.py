@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tenderglow import rules as R
 from tenderglow.functions import values as V
 from tenderglow.operators.anomalies import open_alerts
-from tenderglow.operators.dedupe import masters
 
 # Section -> rows shown in the stored report.
 SECTION_ROWS = {"nuove_gare": 30, "aggiornamenti": 30, "pre_gara": 20, "evidenze_deboli": 30}

@@ -10,7 +10,6 @@ from pyspark.sql import types as S
 
 from tenderglow import rules as R
 from tenderglow import schemas
-from tenderglow.functions import text as T
 from tenderglow.functions import urls as U
 from tenderglow.operators import landing, search
 from tenderglow.plans import adapters as A

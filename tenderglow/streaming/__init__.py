@@ -1 +1 @@
-"""Incremental forms of the pipeline stages on Structured Streaming."""
+"""Incremental forms of the daily stages on Structured Streaming."""
