@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenderglow.llm import decontaminate, near_dup, pii, secrets
+import public_tokenizers
+
+from tenderglow.llm import byte_bpe, debruijn, decontaminate, lm_score, near_dup, pii, quality_rules, secrets, toxicity
 from tenderglow.llm.common import documents
 
+RANKS = "byte_bpe_50k.tiktoken"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,16 +22,45 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+@query
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(documents(spark, sf_dir))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 @query
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(documents(spark, sf_dir)))
 
 
+@query
+def op5_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_repeats(documents(spark, sf_dir))
+
+
+@query
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_digest(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 @query
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.digest(near_dup.find_components(documents(spark, sf_dir)))
 
 
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.digest(quality_rules.apply_rules(documents(spark, sf_dir), _labels(spark, sf_dir)))
+
+
 @query
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan_secrets(documents(spark, sf_dir))

@@ -7,8 +7,9 @@ compare their documents exhaustively. Independent trees repeat this until the ta
 confirmed on the full shingle sets.
 
 Sets that are equal are one class before any of this, so exact copies cost nothing. Two passes keep dense groups of
-near copies linear: the first links each document to a leader of its node; the second compares only documents that the
-first has not already connected, which loses no component.
+near copies linear: the first links each document to a leader of its node; in the second, nodes whose documents are all
+connected are closed, the others branch until little is left, and only documents not yet connected are compared. This loses
+no component.
 
 Defined cases: without words the set is empty and linked with nothing; with fewer words than a shingle the whole sequence
 is one shingle; repeated ``doc_id`` rows each give a row, judged by its own text; a row without ``doc_id`` has no name to be
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderglow.llm import components, tokens
-from tenderglow.llm.common import fits, small_batches, texts
+from tenderglow.llm.common import fits, text_session, texts
 from tenderglow.session import cut_lineage
 
 #: Minwise tokens per set.
@@ -143,30 +144,45 @@ def _deeper(level: int, part: float):
     return run
 
 
-def _sized(nodes: DataFrame) -> DataFrame:
+def _shared(rows: DataFrame) -> DataFrame:
     """Nodes of at least two documents, with their size."""
-    sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    return nodes.join(sizes, "node")
+    sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    return rows.join(sizes, "node")
 
 
-def leaves(sketched: DataFrame, trees: int, part: float, node: int = NODE, depth: int = DEPTH) -> DataFrame:
-    """``node, doc_id`` of all small nodes of all trees.
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Nodes whose documents are not all connected: ``node, doc_id, label, size`` and ``work``, the pairs not yet connected.
 
-    A node that is still too large at the last level is dealt into blocks: every pair of blocks is a leaf, so no pair of
-    documents is lost and none meets in a task with more than two blocks.
+    ``rows`` has ``node, doc_id``. Dense groups of near copies are one component by now, so their nodes are closed here.
     """
-    level, done = 3, []
-    rows = sketched.select("doc_id", "sketch").mapInArrow(_roots(trees, level, part), "node long, doc_id long")
+    named = labels.select("doc_id", F.col("component_id").alias("label"))
+    rows = rows.join(named, "doc_id", "left").select("node", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    rows = cut_lineage(rows)
+    parts = rows.groupBy("node", "label").agg(F.count("*").cast("double").alias("n"))
+    sizes = parts.groupBy("node").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("inner"), F.count("*").alias("parts"))
+    sizes = sizes.where("parts > 1").select("node", "size", ((F.col("size") * F.col("size") - F.col("inner")) / 2).alias("work"))
+    return rows.join(sizes, "node")
+
+
+def leaves(roots: DataFrame, sketched: DataFrame, labels: DataFrame, part: float, level: int, node: int = NODE,
+           depth: int = DEPTH) -> DataFrame:
+    """``node, doc_id, label`` of all nodes that are small, or have little left to compare, in all trees.
+
+    Other nodes branch on. A node that is still too large at the last level is dealt into blocks: every pair of blocks is a
+    leaf, so no pair of documents is lost and none meets in a task with more than two blocks.
+    """
+    done, rows = [], roots
     while True:
-        sized = cut_lineage(_sized(rows))
-        done.append(sized.where(F.col("size") <= node).select("node", "doc_id"))
-        large = sized.where(F.col("size") > node)
+        sized = cut_lineage(_open(rows, labels))
+        small = (F.col("size") <= node) | (F.col("work") <= node * node / 2)
+        done.append(sized.where(small).select("node", "doc_id", "label"))
+        large = sized.where(~small)
         if large.isEmpty():
             break
         if level >= depth:
             done.append(_tiles(large, node))
             break
-        rows = large.select("node", "doc_id").join(sketched.select("doc_id", "sketch"), "doc_id").mapInArrow(
+        rows = large.select("node", "doc_id").join(sketched, "doc_id").select("node", "doc_id", "sketch").mapInArrow(
             _deeper(level, part), "node long, doc_id long").distinct()
         level += 1
     out = done[0]
@@ -175,14 +191,17 @@ def leaves(sketched: DataFrame, trees: int, part: float, node: int = NODE, depth
     return out
 
 
+def _blocks(node: int):
+    return F.ceil(F.col("size") / node).cast("int"), lambda blocks: F.pmod(F.xxhash64("node", "doc_id"), blocks).cast("int")
+
+
 def _tiles(large: DataFrame, node: int) -> DataFrame:
     """Documents of large nodes, once per tile: blocks by hash, a tile for each two blocks."""
-    blocks = F.ceil(F.col("size") / (node / 2)).cast("int")
-    own = F.pmod(F.xxhash64("node", "doc_id"), blocks).cast("int")
-    dealt = large.select("node", "doc_id", blocks.alias("blocks"), own.alias("own"))
-    each = dealt.select("node", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    blocks, own = _blocks(max(node // 2, 1))
+    dealt = large.select("node", "doc_id", "label", blocks.alias("blocks"), own(blocks).alias("own"))
+    each = dealt.select("node", "doc_id", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tile = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-    return each.select(tile.alias("node"), "doc_id")
+    return each.select(tile.alias("node"), "doc_id", "label")
 
 
 def _leaders(least: float):
@@ -245,18 +264,17 @@ def _pairs(compare):
     return run
 
 
-def candidates(nodes: DataFrame, sketched: DataFrame, labels: DataFrame | None, least: float) -> DataFrame:
-    """Distinct pairs ``a < b`` that meet in a node and look similar; with ``labels`` only those not yet connected."""
-    if labels is None:
-        rows = nodes.withColumn("label", F.col("doc_id"))
-    else:
-        mixed = nodes.join(labels.withColumnRenamed("component_id", "label"), "doc_id", "left").select(
-            "node", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-        open_nodes = mixed.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        rows = mixed.join(open_nodes.select("node"), "node", "left_semi")
-    rows = rows.join(sketched.select("doc_id", "sketch"), "doc_id").repartition("node").sortWithinPartitions("node")
-    compare = _leaders(least) if labels is None else _across(least)
-    return rows.select("node", "label", "doc_id", "sketch").mapInArrow(_pairs(compare), "a long, b long").distinct()
+def _compared(nodes: DataFrame, sketched: DataFrame, compare) -> DataFrame:
+    rows = nodes.join(sketched, "doc_id").select("node", "label", "doc_id", "sketch")
+    rows = rows.repartition("node").sortWithinPartitions("node")
+    return rows.mapInArrow(_pairs(compare), "a long, b long").distinct()
+
+
+def star_pairs(roots: DataFrame, sketched: DataFrame, least: float, node: int = NODE) -> DataFrame:
+    """Pairs of a document and a leader of its node; a large node is dealt into blocks, other trees deal it otherwise."""
+    blocks, own = _blocks(node)
+    dealt = roots.select(F.xxhash64("node", own(blocks)).alias("node"), F.col("doc_id").alias("label"), "doc_id")
+    return _compared(dealt, sketched, _leaders(least))
 
 
 def _sets(size: int):
@@ -299,7 +317,7 @@ def find_components(docs: DataFrame, size: int = 2, percent: int = 80, recall: f
     ``recall`` is the wanted probability that a pair of exactly the limit similarity meets in one of the trees.
     """
     similarity = percent / 100
-    spark = small_batches(docs.sparkSession)
+    spark = text_session(docs.sparkSession)
     source = texts(docs)
     hashed = source.withColumn("text_hash", F.xxhash64("text"))
     rows = cut_lineage(hashed.mapInArrow(_sketches(size), "doc_id long, text_hash long, n_shingles long, key string, sketch binary"))
@@ -307,14 +325,15 @@ def find_components(docs: DataFrame, size: int = 2, percent: int = 80, recall: f
     named = rows.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     classes = cut_lineage(named.groupBy("key").agg(F.min("doc_id").alias("rep")))
     sketched = cut_lineage(named.join(classes.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"]).select("doc_id", "sketch"))
-    part = 1 / similarity - 1
-    spread = math.sqrt(similarity * (1 - similarity) / SKETCH)
-    least = similarity - 4.5 * spread
-    nodes = cut_lineage(leaves(sketched, trees_for(recall, similarity), part))
+    part, level = 1 / similarity - 1, 3
+    least = similarity - 4.5 * math.sqrt(similarity * (1 - similarity) / SKETCH)
+    roots = sketched.mapInArrow(_roots(trees_for(recall, similarity), level, part), "node long, doc_id long")
+    roots = cut_lineage(_shared(roots))
     reps = source.where(F.col("doc_id").isNotNull())
-    links = cut_lineage(confirmed(cut_lineage(candidates(nodes, sketched, None, least)), reps, size, percent))
+    links = cut_lineage(confirmed(cut_lineage(star_pairs(roots, sketched, least)), reps, size, percent))
     labels = components.connect(spark, links)
-    rest = cut_lineage(candidates(nodes, sketched, labels, least))
+    nodes = leaves(roots.select("node", "doc_id"), sketched, labels, part, level)
+    rest = cut_lineage(_compared(nodes, sketched, _across(least)))
     if not rest.isEmpty():
         more = cut_lineage(confirmed(rest, reps, size, percent))
         labels = components.connect(spark, links.unionByName(more))
