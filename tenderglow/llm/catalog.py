@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tenderglow.llm import byte_bpe, debruijn, decontaminate, lm_score, near_dup, pii, quality_rules, secrets, toxicity
+from tenderglow.llm import byte_bpe, debruijn, decontaminate, lm_score, near_dup, pii, quality_rules, secret_scan, toxicity
 from tenderglow.llm.common import documents
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -63,8 +63,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan_secrets(documents(spark, sf_dir))
-    return secrets.digest(found)
+    found, _ = secret_scan.scan_secrets(documents(spark, sf_dir))
+    return secret_scan.digest(found)
 
 
 @query
