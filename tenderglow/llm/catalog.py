@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tenderglow.llm import byte_bpe, debruijn, decontaminate, lm_score, near_dup, pii, quality_rules, secret_scan, toxicity
+from tenderglow.llm import (
+    byte_bpe, debruijn, decontaminate, lm_score, near_dup, pii, quality_pu, quality_rules, secret_scan, toxicity,
+)
 from tenderglow.llm.common import documents
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -31,6 +33,11 @@ def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_texts(documents(spark, sf_dir))
 
 
+@query
+def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.digest(quality_pu.score_quality(documents(spark, sf_dir), _labels(spark, sf_dir)))
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents(spark, sf_dir), _labels(spark, sf_dir))
