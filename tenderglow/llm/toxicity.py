@@ -30,6 +30,7 @@ from tenderglow.llm.common import in_fold, text_session, texts
 BUCKETS, SIZES, WIDTH = 1 << 16, (3, 4, 5), 8
 #: Bounds of the training sample: texts of each label, and the longest text in it, in code points.
 SAMPLE, LONGEST = 2_000, 50_000
+MARGIN = 4.0  # log odds between the clean training texts and the middle of the curve
 LOWEST = -12.0  # value of a text without words
 
 _EDGE = np.ones(256, bool)  # bytes stripped from both ends of a word: ASCII that is neither letter nor digit
@@ -97,7 +98,7 @@ class SubwordModel:
         rng = np.random.default_rng(seed)
         self.vectors = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
         self.weights = rng.normal(0, 0.1, (WIDTH, 2)).astype(np.float32)
-        self.bias = np.zeros(2, np.float32)
+        self.bias = np.array([2, -2], np.float32)  # a word of unknown n-grams is taken for clean
         self.squares = np.full(BUCKETS, 1e-6, np.float32)
         self.curve = (0.0, LOWEST)
 
@@ -264,11 +265,11 @@ def train(sample: list[tuple[str, int]], rounds: int = 4, start: int = 25_000, e
         highest = usual[np.argsort(-odds[usual])[:4000]]
         chosen |= set(highest[odds[highest] > -2].tolist())
     values = np.array([odds[bag].max() if len(bag) else LOWEST for bag in bags])
-    # Misspelled words count as toxic texts of their own; the middle of the curve stays above nearly all clean texts.
+    # Misspelled words count as toxic texts of their own for the slope. The middle of the curve lies a margin above nearly all
+    # clean training texts, whose words the model has seen; words of other clean texts come somewhat higher.
     seen = word_odds(model.table(), float(model.bias[1] - model.bias[0]), *_as_arrays(edits)) if edits else np.zeros(0)
-    slope, offset = _logistic(np.concatenate([values, seen]), np.concatenate([labels, np.ones(len(seen), np.int64)]))
-    middle = max(-offset / max(slope, 1e-6), float(np.quantile(values[labels == 0], 0.997)) + 1)
-    model.curve = (slope, -slope * middle)
+    slope, _ = _logistic(np.concatenate([values, seen]), np.concatenate([labels, np.ones(len(seen), np.int64)]))
+    model.curve = (slope, -slope * (float(np.quantile(values[labels == 0], 0.997)) + MARGIN))
     return model
 
 
