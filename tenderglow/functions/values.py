@@ -68,6 +68,13 @@ def iso_timestamp(c: Column) -> Column:
     return bound(c, parsed)
 
 
+def precise_timestamp(c: Column) -> Column:
+    """Like ``iso_timestamp``, fractions of a second allowed; they are dropped."""
+    return bound(c, lambda text: iso_timestamp(
+        F.regexp_replace(text, r"(\d{2}:\d{2}:\d{2})[.,]\d+", "$1")
+    ))
+
+
 def it_date(c: Column) -> Column:
     """First d/m/yyyy anywhere in the text, else a whole ISO date or date-time."""
 

@@ -219,12 +219,14 @@ def close_alerts(alerts: DataFrame, ids: DataFrame, now: datetime) -> DataFrame:
 
 
 def list_alerts(
-    alerts: DataFrame, is_open: bool | None = None, severity: str | None = None, limit: int = 200
+    alerts: DataFrame, is_open: bool | None = None, severity: str | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Newest alerts first."""
+    """Newest alerts first, all of them unless a page size is given."""
     out = alerts
     if is_open is not None:
         out = out.filter(F.col("is_open") == is_open)
     if severity:
         out = out.filter(F.col("severity") == severity)
-    return out.orderBy(F.desc("opened_at"), "id").limit(limit)
+    ordered = out.orderBy(F.desc("opened_at"), "id")
+    return ordered if limit is None else ordered.limit(limit)

@@ -37,7 +37,7 @@ def section_filters() -> dict[str, Column]:
 
 
 def section(records: DataFrame, name: str, limit: int | None = None) -> DataFrame:
-    """Top rows of one section, numbered by ``position``.
+    """Top rows of one section, numbered by ``position``; without a limit the whole section, unnumbered.
 
     Best score first, then buyer; weak rows in order of arrival. A limit over a sort keeps only
     the best rows of every partition, so no section is ever gathered whole; the numbering sees
@@ -57,11 +57,13 @@ def section(records: DataFrame, name: str, limit: int | None = None) -> DataFram
             "is_weak_evidence", "first_seen_at",
         )
         .orderBy(*order)
-        .limit(limit or SECTION_ROWS[name])
     )
+    if limit is not None:
+        top = top.limit(limit)
+    number = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order))
     return top.select(
         F.lit(name).alias("section"),
-        F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order)).alias("position"),
+        (number if limit is not None else F.lit(None).cast("int")).alias("position"),
         "id",
         "ente",
         "descrizione",
@@ -143,7 +145,7 @@ def open_alert_items(alerts: DataFrame) -> DataFrame:
 
 def sections(records: DataFrame) -> DataFrame:
     """All four sections, cut to what the report shows (at most 110 rows)."""
-    return reduce(lambda a, b: a.unionByName(b), [section(records, n) for n in SECTION_ROWS])
+    return reduce(lambda a, b: a.unionByName(b), [section(records, n, rows) for n, rows in SECTION_ROWS.items()])
 
 
 def _section_arrays(cut: DataFrame) -> DataFrame:

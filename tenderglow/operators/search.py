@@ -7,7 +7,7 @@ from datetime import datetime
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tenderglow.functions import values as V
@@ -82,19 +82,43 @@ def search_records(
     """One page: newest publication first, missing dates last, then newest seen, then id."""
     if not 1 <= limit <= MAX_PAGE:
         raise ValueError(f"limit must be between 1 and {MAX_PAGE}, got {limit}")
-    ordered = matching(records, filters).orderBy(
-        F.col("data_pubblicazione").desc_nulls_last(), F.desc("first_seen_at"), "id"
-    )
+    ordered = matching(records, filters).orderBy(*_listing_order())
     return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
 
 
+def _listing_order() -> list[Column]:
+    return [F.col("data_pubblicazione").desc_nulls_last(), F.desc("first_seen_at"), F.col("id")]
+
+
+def search_after(
+    records: DataFrame, filters: RecordFilters, last: Row | None, limit: int = 100
+) -> DataFrame:
+    """The page after the row ``last`` (null: the first page), in the order of ``search_records``.
+
+    Rows before it are filtered out in the scan, so a late page costs no more than the first.
+    """
+    if not 1 <= limit <= MAX_PAGE:
+        raise ValueError(f"limit must be between 1 and {MAX_PAGE}, got {limit}")
+    found = matching(records, filters)
+    if last is not None:
+        day, seen = F.col("data_pubblicazione"), F.col("first_seen_at")
+        same_day = day.eqNullSafe(F.lit(last.data_pubblicazione).cast("timestamp"))
+        first, then = F.lit(last.first_seen_at), F.lit(last.id)
+        later = same_day & ((seen < first) | ((seen == first) & (F.col("id") > then)))
+        if last.data_pubblicazione is not None:
+            later = later | day.isNull() | (day < F.lit(last.data_pubblicazione))
+        found = found.filter(later)
+    return found.orderBy(*_listing_order()).limit(limit)
+
+
 def get_record(records: DataFrame, record_id: str) -> DataFrame:
     return records.filter(F.col("id") == F.lit(record_id))
 
 
-def weak_evidence(records: DataFrame, limit: int = 200) -> DataFrame:
-    """Weak records, in listing order."""
-    return search_records(records.filter("is_weak_evidence"), RecordFilters(), limit)
+def weak_evidence(records: DataFrame, limit: int | None = None) -> DataFrame:
+    """Weak records in listing order, all of them unless a page size is given."""
+    ordered = matching(records, RecordFilters()).filter("is_weak_evidence").orderBy(*_listing_order())
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def top_p1(records: DataFrame, n: int = 10) -> DataFrame:

@@ -205,7 +205,7 @@ alerts AS (
       AS alert_type,
     {listed(('low', 'medium', 'high', 'critical'), 'event_id')} AS severity,
     event_id % 15 = 0 AS is_open, ts AS opened_at
-  FROM events WHERE event_id % 3 = 0
+  FROM events
 ),
 alert_keys AS (SELECT *, alert_type || ':' || procurement_record_id AS alert_key FROM alerts)"""
 

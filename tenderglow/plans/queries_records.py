@@ -429,7 +429,7 @@ def _section_query(name: str, section: str, order: str) -> None:
     limit = report.SECTION_ROWS[section]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = report.section(_scored(spark, sf_dir), section)
+        rows = report.section(_scored(spark, sf_dir), section, report.SECTION_ROWS[section])
         return rows.select("position", "id", "ente", "score", "priorita", "importo")
 
     run.__doc__ = f"Top rows of the report section {section}."
@@ -732,7 +732,7 @@ def get_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "ente", "regione", "provincia")
 
 
-@query(f"WITH {O.RECORDS} SELECT id, ente FROM records WHERE is_weak_evidence {_LISTING} LIMIT 200")
+@query(f"WITH {O.RECORDS} SELECT id, ente FROM records WHERE is_weak_evidence {_LISTING}")
 def weak_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.weak_evidence(A.records(spark, sf_dir)).select("id", "ente")
 

@@ -377,13 +377,13 @@ def needs_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_CLEAN}, second AS (
-  SELECT p.url, substr(p.html, 1, 2500) AS s FROM pages p)
+  SELECT p.url, '<div>' || p.html || '</div>' AS s FROM pages p)
 SELECT c.url, CASE WHEN length(h) < 3000 AND length(s) > length(h) THEN length(s) ELSE length(h) END AS n
 FROM cleaned c JOIN second USING (url)
 """)
 def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = A.load(spark, sf_dir, "pages", busy=True).select("url", "html")
-    again = given.select("url", F.substring("html", 1, 2500).alias("html"))
+    again = given.select("url", F.concat(F.lit("<div>"), "html", F.lit("</div>")).alias("html"))
     both = pages.with_rendered(pages.clean_pages(given, None), again)
     return both.select("url", F.length("html").alias("n"))
 
@@ -689,7 +689,7 @@ WITH f AS (
   SELECT doc_id % 50 AS record_id, doc_id, sha256(text) AS checksum,
     CASE WHEN doc_id % 3 = 0 THEN 'documento' || doc_id || '.pdf' ELSE 'file_' || doc_id || '.txt' END AS n,
     'https://d.example.com/x/file_' || doc_id AS u
-  FROM documents WHERE octet_length(encode(text)) <= 20000),
+  FROM documents),
 g AS (
   SELECT record_id, checksum, arg_min(n, u) AS n FROM f
   GROUP BY record_id, checksum)
@@ -711,7 +711,7 @@ def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     existing = files.filter("known").select(
         _text("record_id").alias("procurement_record_id"), F.sha2("content", 256).alias("checksum")
     )
-    stored = documents.ingest_documents(files, existing, NOW, max_bytes=20_000)
+    stored = documents.ingest_documents(files, existing, NOW)
     return stored.select("procurement_record_id", "checksum", "filename", "storage_url")
 
 

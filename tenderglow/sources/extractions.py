@@ -32,7 +32,7 @@ KINDS = {
 def iso_only(c: Column) -> Column:
     """Timestamp of an ISO text as its local reading in UTC; anything else is null."""
     naive = F.regexp_replace(c, r"(Z|[+-]\d{2}:?\d{2})$", "")
-    return V.iso_timestamp(F.when(F.length(c) == 10, c).otherwise(naive))
+    return V.precise_timestamp(F.when(F.length(c) == 10, c).otherwise(naive))
 
 
 def drafts_from_extractions(

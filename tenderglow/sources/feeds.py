@@ -22,7 +22,6 @@ NOTICE_SEARCH = "https://api.ted.europa.eu/v3/notices/search"
 OLD_NOTICE_PAGE = "https://ted.europa.eu/udl?uri=TED:NOTICE:{}"
 UNTITLED_NOTICE = "Bando TED senza titolo"
 
-BODY_CHARS = 4000
 _DRAFT = ("raw_url", "raw_title", "raw_body", "raw_date", "extracted_json", "pos")
 
 
@@ -36,7 +35,9 @@ def _position() -> Column:
 
 
 def _since(drafts: DataFrame, since: datetime | None) -> DataFrame:
-    return drafts if since is None else drafts.filter(F.col("raw_date") >= V.at(since))
+    """Drafts from ``since`` on; a draft without a date may be new and stays."""
+    date = F.col("raw_date")
+    return drafts if since is None else drafts.filter(date.isNull() | (date >= V.at(since)))
 
 
 # ---- framework lots ---------------------------------------------------------------------------------
@@ -246,17 +247,18 @@ _RECORDS = "array<map<string,string>>"
 
 
 def read_open_data_feed(
-    spark: SparkSession, path: str | list[str], since: datetime | None = None
+    spark: SparkSession, path: str | list[str], since: datetime | None = None,
+    body_chars: int | None = None,
 ) -> DataFrame:
     """Drafts of saved open-data answers, one answer per file."""
     pages = spark.read.text(path, wholetext=True).select(F.col("value").alias("payload"))
-    return _since(open_data_drafts(pages), since)
+    return _since(open_data_drafts(pages, body_chars), since)
 
 
-def open_data_drafts(pages: DataFrame) -> DataFrame:
+def open_data_drafts(pages: DataFrame, body_chars: int | None = None) -> DataFrame:
     """Drafts of ``payload`` rows; records may sit at several places of an answer.
 
-    Maps keep the field order of the document, which the flattened body shows.
+    ``body_chars`` cuts the flattened body, which is whole otherwise. Maps keep the field order of the document, which the flattened body shows.
     """
     payload = F.col("payload")
     top = F.from_json(F.when(F.ltrim(payload).startswith("["), payload), _RECORDS)
@@ -277,8 +279,8 @@ def open_data_drafts(pages: DataFrame) -> DataFrame:
     drafts = rows.select(
         pick("link_bando", "url", "link", "url_bando").alias("raw_url"),
         pick("oggetto", "oggetto_principale_contratto", "titolo").alias("raw_title"),
-        F.substring(body, 1, BODY_CHARS).alias("raw_body"),
-        V.iso_timestamp(pick("data_pubblicazione", "data_pubb", "data_inizio")).alias("raw_date"),
+        (body if body_chars is None else F.substring(body, 1, body_chars)).alias("raw_body"),
+        V.precise_timestamp(pick("data_pubblicazione", "data_pubb", "data_inizio")).alias("raw_date"),
         F.to_json(F.struct(m.alias("record"), F.lit("anac").alias("source"))).alias(
             "extracted_json"
         ),

@@ -24,8 +24,6 @@ from tenderglow.functions import text as T
 from tenderglow.functions import values as V
 from tenderglow.operators.landing import first_per_key, gate
 
-MAX_ROWS = 100
-
 # Executors need not have this package installed: the page parser travels with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -84,184 +82,191 @@ PROFILES = {
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Opening one of these ends an open one of the same name within the nearest container.
 _SELF_CLOSING = {"tr": "table", "td": "tr", "th": "tr", "li": "ul", "p": "body", "option": "select"}
+_MUTE = frozenset(("script", "style"))
 
 
-class _Node:
-    __slots__ = ("tag", "attrs", "parent", "children")
+def _simple(selector: str) -> tuple[frozenset[str], ...]:
+    """Parts of a descendant selector, each the set of marks (``tag``, ``.class``, ``#id``) it asks for."""
+    return tuple(
+        frozenset(part.replace(".", " .").replace("#", " #").split()) for part in selector.split()
+    )
 
-    def __init__(self, tag: str, attrs: dict, parent: "_Node | None"):
-        self.tag, self.attrs, self.parent = tag, attrs, parent
-        self.children: list[_Node | str] = []
 
-    def walk(self) -> Iterator["_Node"]:
-        """Descendant elements in page order, without recursion."""
-        stack = [c for c in reversed(self.children) if isinstance(c, _Node)]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(c for c in reversed(node.children) if isinstance(c, _Node))
+class _Spot:
+    """An element that some selector asks for: its text so far, its link, and for rows the fields met inside."""
 
-    def texts(self) -> Iterator[str]:
-        stack: list[_Node | str] = list(reversed(self.children))
-        while stack:
-            item = stack.pop()
-            if isinstance(item, str):
-                yield item
-            elif item.tag not in ("script", "style"):
-                stack.extend(reversed(item.children))
+    __slots__ = ("field", "rank", "pieces", "href", "fields", "stamp", "linked")
 
-    def text(self, separator: str = "") -> str:
-        if separator:
-            return separator.join(t.strip() for t in self.texts() if t.strip())
-        return "".join(self.texts())
+    def __init__(self, field: str, rank: int, href: str | None, stamp: str | None):
+        self.field, self.rank, self.href, self.stamp = field, rank, href, stamp
+        self.pieces: list[str] = []
+        self.fields: dict[tuple[str, int], _Spot] = {}
+        self.linked = href is not None
 
 
-class _Page(HTMLParser):
-    """Element tree of a page; closes what authors leave open."""
+class _Scanner(HTMLParser):
+    """Reads a page once and notes every row and field that a profile may want.
 
-    def __init__(self, html: str):
+    No tree is kept. Each open element carries its marks and the spots it opened; text goes to the spots that
+    are open. Which row selector counts is known only at the end, so the rows of all are noted, and all links.
+    """
+
+    def __init__(self, profile: Profile):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("", {}, None)
-        self.feed(html)
-        self.close()
+        self.asked = [
+            (field, rank, _simple(selector))
+            for field, selectors in (("row", profile.rows), ("title", profile.titles),
+                                     ("date", profile.dates), ("amount", profile.amounts))
+            for rank, selector in enumerate(selectors)
+        ]
+        self.stack: list[tuple[str, frozenset[str], list[_Spot]]] = []
+        self.spots: list[_Spot] = []  # open ones, outer first
+        self.rows: list[_Spot] = []
+
+    def _wanted(self, marks: frozenset[str]) -> Iterator[tuple[str, int]]:
+        for field, rank, parts in self.asked:
+            if not parts[-1] <= marks:
+                continue
+            left = len(parts) - 1
+            for _, above, _ in reversed(self.stack):
+                if left and parts[left - 1] <= above:
+                    left -= 1
+            if not left:
+                yield field, rank
+
+    def _enter(self, tag: str, attrs: list, closed: bool) -> None:
+        given = {k: v or "" for k, v in reversed(attrs)}
+        marks = frozenset((
+            tag, *("." + c for c in given.get("class", "").split()),
+            *(("#" + given["id"],) if given.get("id") else ()),
+        ))
+        href = given.get("href") if tag == "a" else None
+        if tag == "a":
+            for spot in self.spots:
+                if spot.field == "title" and not spot.linked:
+                    spot.href, spot.linked = href, True
+        opened = [_Spot(f, r, href or None, given.get("datetime")) for f, r in self._wanted(marks)]
+        if href:
+            opened.append(_Spot("row", LOOSE, href, None))
+        for spot in opened:
+            if spot.field == "row":
+                self.rows.append(spot)
+            else:
+                for row in self.spots:
+                    if row.field == "row":
+                        row.fields.setdefault((spot.field, spot.rank), spot)
+        if not closed:
+            self.stack.append((tag, marks, opened))
+            self.spots += opened
+
+    def _leave(self, depth: int) -> None:
+        """Closes open elements down to ``depth``."""
+        gone = sum(len(spots) for _, _, spots in self.stack[depth:])
+        del self.stack[depth:]
+        if gone:
+            del self.spots[-gone:]
 
     def handle_starttag(self, tag, attrs):
         limit = _SELF_CLOSING.get(tag)
-        node = self.at
-        while limit and node.parent is not None and node.tag != limit:
-            if node.tag == tag:
-                self.at = node.parent
-                break
-            node = node.parent
-        child = _Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(child)
-        if tag not in _VOID:
-            self.at = child
+        if limit:
+            for depth in range(len(self.stack) - 1, -1, -1):
+                name = self.stack[depth][0]
+                if name == tag and name != limit:
+                    self._leave(depth)
+                if name in (tag, limit):
+                    break
+        self._enter(tag, attrs, tag in _VOID)
 
     def handle_startendtag(self, tag, attrs):
-        self.at.children.append(_Node(tag, {k: v or "" for k, v in attrs}, self.at))
+        self._enter(tag, attrs, True)
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None:
-            if node.tag == tag:
-                self.at = node.parent
+        for depth in range(len(self.stack) - 1, -1, -1):
+            if self.stack[depth][0] == tag:
+                self._leave(depth)
                 return
-            node = node.parent
 
     def handle_data(self, data):
-        self.at.children.append(data)
-
-
-def _fits(node: _Node, simple: str) -> bool:
-    """``tag``, ``.class`` and ``#id`` parts of one simple selector."""
-    spaced = simple.replace(".", " .").replace("#", " #").split()
-    for part in spaced:
-        if part[0] == ".":
-            if part[1:] not in node.attrs.get("class", "").split():
-                return False
-        elif part[0] == "#":
-            if node.attrs.get("id") != part[1:]:
-                return False
-        elif node.tag != part:
-            return False
-    return True
-
-
-def select(scope: _Node, selector: str) -> Iterator[_Node]:
-    """Descendants of ``scope`` that fit a descendant selector, in page order."""
-    *outer, last = selector.split()
-    for node in scope.walk():
-        if not _fits(node, last):
-            continue
-        wanted, above = list(outer), node.parent
-        while wanted and above is not None:
-            if _fits(above, wanted[-1]):
-                wanted.pop()
-            above = above.parent
-        if not wanted:
-            yield node
-
-
-def _collapsed(text: str) -> str | None:
-    return " ".join(text.split()) or None
-
-
-def _title(row: _Node, selectors: tuple[str, ...], page_url: str) -> tuple[str | None, str | None]:
-    for selector in selectors:
-        node = next(select(row, selector), None)
-        if node is None:
-            continue
-        href = node.attrs.get("href") if node.tag == "a" else None
-        if not href:
-            inner = next((n for n in node.walk() if n.tag == "a"), None)
-            href = inner.attrs.get("href") if inner is not None else None
-        title = _collapsed(node.text())
-        if title or href:
-            return title, urljoin(page_url, href) if href else None
-    if row.tag == "a" and row.attrs.get("href"):
-        return _collapsed(row.text()), urljoin(page_url, row.attrs["href"])
-    return None, None
-
-
-def _candidates(row: _Node, selectors: tuple[str, ...], attribute: str | None) -> list[str]:
-    """Texts to try for a value, best selector first."""
-    nodes = [next(select(row, s), None) for s in selectors]
-    return [
-        (n.attrs.get(attribute) if attribute else None) or n.text() for n in nodes if n is not None
-    ]
+        if self.spots and not any(tag in _MUTE for tag, _, _ in self.stack):
+            for spot in self.spots:
+                spot.pieces.append(data)
 
 
-def page_rows(html: str, page_url: str, profile: Profile) -> tuple[bool, list[dict]]:
-    """Rows of one page. Without a selector hit all links are rows, and the page is *loose*."""
-    root = _Page(html).root
-    rows: list[_Node] = []
-    for selector in profile.rows:
-        rows = list(select(root, selector))
-        if rows:
-            break
-    loose = not rows
-    if loose:
-        rows = [n for n in root.walk() if n.tag == "a" and n.attrs.get("href")]
-    out = []
-    for row in rows:
-        title, link = _title(row, profile.titles, page_url)
-        out.append(
-            {
-                "raw_title": title,
-                "raw_url": link,
-                "raw_body": _collapsed(row.text(" ")),
-                "dates": _candidates(row, profile.dates, "datetime"),
-                "amounts": _candidates(row, profile.amounts, None),
-            }
+# Rank of links, which are rows where no row selector fits.
+LOOSE = 1_000
+
+
+def scan_page(html: str, page_url: str, profile: Profile) -> tuple[int, list[tuple]]:
+    """The best rank with rows, and its rows: text, own link, fields (name, rank, text, stamp, link)."""
+    page = _Scanner(profile)
+    page.feed(html)
+    page.close()
+    best = min((row.rank for row in page.rows), default=LOOSE)
+
+    def link(spot: _Spot) -> str | None:
+        return urljoin(page_url, spot.href) if spot.href else None
+
+    return best, [
+        (
+            " ".join(row.pieces), link(row),
+            [(field, rank, "".join(f.pieces), f.stamp, link(f)) for (field, rank), f in sorted(row.fields.items())],
         )
-    return loose, out
+        for row in page.rows if row.rank == best
+    ]
 
 
+_FIELDS = "ARRAY<STRUCT<field: STRING, rank: INT, text: STRING, stamp: STRING, link: STRING>>"
 _PAGE_SCHEMA = (
-    "source STRING, listing_url STRING, loose BOOLEAN, rows ARRAY<STRUCT<raw_title: STRING, "
-    "raw_url: STRING, raw_body: STRING, dates: ARRAY<STRING>, amounts: ARRAY<STRING>>>"
+    "source STRING, listing_url STRING, rank INT, "
+    f"found ARRAY<STRUCT<text: STRING, link: STRING, fields: {_FIELDS}>>"
 )
 
 
+def _one_line(c: Column) -> Column:
+    """Runs of white space as one space; null for a text without ink."""
+    return F.nullif(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit(""))
+
+
+def _row(r: Column) -> Column:
+    """A scanned row as title, link, body and the values to try, all by rank."""
+    def of(field: str) -> Column:
+        return F.filter(r["fields"], lambda f: f["field"] == field)
+
+    named = F.transform(of("title"), lambda f: F.struct(_one_line(f["text"]).alias("title"), f["link"].alias("link")))
+    title = F.get(F.filter(named, lambda t: t["title"].isNotNull() | t["link"].isNotNull()), F.lit(0))
+    own = F.when(r["link"].isNotNull(), F.struct(_one_line(r["text"]).alias("title"), r["link"].alias("link")))
+    chosen = F.coalesce(title, own)
+    return F.struct(
+        chosen["title"].alias("raw_title"), chosen["link"].alias("raw_url"), _one_line(r["text"]).alias("raw_body"),
+        F.transform(of("date"), lambda f: F.coalesce(F.nullif(f["stamp"], F.lit("")), f["text"])).alias("dates"),
+        F.transform(of("amount"), lambda f: f["text"]).alias("amounts"),
+    )
+
+
 def listing_pages(
     pages: DataFrame, profiles: dict[str, Profile] = PROFILES, platform: str = "source"
 ) -> DataFrame:
-    """Every page with its rows as texts; a platform without a profile gets the generic one."""
+    """Every page with its rows as texts; a platform without a profile gets the generic one.
+
+    Without a hit of a row selector all links are rows, and the page is *loose*.
+    """
     generic = profiles["generic_html"]
-    names = ["source", "listing_url", "loose", "rows"]
+    names = ["source", "listing_url", "rank", "found"]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for source, name, url, html in batch.itertuples(index=False, name=None):
-                loose, rows = page_rows(html or "", url, profiles.get(name, generic))
-                out.append((source, url, loose, rows))
+                rank, rows = scan_page(html or "", url, profiles.get(name, generic))
+                out.append((source, url, rank, rows))
             yield pd.DataFrame(out, columns=names)
 
-    return pages.select("source", F.col(platform).alias("platform"), "url", "html").mapInPandas(
+    scanned = pages.select("source", F.col(platform).alias("platform"), "url", "html").mapInPandas(
         parse, _PAGE_SCHEMA
     )
+    return scanned.select(
+        "source", "listing_url", (F.col("rank") == LOOSE).alias("loose"), F.transform("found", _row).alias("rows")
+    )
 
 
 def extract_listing_rows(
@@ -269,12 +274,12 @@ def extract_listing_rows(
     now: datetime,
     profiles: dict[str, Profile] = PROFILES,
     scope: R.ScopeRules = R.ScopeRules(),
-    max_rows: int | None = MAX_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """In-scope drafts of listing pages (``source``, ``url``, ``html``).
 
-    The first ``max_rows`` rows of a page count, and a link met again within a source does not;
-    the page first by address keeps it. Rows stay in their page's array until both is decided,
+    With ``max_rows`` only the first rows of a page count. A link met again within a source does not
+    count; the page first by address keeps it. Rows stay in their page's array until both is decided,
     so only the link comparison shuffles.
     """
     # Loose links are rows only when their own text is in scope.

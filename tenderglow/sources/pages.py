@@ -20,8 +20,11 @@ _ANCHOR = r"(?is)<a\s[^>]*href\s*=[^>]*>.*?</a\s*>"
 _HREF = r"(?is)^<a\s[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
 
 
-def cleaned(html: Column, max_chars: int | None = PAGE_CHARS) -> Column:
-    """Page without scripts, styles and comments, whitespace collapsed, cut to the budget."""
+def cleaned(html: Column, max_chars: int | None = None) -> Column:
+    """Page without scripts, styles and comments, whitespace collapsed.
+
+    With ``max_chars`` it is cut to that budget; a consumer with one passes ``PAGE_CHARS``.
+    """
     out = html
     for pattern in (
         r"(?is)<script[^>]*>.*?</script>",
@@ -36,8 +39,8 @@ def cleaned(html: Column, max_chars: int | None = PAGE_CHARS) -> Column:
     return F.when(F.length(out) > max_chars, cut).otherwise(out)
 
 
-def clean_pages(pages: DataFrame, max_chars: int | None = PAGE_CHARS) -> DataFrame:
-    """The budget is a size limit of the page consumer; ``None`` keeps pages whole."""
+def clean_pages(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """All pages cleaned, whole unless a budget is given."""
     return pages.withColumn("html", cleaned(F.col("html"), max_chars))
 
 

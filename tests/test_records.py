@@ -341,7 +341,7 @@ def test_report_sections_and_kpi(spark):
 
 def test_sections_order_and_cut(spark):
     rows = [record(id=f"{i:03}", score_commerciale=i % 7, ente=f"E{i % 3}") for i in range(60)]
-    got = report.section(frame(spark, rows, schemas.RECORD), "nuove_gare").collect()
+    got = report.section(frame(spark, rows, schemas.RECORD), "nuove_gare", 30).collect()
     wanted = sorted(rows, key=lambda r: (-r["score_commerciale"], r["ente"], r["id"]))[:30]
     assert [r.id for r in sorted(got, key=lambda r: r.position)] == [r["id"] for r in wanted]
 

@@ -38,48 +38,61 @@ def record_id(link: str) -> str:
     return hashlib.sha256(f"record|{link}".encode()).hexdigest()
 
 
-def apply_one_by_one(current: list[dict], batch: list[dict]) -> dict[str, dict]:
-    """What should happen, told notice by notice."""
-    records = [dict(r) for r in current]
-    held_since = {r["id"]: -1 for r in records}
+def targets_one_by_one(current: list[dict], batch: list[dict]) -> dict[str, list[dict]]:
+    """The notices of each record, in order; only links and CIGs decide."""
+    held = {r["id"]: (-1, r["first_seen_at"], r["id"], r["link_bando"], r["cig"] or None) for r in current}
+    went: dict[str, list[dict]] = {}
+    for step, n in enumerate(sorted(batch, key=lambda n: (n["fetched_at"], n["raw_id"]))):
+        hits = [h for h in held.values() if h[3] == n["link_bando"]]
+        hits = hits or [h for h in held.values() if n["cig"] and h[4] == n["cig"]]
+        if hits:
+            since, seen, key, link, cig = min(hits, key=lambda h: h[:3])
+            if cig is None and n["cig"]:
+                held[key] = (step, seen, key, link, n["cig"])
+        else:
+            key = record_id(n["link_bando"])
+            held[key] = (step, NOW, key, n["link_bando"], n["cig"])
+        went.setdefault(key, []).append(n)
+    return went
+
+
+def expected(old: dict | None, notices: list[dict]) -> dict:
+    """A record after its notices, each column from the whole ordered list of values."""
+    first, last = notices[0], notices[-1]
+    said = [old, *notices] if old else notices
+    # A first value stays even if it is zero; only later values must say something.
+    usable = lambda c: next((x[c] for i, x in enumerate(said) if x[c] not in (None, "") and (i == 0 or x[c])), said[0][c])
+    row = dict(old) if old else {c: first.get(c) for c in RECORD_COLUMNS}
+    row |= {c: usable(c) for c in GAPS}
+    row |= {f: R.YES if any(x[f] == R.YES for x in said) else said[0][f] for f in R.FLAGS}
+    row |= {c: last[c] for c in ("stato_procedurale", "reliability_index")}
+    row["validation_level"] = max(x["validation_level"] or "L1" for x in said)
+    lists = [n["tag_tecnico"] for n in notices if n["tag_tecnico"]]
+    kept = [t for t in ((old or {}).get("tag_tecnico") or "").split(",") if t]
+    if old is None and first["tag_tecnico"] and len(lists) == 1:
+        row["tag_tecnico"] = ",".join(lists[0])
+    elif lists:
+        row["tag_tecnico"] = ",".join(sorted({t for tags in lists for t in tags} | set(kept)))
+    else:
+        row["tag_tecnico"] = old["tag_tecnico"] if old else None
+    published = first["data_pubblicazione"]
+    row["tipo_novita"] = (
+        R.PRE_TENDER_SIGNAL if last["stato_procedurale"] == R.PRE_TENDER
+        else R.KNOWN_UPDATE if old or len(notices) > 1
+        else R.SURFACED_TODAY if published is not None and published.date() < NOW.date()
+        else R.NEW_TODAY
+    )
+    row["last_seen_at"] = NOW
+    if old is None:
+        row |= {"id": record_id(first["link_bando"]), "first_seen_at": NOW}
+    return row
 
-    def oldest(found):
-        return min(found, key=lambda r: (held_since[r["id"]], r["first_seen_at"], r["id"]), default=None)
 
-    for step, n in enumerate(sorted(batch, key=lambda n: (n["fetched_at"], n["raw_id"]))):
-        hit = oldest([r for r in records if r["link_bando"] == n["link_bando"]])
-        if hit is None and n["cig"]:
-            hit = oldest([r for r in records if r["cig"] == n["cig"]])
-        state = n["stato_procedurale"]
-        if hit is None:
-            late = n["data_pubblicazione"] is not None and n["data_pubblicazione"].date() < NOW.date()
-            fresh = {c: n.get(c) for c in RECORD_COLUMNS}
-            fresh |= {
-                "id": record_id(n["link_bando"]), "first_seen_at": NOW, "last_seen_at": NOW,
-                "tag_tecnico": ",".join(n["tag_tecnico"]) or None,
-                "tipo_novita": R.PRE_TENDER_SIGNAL if state == R.PRE_TENDER
-                else R.SURFACED_TODAY if late else R.NEW_TODAY,
-            }
-            records.append(fresh)
-            held_since[fresh["id"]] = step
-            continue
-        hit["last_seen_at"] = NOW
-        hit["stato_procedurale"] = state
-        hit["tipo_novita"] = R.PRE_TENDER_SIGNAL if state == R.PRE_TENDER else R.KNOWN_UPDATE
-        for name in GAPS:
-            if n[name] and hit[name] in (None, ""):
-                hit[name] = n[name]
-                if name == "cig":
-                    held_since[hit["id"]] = step
-        for flag in R.FLAGS:
-            if n[flag] == R.YES:
-                hit[flag] = R.YES
-        if n["tag_tecnico"]:
-            have = set((hit["tag_tecnico"] or "").split(",")) - {""}
-            hit["tag_tecnico"] = ",".join(sorted(have | set(n["tag_tecnico"])))
-        hit["validation_level"] = max(hit["validation_level"] or "L1", n["validation_level"])
-        hit["reliability_index"] = n["reliability_index"]
-    return {r["id"]: r for r in records}
+def apply_one_by_one(current: list[dict], batch: list[dict]) -> dict[str, dict]:
+    """What should happen: who goes where is told notice by notice, the values follow from the lists."""
+    stored = {r["id"]: r for r in current}
+    went = targets_one_by_one(current, batch)
+    return stored | {key: expected(stored.get(key), notices) for key, notices in went.items()}
 
 
 words = st.sampled_from([None, "x", "y"])
