@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import timedelta
 
+import pytest
 from conftest import utc
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from tenderglow import schemas
 from tenderglow.operators import normalise
 from tenderglow.operators.upsert import upsert
 from tenderglow.plans import daily
-from tenderglow.session import cut_lineage
+from tenderglow.session import cut_lineage, is_local, shared_dir
 from tenderglow.streaming import jobs
 
 NOW = utc(2026, 4, 22, 9, 30)
@@ -110,13 +111,9 @@ def test_repeated_windows_stream_equals_batch(spark, tmp_path):
 
 
 def test_daily_runs_on_stored_tables(spark, tmp_path):
-    first, second, third = (str(tmp_path / n) for n in ("d0", "d1", "d2"))
+    first, second, third, fourth, facts = (str(tmp_path / n) for n in ("d0", "d1", "d2", "d3", "facts"))
     sources(spark).write.parquet(f"{first}/sources")
-    for name, schema in (
-        ("alerts", schemas.ALERT), ("job_runs", schemas.JOB_RUN), ("procurement_records", schemas.RECORD),
-    ):
-        frame(spark, [], schema).write.parquet(f"{first}/{name}")
-    frame(spark, [], schemas.RECORD_EVENT).write.parquet(f"{first}/record_events")
+    spark.createDataFrame([("e1",)], "id STRING").write.parquet(f"{first}/entities")
 
     doc = json.dumps({"ente": "Comune di A", "importo": "6.000.000", "scadenza": "30/04/2026"})
     drafts = [
@@ -128,24 +125,70 @@ def test_daily_runs_on_stored_tables(spark, tmp_path):
     given = frame(spark, drafts, schemas.DRAFT)
     for _ in range(2):
         # Started twice: the second start overwrites the first one's output with the same.
-        daily.run_daily(spark, first, second, given, NOW)
+        daily.run_daily(spark, first, second, facts, given, NOW)
     records = daily.table(spark, second, "procurement_records", schemas.RECORD)
     got = {r.link_bando: r for r in records.collect()}
     assert set(got) == {"https://x/1", "https://x/2"}
     assert {r.tipo_novita for r in got.values()} == {R.NEW_TODAY}
     assert sum(r.master_record_id is None for r in got.values()) == 1
     assert {r.priorita_commerciale for r in got.values()} == {"P1"}
-    (report,) = spark.read.parquet(f"{second}/daily_reports").collect()
+    (report,) = spark.read.parquet(f"{facts}/daily_reports").collect()
     # Alerts open after the report, so it lists none yet.
     assert (report.total_new, json.loads(report.report_json)["kpi"]["total_anomalie_aperte"]) == (1, 0)
     assert daily.table(spark, second, "alerts", schemas.ALERT).count() == 2
-    (run,) = daily.table(spark, second, "job_runs", schemas.JOB_RUN).collect()
+    runs = {r.job_name: r for r in daily.table(spark, facts, "job_runs", schemas.JOB_RUN).collect()}
+    assert set(runs) == set(daily.STAGES) and {r.status for r in runs.values()} == {"success"}
+    run = runs["collect"]
     assert (run.records_found, run.records_valid, run.duplicates_removed) == (4, 2, 1)
+    assert (runs["normalise"].records_found, runs["normalise"].records_valid) == (2, 2)
+    assert daily.raw_history(spark, facts).filter("normalized_at IS NULL").count() == 0
 
-    daily.run_daily(spark, second, third, given, NOW + timedelta(days=1))
+    daily.run_daily(spark, second, third, facts, given, NOW + timedelta(days=1))
     later = daily.table(spark, third, "procurement_records", schemas.RECORD)
     assert {r.tipo_novita for r in later.collect()} == {R.KNOWN_UPDATE}
     assert daily.table(spark, third, "alerts", schemas.ALERT).count() == 2
-    reports = spark.read.parquet(f"{third}/daily_reports")
-    assert json.loads(reports.first().report_json)["kpi"]["total_anomalie_aperte"] == 2
+    reports = {r.report_date.day: json.loads(r.report_json) for r in spark.read.parquet(f"{facts}/daily_reports").collect()}
+    assert [reports[d]["kpi"]["total_anomalie_aperte"] for d in (22, 23)] == [0, 2]
+    assert spark.read.parquet(f"{facts}/report_alerts").count() == 2
     assert daily.table(spark, third, "sources", schemas.SOURCE).filter(F.col("last_checked_at").isNull()).count() == 0
+
+    # A day whose run fails after landing is taken up by the next run.
+    new = frame(spark, [draft(7, "Gara ponte relamping", extracted_json=doc)], schemas.DRAFT)
+    broken = daily.merge_notices
+
+    def fails(*_):
+        raise RuntimeError("lost")
+
+    daily.merge_notices = fails
+    try:
+        with pytest.raises(RuntimeError):
+            daily.run_daily(spark, third, str(tmp_path / "lost"), facts, new, NOW + timedelta(days=2))
+    finally:
+        daily.merge_notices = broken
+    lost = daily.table(spark, facts, "job_runs", f"{schemas.JOB_RUN}, day DATE").filter("status = 'failed'").collect()
+    assert [(r.job_name, r.error_message) for r in lost] == [("score", "lost")]
+    daily.run_daily(spark, third, fourth, facts, frame(spark, [], schemas.DRAFT), NOW + timedelta(days=3))
+    links = {r.link_bando for r in daily.table(spark, fourth, "procurement_records", schemas.RECORD).collect()}
+    assert "https://x/7" in links
+    assert spark.read.parquet(f"{facts}/daily_reports").count() == 3
+    assert spark.read.parquet(f"{fourth}/entities").count() == 1
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    assert is_local("local[4]") and is_local("local") and not is_local("local-cluster[3,2,1024]") and not is_local("yarn")
+
+    class Context:
+        master = "spark://m:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(Session())
