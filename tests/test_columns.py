@@ -32,6 +32,17 @@ def test_numeric_amount_keeps_sign(column):
     assert column([1500.5, -2.0], V.numeric_amount, "double") == [Decimal("1500.50"), Decimal("-2.00")]
 
 
+def test_fractions_of_a_second(column):
+    def shown(c):
+        return F.date_format(V.precise_timestamp(c), "yyyy-MM-dd HH:mm:ss")
+
+    cases = {
+        "2026-04-15T10:00:00.000": "2026-04-15 10:00:00", "2026-04-15T10:00:00.123456Z": "2026-04-15 10:00:00",
+        "2026-04-15T10:00:00.5+02:00": "2026-04-15 08:00:00", "2026-04-15": "2026-04-15 00:00:00", "x.5": None,
+    }
+    assert column(cases, shown) == list(cases.values())
+
+
 def test_dates(column):
     def shown(c):
         return F.date_format(V.it_date(c), "yyyy-MM-dd HH:mm:ss")

@@ -398,6 +398,29 @@ def test_search_wildcards_and_bounds(spark):
         ids(limit=1001)
 
 
+def test_pages_go_on_after_a_row(spark):
+    rows = [
+        record(id=str(i), first_seen_at=utc(2026, 4, 1 + i % 2), data_pubblicazione=utc(2026, 1, 1 + i % 3) if i % 4 else None)
+        for i in range(12)
+    ]
+    records = frame(spark, rows, schemas.RECORD)
+    whole = [r.id for r in search.search_records(records, search.RecordFilters()).collect()]
+    seen, last = [], None
+    while page := search.search_after(records, search.RecordFilters(), last, 5).collect():
+        seen += [r.id for r in page]
+        last = page[-1]
+    assert seen == whole and len(seen) == 12
+
+
+def test_sections_and_listings_are_whole_without_a_limit(spark):
+    rows = [record(id=f"{i:03}", is_weak_evidence=True) for i in range(60)]
+    records = frame(spark, rows, schemas.RECORD)
+    assert report.section(records, "evidenze_deboli").count() == 60
+    assert report.section(records, "evidenze_deboli", 0).count() == 0
+    assert report.section(records, "evidenze_deboli", 5).agg({"position": "max"}).first()[0] == 5
+    assert search.weak_evidence(records).count() == 60 and search.weak_evidence(records, 7).count() == 7
+
+
 def test_search_filters_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "records")
     frame(spark, [record()], schemas.RECORD).write.parquet(path)
