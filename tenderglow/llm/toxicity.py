@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tenderglow.llm import tokens
 from tenderglow.llm.common import in_fold, text_session, texts
+from tenderglow.session import cut_lineage
 
 BUCKETS, SIZES, WIDTH = 1 << 16, (3, 4, 5), 8
 #: Bounds of the training sample: texts of each label, and the longest text in it, in code points.
@@ -290,13 +291,20 @@ def _logistic(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, column: str, folds: int, fold: int, each: int, longest: int) -> DataFrame:
-    """At most ``each`` labelled texts per label, outside the held-out fold, in the order of a hash of the id."""
+    """At most ``each`` labelled texts per label, outside the held-out fold, in the order of a hash of the id.
+
+    Ids and lengths settle which; then at most twice ``each`` ids are sent to where the texts are. A repeated id counts
+    with one of its texts.
+    """
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).alias("label"))
     known = known.where(~in_fold(F.col("doc_id"), folds, fold))
-    source = texts(docs).where(F.length("text") <= longest).join(known, "doc_id")
-    parts = [source.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for y in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    source = texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    fitting = source.where((F.length("text") <= longest) & F.col("doc_id").isNotNull())
+    narrow = fitting.groupBy("doc_id").agg(F.min("text_hash").alias("text_hash")).join(known, "doc_id")
+    parts = [narrow.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for y in (0, 1)]
+    chosen = cut_lineage(parts[0].unionByName(parts[1]))
+    return source.join(F.broadcast(chosen), ["doc_id", "text_hash"]).dropDuplicates(["doc_id"])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sample: int = SAMPLE,
