@@ -34,9 +34,11 @@ from tenderglow.session import cut_lineage
 #: Minwise tokens per set.
 SKETCH = 128
 #: Largest node whose documents are compared exhaustively.
-NODE = 400
+NODE = 1000
 #: Levels after which a node that does not shrink is compared in blocks.
 DEPTH = 12
+#: Shingles of all sets that one node brings into a task; beyond it the node is dealt into tiles.
+SET_TOKENS = 4 << 20
 
 
 def trees_for(recall: float, similarity: float, depth: int = 4) -> int:
@@ -174,7 +176,7 @@ def leaves(roots: DataFrame, sketched: DataFrame, labels: DataFrame, part: float
     done, rows = [], roots
     while True:
         sized = cut_lineage(_open(rows, labels))
-        small = (F.col("size") <= node) | (F.col("work") <= node * node / 2)
+        small = (F.col("size") <= node) | ((F.col("work") <= node * node / 2) & (F.col("size") <= 8 * node))
         done.append(sized.where(small).select("node", "doc_id", "label"))
         large = sized.where(~small)
         if large.isEmpty():
@@ -197,92 +199,159 @@ def _blocks(node: int):
 
 def _tiles(large: DataFrame, node: int) -> DataFrame:
     """Documents of large nodes, once per tile: blocks by hash, a tile for each two blocks."""
-    blocks, own = _blocks(max(node // 2, 1))
+    blocks, own = _blocks(max(node // 2, 1))  # ``size`` may count documents or shingles
     dealt = large.select("node", "doc_id", "label", blocks.alias("blocks"), own(blocks).alias("own"))
     each = dealt.select("node", "doc_id", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tile = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
     return each.select(tile.alias("node"), "doc_id", "label")
 
 
-def _leaders(least: float):
-    """Pass 1: documents of a node join the first leader that looks similar, or become leaders."""
-    def compare(label: np.ndarray, ids: np.ndarray, short: np.ndarray) -> list[tuple[int, int]]:
-        out, left = [], np.arange(len(ids))
-        while len(left) > 1:
-            near = (short[left[1:]] == short[left[0]]).mean(axis=1) >= least
-            out += [(ids[left[0]], ids[j]) for j in left[1:][near]]
-            left = left[1:][~near]
-        return out
-
-    return compare
+def _by_node(columns: tuple[str, ...], work, schema: tuple[str, ...]):
+    """Runs ``work`` on the rows of every node; rows come sorted by node, a node may go on in the next batch.
 
-
-def _across(least: float):
-    """Pass 2: all pairs that look similar and are not yet connected."""
-    def compare(label: np.ndarray, ids: np.ndarray, short: np.ndarray) -> list[tuple[int, int]]:
-        out = []
-        if (label == label[0]).all():
-            return out
-        for i in range(len(ids) - 1):
-            other = np.flatnonzero(label[i + 1:] != label[i]) + i + 1
-            near = other[(short[other] == short[i]).mean(axis=1) >= least]
-            out += [(ids[i], ids[j]) for j in near]
-        return out
-
-    return compare
-
-
-def _pairs(compare):
-    """Runs ``compare`` on every node; rows come sorted by node, a node may go on in the next batch."""
+    ``work`` takes one list or array per column and returns rows of ids.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(node, label, ids, short):
-            cuts = np.flatnonzero(np.diff(node)) + 1
+        def flush(rows: list[np.ndarray]) -> pa.RecordBatch:
+            cuts = np.flatnonzero(np.diff(rows[0])) + 1
             found = []
-            for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(node)]]), strict=True):
+            for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(rows[0])]]), strict=True):
                 if hi - lo > 1:
-                    order = np.argsort(ids[lo:hi], kind="stable") + lo
-                    found += compare(label[order], ids[order], short[order])
-            a = np.array([x for x, _ in found], np.int64)
-            b = np.array([x for _, x in found], np.int64)
-            return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+                    found += work(*(x[lo:hi] for x in rows))
+            out = np.array(found, np.int64).reshape(-1, len(schema))
+            return pa.RecordBatch.from_pydict({n: pa.array(out[:, i].copy()) for i, n in enumerate(schema)})
 
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            # The low byte of each token is enough to estimate the similarity.
-            short = _stacked(batch.column("sketch")).astype(np.uint8)
-            own = [batch.column("node").to_numpy(), batch.column("label").to_numpy(), batch.column("doc_id").to_numpy(), short]
+            own = [_column(batch.column(c)) for c in columns]
             held = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
             cut = int(np.searchsorted(held[0], held[0][-1], "left"))
             if cut:
-                yield flush(*(x[:cut] for x in held))
+                yield flush([x[:cut] for x in held])
                 held = [x[cut:] for x in held]
         if held is not None:
-            yield flush(*held)
+            yield flush(held)
 
     return run
 
 
-def _compared(nodes: DataFrame, sketched: DataFrame, compare) -> DataFrame:
-    rows = nodes.join(sketched, "doc_id").select("node", "label", "doc_id", "sketch")
-    rows = rows.repartition("node").sortWithinPartitions("node")
-    return rows.mapInArrow(_pairs(compare), "a long, b long").distinct()
+def _column(column: pa.Array) -> np.ndarray:
+    """Numbers as they are, sketches as a table of their low bytes, sets as byte strings."""
+    if pa.types.is_binary(column.type):
+        # The low byte of each token is enough to estimate a similarity.
+        return _stacked(column).astype(np.uint8)
+    if pa.types.is_list(column.type):
+        out = np.empty(len(column), object)
+        values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        out[:] = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return out
+    return column.to_numpy()
+
+
+def _leaders(least: float):
+    """Pass 1: documents of a node join the first leader that looks similar, or become leaders."""
+    def work(node: np.ndarray, ids: np.ndarray, short: np.ndarray) -> list[tuple[int, int]]:
+        out, left = [], np.argsort(ids, kind="stable")
+        while len(left) > 1:
+            near = (short[left[1:]] == short[left[0]]).mean(axis=1) >= least
+            out += [(ids[left[0]], ids[j]) for j in left[1:][near]]
+            left = left[1:][~near]
+        return out
+
+    return work
+
+
+def _hopeful(least: float):
+    """Pass 2: the documents of a node that look similar to one they are not connected with."""
+    def work(node: np.ndarray, label: np.ndarray, ids: np.ndarray, short: np.ndarray) -> list[tuple[int, int, int]]:
+        near = np.zeros(len(ids), bool)
+        names, which, often = np.unique(label, return_inverse=True, return_counts=True)
+        for i in np.flatnonzero(which != often.argmax()):  # the largest component compares with the others only
+            hit = (label != label[i]) & ((short == short[i]).mean(axis=1) >= least)
+            near |= hit
+            near[i] |= hit.any()
+        return [(node[0], label[i], ids[i]) for i in np.flatnonzero(near)]
+
+    return work
+
+
+def _linked(percent: int):
+    """Pass 2: links between components, confirmed on the full sets; one for each two components is enough."""
+    def work(node: np.ndarray, label: np.ndarray, ids: np.ndarray, sets: np.ndarray) -> list[tuple[int, int]]:
+        _, which, often = np.unique(label, return_inverse=True, return_counts=True)
+        rows = np.flatnonzero(which != often.argmax())
+        size = np.array([len(s) for s in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        _, token, uses = np.unique(np.concatenate(list(sets)), return_inverse=True, return_counts=True)
+        common = uses > 1
+        row, token = row[common[token]], (np.cumsum(common) - 1)[token[common[token]]]
+        order = np.argsort(token, kind="stable")
+        row, token = row[order], token[order]
+        both = np.zeros((len(rows), len(sets)), np.float32)
+        for at in range(0, int(common.sum()), 4096):
+            lo, hi = np.searchsorted(token, [at, at + 4096])
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[row[lo:hi], token[lo:hi] - at] = 1
+            both += part[rows] @ part.T
+        union = size[rows][:, None] + size[None, :] - both
+        hit = (100 * both.astype(np.int64) >= percent * union.astype(np.int64)) & (label[rows][:, None] != label[None, :])
+        found = {}
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            a, b = sorted(((label[rows[i]], ids[rows[i]]), (label[j], ids[j])))
+            found.setdefault((a[0], b[0]), (a[1], b[1]))
+        return list(found.values())
+
+    return work
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartition("node").sortWithinPartitions("node")
 
 
 def star_pairs(roots: DataFrame, sketched: DataFrame, least: float, node: int = NODE) -> DataFrame:
     """Pairs of a document and a leader of its node; a large node is dealt into blocks, other trees deal it otherwise."""
     blocks, own = _blocks(node)
-    dealt = roots.select(F.xxhash64("node", own(blocks)).alias("node"), F.col("doc_id").alias("label"), "doc_id")
-    return _compared(dealt, sketched, _leaders(least))
+    dealt = roots.select(F.xxhash64("node", own(blocks)).alias("node"), "doc_id")
+    rows = dealt.join(sketched.select("doc_id", "sketch"), "doc_id").select("node", "doc_id", "sketch")
+    pairs = _sorted(rows).mapInArrow(_by_node(("node", "doc_id", "sketch"), _leaders(least), ("a", "b")), "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def open_links(nodes: DataFrame, sketched: DataFrame, reps: DataFrame, size: int, percent: int, least: float) -> DataFrame:
+    """Confirmed links between documents of ``nodes`` (node, doc_id, label) with different labels, ``a, b``.
+
+    Only documents that look similar to an unconnected one bring their sets, and they bring them to the node, not to every
+    pair. A node whose sets are too large for a task is dealt into tiles.
+    """
+    rows = nodes.join(sketched.select("doc_id", "sketch"), "doc_id").select("node", "label", "doc_id", "sketch")
+    names = ("node", "label", "doc_id")
+    hope = _sorted(rows).mapInArrow(_by_node((*names, "sketch"), _hopeful(least), names), "node long, label long, doc_id long")
+    hope = cut_lineage(hope.distinct())
+    members = cut_lineage(hope.select("doc_id").distinct())
+    sets = cut_lineage(set_table(reps, members, size))
+    weights = hope.join(sets.select("doc_id", F.size("shingles").alias("n")), "doc_id").groupBy("node").agg(F.sum("n").alias("size"))
+    sized = hope.join(cut_lineage(weights), "node")
+    light = sized.where(F.col("size") <= SET_TOKENS).select("node", "doc_id", "label")
+    dealt = light.unionByName(_tiles(sized.where(F.col("size") > SET_TOKENS), SET_TOKENS))
+    rows = dealt.join(sets, "doc_id").select("node", "label", "doc_id", "shingles")
+    return _sorted(rows).mapInArrow(_by_node((*names, "shingles"), _linked(percent), ("a", "b")), "a long, b long").distinct()
+
+
+def set_table(reps: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """``doc_id, shingles`` of the wanted documents."""
+    wanted = F.broadcast(members) if fits(members, 16) else members
+    return reps.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, shingles array<long>")
 
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(g.hashes[g.of(i)], size).tobytes()
+            found = [shingle_set(g.hashes[g.of(i)], size).view(np.int64)
                      for g in tokens.groups(batch.column("text"), lower=True) for i in range(g.last - g.first)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "shingles": pa.array(found, pa.binary())})
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "shingles": pa.array(found, pa.list_(pa.int64()))})
 
     return run
 
@@ -291,8 +360,7 @@ def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for s, t in zip(_column(batch.column("x")), _column(batch.column("y")), strict=True):
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
@@ -303,9 +371,7 @@ def _confirm(percent: int):
 def confirmed(pairs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets reach the similarity. ``reps`` has ``doc_id, text`` of every class once."""
     members = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    wanted = F.broadcast(members) if fits(members, 16) else members
-    sets = reps.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, shingles binary")
-    sets = cut_lineage(sets)
+    sets = cut_lineage(set_table(reps, members, size))
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
 
@@ -333,10 +399,9 @@ def find_components(docs: DataFrame, size: int = 2, percent: int = 80, recall: f
     links = cut_lineage(confirmed(cut_lineage(star_pairs(roots, sketched, least)), reps, size, percent))
     labels = components.connect(spark, links)
     nodes = leaves(roots.select("node", "doc_id"), sketched, labels, part, level)
-    rest = cut_lineage(_compared(nodes, sketched, _across(least)))
-    if not rest.isEmpty():
-        more = cut_lineage(confirmed(rest, reps, size, percent))
-        labels = components.connect(spark, links.unionByName(more))
+    more = cut_lineage(open_links(nodes, sketched, reps, size, percent, least))
+    if not more.isEmpty():
+        labels = components.extend(spark, labels, more)
     named_class = classes.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select(
         "key", F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.select("doc_id", "text_hash", "n_shingles", "key").join(named_class, "key", "left")
