@@ -121,9 +121,9 @@ def contaminated(n_hit: Column, n_words: Column, share: int = 20) -> Column:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
     """The documents, all columns, without contaminated ones."""
     found = find_overlaps(docs, benchmark, **options).where(contaminated(F.col("n_hit"), F.col("n_words")))
-    bad = found.select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct()
+    bad = cut_lineage(found.select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_bad_key"))
-    return docs.join(bad, same, "left_anti")
+    return docs.join(maybe_broadcast(bad, 32), same, "left_anti")
 
 
 def digest(found: DataFrame) -> DataFrame:
