@@ -1,14 +1,14 @@
 """Language-model scoring by prediction by partial matching (PPM).
 
-A trie of byte contexts is counted over all training texts. The chance of a byte is its share in the longest context
-known; a context that lacks it escapes (method C: as often as it has distinct bytes) to the next shorter one, in which the
-bytes it had are excluded, down to all bytes alike. The trie is trained beforehand; adding the code lengths of all bytes
-and of an end mark gives the text's log probability. A-Z are lowered first, as for the words.
+Byte contexts are counted over all training texts. The chance of a byte is its share in the longest context known; a
+context that lacks it escapes (method C: as often as it has distinct bytes) to the next shorter one, in which the bytes it
+had are excluded, down to all bytes alike. The counts are made beforehand; adding the code lengths of all bytes and of an
+end mark gives the text's log probability. A-Z are lowered first, as for the words.
 
-Counts cover every training text. Only the model's capacity is fixed: the ``contexts`` most frequent contexts are kept
-(a context is never more frequent than its suffixes, so these form a trie), which bounds what is sent to the workers. A
-unigram word score with smoothing is computed beside it: counts of the most frequent words are sent to the workers,
-those of all other words are joined.
+Every context of the training texts is kept, in stored tables with one row per gram (a context and its byte), one for each
+order. Workers get the log chances of the most frequent whole grams; all others, seen or not, are scored once each by joins
+from order to order and then joined to the texts, so what is sent to the workers changes no score. A unigram word score
+with smoothing is computed beside it in the same way: counts of the most frequent words are sent, all others are joined.
 
 Defined cases: a null or empty text scores its end mark alone; a null ``doc_id`` is in the training part; repeated rows
 are counted and scored each; an empty table gives an empty table; other columns are ignored.
@@ -16,6 +16,7 @@ are counted and scored each; an empty table gives an empty table; other columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderglow.llm import tokens
-from tenderglow.llm.common import in_fold, text_session, texts
+from tenderglow.llm.common import in_fold, maybe_broadcast, text_session, texts
 from tenderglow.session import cut_lineage
 
 #: Longest context in bytes.
 ORDER = 5
-#: Contexts kept in the trie, and words whose counts are sent to the workers.
-CONTEXTS, FREQUENT = 40_000, 65_536
+#: Grams whose log chances, and words whose counts, are sent to the workers at most.
+GRAMS, FREQUENT = 1_000_000, 65_536
 _END = np.int64(-0x1234567890ABCDEF)  # the end token among the word hashes
 _WORD, _GRAM = 0, 1
 
@@ -47,16 +48,21 @@ def _padded(group: tokens.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, place, group.offsets[:-1] + np.arange(count)
 
 
+def _grams(group: tokens.Words) -> np.ndarray:
+    """Of each byte to predict: the ORDER bytes before it and itself, the latest lowest."""
+    data, place, _ = _padded(group)
+    gram = np.zeros(len(place), np.int64)
+    for back in range(ORDER, -1, -1):
+        gram = gram << 8 | data[place - back]
+    return gram
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for group in tokens.groups(batch.column("text"), lower=True):
             words, times = np.unique(group.hashes.view(np.int64), return_counts=True)
             words, times = np.append(words, _END), np.append(times, group.last - group.first)
-            data, place, _ = _padded(group)
-            gram = np.zeros(len(place), np.int64)
-            for back in range(ORDER, -1, -1):
-                gram = gram << 8 | data[place - back]
-            grams, often = np.unique(gram, return_counts=True)
+            grams, often = np.unique(_grams(group), return_counts=True)
             yield pa.RecordBatch.from_pydict({
                 "kind": pa.array(np.repeat(np.array([_WORD, _GRAM], np.int8), [len(words), len(grams)])),
                 "key": pa.array(np.concatenate([words, grams])), "times": pa.array(np.concatenate([times, often]).astype(np.int64))})
@@ -68,21 +74,83 @@ def count(train: DataFrame) -> DataFrame:
     return cut_lineage(parts.groupBy("kind", "key").agg(F.sum("times").alias("times")))
 
 
-def trie_rows(counts: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
-    """``size, context, symbol, times`` of the most frequent contexts of at most ORDER bytes."""
-    grams = counts.where(F.col("kind") == _GRAM).select(
-        F.shiftright("key", 8).alias("full"), F.col("key").bitwiseAND(255).alias("symbol"), "times")
-    sizes = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("size")
-    cut = F.expr("full & (shiftleft(1L, size * 8) - 1)")
-    rows = grams.select("full", "symbol", "times", sizes).select("size", cut.alias("context"), "symbol", "times")
-    rows = cut_lineage(rows.groupBy("size", "context", "symbol").agg(F.sum("times").alias("times")))
-    best = rows.groupBy("size", "context").agg(F.sum("times").alias("all")).orderBy(
-        F.desc("all"), "size", "context").limit(contexts)
-    return rows.join(best.select("size", "context"), ["size", "context"])
+def _cut(size: int, column: str = "key"):
+    """The lowest ``size`` bytes."""
+    return F.col(column).bitwiseAND((1 << 8 * size) - 1)
+
+
+def orders(grams: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Stored tables for each order from 0: ``key, times`` of all grams and what their contexts hold.
+
+    ``context, total, kinds`` are occurrences and distinct bytes; ``left, left_kinds`` those of the next shorter context
+    without the bytes that this one has. Every byte of a context also follows the shorter one, so none is lost in the joins.
+    """
+    tables = [grams]
+    for n in range(ORDER, 0, -1):
+        tables.insert(0, cut_lineage(tables[0].select(_cut(n).alias("key"), "times").groupBy("key").agg(F.sum("times").alias("times"))))
+    contexts = []
+    for n, table in enumerate(tables):
+        rows = table.select(F.shiftright("key", 8).alias("context"), "times", _cut(n).alias("lower"))
+        sums = [F.sum("times").alias("total"), F.count("*").alias("kinds")]
+        if n == 0:
+            found = rows.groupBy("context").agg(*sums).select("*", F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("left_kinds"))
+        else:
+            below, above = tables[n - 1].toDF("lower", "below"), contexts[n - 1].select(
+                F.col("context").alias("shorter"), F.col("total").alias("all"), F.col("kinds").alias("all_kinds"))
+            if n <= 2:  # at most 65,536 grams
+                below, above = F.broadcast(below), F.broadcast(above)
+            found = rows.join(below, "lower").groupBy("context").agg(*sums, F.sum("below").alias("taken"))
+            found = found.withColumn("shorter", _cut(n - 1, "context")).join(above, "shorter").select(
+                "context", "total", "kinds", (F.col("all") - F.col("taken")).alias("left"), (F.col("all_kinds") - F.col("kinds")).alias("left_kinds"))
+        contexts.append(cut_lineage(found))
+    return tables, contexts
+
+
+def gram_logs(wanted: DataFrame, tables: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
+    """``key, log``: log10 chances of distinct grams, seen or not, worked out from order to order."""
+    needed = [wanted]
+    for n in range(ORDER, 0, -1):
+        needed.insert(0, cut_lineage(needed[0].select(_cut(n).alias("key")).distinct()))
+    seen, known = F.col("times").isNotNull(), F.col("total").isNotNull()
+    size = F.log10(F.col("total") + F.col("kinds"))
+    below = None
+    for n in range(ORDER + 1):
+        held = contexts[n].withColumnRenamed("context", "longer")
+        rows = needed[n].join(F.broadcast(tables[n]) if n <= 1 else tables[n], "key", "left").withColumn("longer", F.shiftright("key", 8))
+        rows = rows.join(F.broadcast(held) if n <= 2 else held, "longer", "left")
+        if below is None:
+            # ``rest`` is the log chance of a byte that the context lacks, once it has escaped.
+            rows = rows.withColumn("rest", -F.log10(F.greatest(256 - F.coalesce("kinds", F.lit(0)), F.lit(1)))).withColumn(
+                "shorter_log", F.lit(-math.log10(256)))
+        else:
+            lower = below.select(F.col("key").alias("lower"), F.col("times").alias("below"), F.col("log").alias("shorter_log"),
+                                 F.col("rest").alias("shorter_rest"))
+            rows = rows.withColumn("lower", _cut(n)).join(F.broadcast(lower) if n <= 2 else lower, "lower")
+            left = F.log10(F.col("left") + F.col("left_kinds"))
+            escape = F.when(F.col("left_kinds") > 0, F.log10("left_kinds") - left).otherwise(0.0)
+            rows = rows.withColumn("rest", F.when(F.col("below").isNotNull(), F.log10("below") - left).otherwise(escape + F.col("shorter_rest")))
+        log = F.when(seen, F.log10("times") - size).when(known, F.log10("kinds") - size + F.col("rest")).otherwise(F.col("shorter_log"))
+        below = rows.select("key", "times", "rest", log.alias("log"))
+        if n in (2, ORDER):
+            below = cut_lineage(below)
+    return below.select("key", "log")
+
+
+def frequent_grams(grams: DataFrame, contexts: DataFrame, most: int = GRAMS) -> DataFrame:
+    """``key, log`` of the most frequent whole grams, at most ``most``; chosen by a histogram, so nothing is sorted."""
+    level = F.floor(F.log2("times") * 16).cast("int")
+    rows, cut = 0, 1 << 20
+    for r in grams.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 1,024 levels
+        rows += r["count"]
+        if rows > most:
+            break
+        cut = r.level
+    often = grams.where(level >= cut).withColumn("context", F.shiftright("key", 8))
+    return often.join(contexts, "context").select("key", (F.log10("times") - F.log10(F.col("total") + F.col("kinds"))).cast("float").alias("log"))
 
 
 class Trie:
-    """Log10 chances of all 256 bytes after every kept context, escapes and exclusion worked out beforehand."""
+    """The same chances in memory, of all 256 bytes after every context, for small models; tests follow the tables by it."""
 
     def __init__(self, size: np.ndarray, context: np.ndarray, symbol: np.ndarray, times: np.ndarray) -> None:
         names = context | size << 40
@@ -132,14 +200,19 @@ class Trie:
         return self.log[state, data[place]]
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    values = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.array(values.astype(np.int64)))
+
+
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        trie = Trie(*model["trie"])
+        grams, gram_logs = model["grams"], model["gram_logs"]
         keys, logs, end_log = model["keys"], model["logs"], model["end_log"]
         for batch in batches:
-            parts = {"n_tokens": [], "head_known": [], "head_score": [], "score": []}
-            tails = []
+            parts = {"n_tokens": [], "head_known": [], "head_score": [], "gram_score": []}
+            tails, gram_tails, gram_times = [], [], []
             for group in tokens.groups(batch.column("text"), lower=True, most=1 << 20):
                 docs = group.last - group.first
                 words, doc = group.hashes.view(np.int64), group.doc
@@ -150,24 +223,32 @@ def _scored(shared):
                 parts["head_score"].append(np.bincount(doc[hit], weights=logs[at[hit]], minlength=docs) + end_log)
                 rest = words[~hit]
                 tails += np.split(rest, np.searchsorted(doc[~hit], np.arange(1, docs)))
-                data, place, first = _padded(group)
-                parts["score"].append(np.add.reduceat(trie.log10(data, place).astype(np.float64), first))
+                own, which = np.unique(_grams(group), return_inverse=True)
+                at = np.minimum(np.searchsorted(grams, own), max(len(grams) - 1, 0))
+                hit = grams[at] == own if len(grams) else np.zeros(len(own), bool)
+                log = np.where(hit, gram_logs[at], 0) if len(grams) else np.zeros(len(own))
+                size = np.diff(group.offsets) + 1
+                parts["gram_score"].append(np.add.reduceat(log[which], np.cumsum(size) - size))
+                left = np.flatnonzero(~hit[which])
+                pair, often = np.unique(np.repeat(np.arange(docs), size)[left] * len(own) + which[left], return_counts=True)
+                cuts = np.searchsorted(pair, np.arange(1, docs) * len(own))
+                gram_tails += np.split(own[pair % len(own)], cuts)
+                gram_times += np.split(often, cuts)
             flat = {k: np.concatenate(v) if v else np.zeros(0) for k, v in parts.items()}
-            offsets = np.cumsum([0, *map(len, tails)]).astype(np.int32)
-            values = np.concatenate(tails) if tails else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
                 "n_tokens": pa.array(flat["n_tokens"].astype(np.int64)), "head_known": pa.array(flat["head_known"].astype(np.int64)),
-                "head_score": pa.array(flat["head_score"].astype(np.float64)), "score": pa.array(flat["score"].astype(np.float64)),
-                "tail": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))})
+                "head_score": pa.array(flat["head_score"].astype(np.float64)), "gram_score": pa.array(flat["gram_score"].astype(np.float64)),
+                "tail": _lists(tails), "gram_tail": _lists(gram_tails), "gram_times": _lists(gram_times)})
 
     return run
 
 
-def score_texts(docs: DataFrame, folds: int = 5, fold: int = 1, contexts: int = CONTEXTS, frequent: int = FREQUENT) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 5, fold: int = 1, grams: int = GRAMS, frequent: int = FREQUENT) -> DataFrame:
     """Per document: tokens, unigram ``base_score`` and PPM ``score`` (log10 chances), learned from all other folds.
 
-    The driver holds the ``frequent`` counts and the rows of ``contexts`` contexts (at most 256 each), nothing else.
+    The driver holds the ``frequent`` counts and the log chances of at most ``grams`` grams, nothing else; both only say what
+    is joined, not what is known.
     """
     spark = text_session(docs.sparkSession)
     source = texts(docs).withColumn("held_out", in_fold(F.col("doc_id"), folds, fold))
@@ -177,19 +258,28 @@ def score_texts(docs: DataFrame, folds: int = 5, fold: int = 1, contexts: int =
                       F.coalesce(F.sum(F.when(F.col("key") == int(_END), F.col("times"))), F.lit(0)).alias("ends")).first()
     scale = total.n + 0.5 * (total.v + 1)
     head = words.where(F.col("key") != int(_END)).orderBy(F.desc("times"), "key").limit(frequent).toPandas().sort_values("key")
-    rows = trie_rows(counts, contexts).toPandas()
+    tables, contexts = orders(counts.where(F.col("kind") == _GRAM).select("key", "times"))
+    often = frequent_grams(tables[ORDER], contexts[ORDER], grams).toArrow()
+    keys = often["key"].to_numpy()
+    order = np.argsort(keys)
     shared = spark.sparkContext.broadcast({
         "keys": head["key"].to_numpy(np.int64), "logs": np.log10((head["times"].to_numpy(np.float64) + 0.5) / scale),
         "end_known": total.ends > 0, "end_log": float(np.log10((total.ends + 0.5) / scale)),
-        "trie": [rows[c].to_numpy(np.int64) for c in ("size", "context", "symbol", "times")]})
+        "grams": keys[order], "gram_logs": often["log"].to_numpy()[order]})
+    del often, keys, order
     scored = source.mapInArrow(_scored(shared), "doc_id long, held_out boolean, n_tokens long, head_known long, "
-                               "head_score double, score double, tail array<long>")
+                               "head_score double, gram_score double, tail array<long>, gram_tail array<long>, gram_times array<long>")
     scored = cut_lineage(scored.withColumn("row", F.monotonically_increasing_id()))
     tail = scored.select("row", F.explode("tail").alias("key")).join(words, "key", "left")
     tail = tail.groupBy("row").agg(
         F.count("times").alias("tail_known"),
         F.sum(F.log10((F.coalesce("times", F.lit(0)) + 0.5) / F.lit(scale))).alias("tail_score"))
-    return scored.join(tail, "row", "left").select(
+    pairs = scored.select("row", F.explode(F.arrays_zip("gram_tail", "gram_times")).alias("gram")).select(
+        "row", F.col("gram.gram_tail").alias("key"), F.col("gram.gram_times").alias("times"))
+    logs = gram_logs(cut_lineage(pairs.select("key").distinct()), tables, contexts)
+    left = pairs.join(maybe_broadcast(logs, 16, 4 << 20), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("gram_rest"))
+    return scored.join(tail, "row", "left").join(left, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(total.n).cast("long").alias("train_tokens"),
-        (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"),
+        (F.col("gram_score") + F.coalesce("gram_rest", F.lit(0.0))).alias("score"))

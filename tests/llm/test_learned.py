@@ -56,6 +56,20 @@ def test_ppm_against_a_byte_by_byte_model(spark):
         assert got[i] == pytest.approx(ppm(train, t or ""), rel=1e-5)
 
 
+@pytest.mark.parametrize("head", [0, 500, lm_score.GRAMS])
+def test_ppm_keeps_more_contexts_than_are_sent(spark, head):
+    """40,000 contexts were kept once, whatever the input; a text of random letters has more."""
+    draw = random.Random(5)
+    texts = [(i, "".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(6000))) for i in range(8)]
+    texts += [(20 + i, t[3000:3400] + "é") for i, t in texts] + [(51, None), (52, "Zebra quiz")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    train = [t or "" for i, t in texts if brute.fold(i, 5) != 1]
+    assert len({t[p:p + 5] for t in train for p in range(len(t) - 4)}) > 30_000 and len(train) < len(texts)
+    got = {r.doc_id: r.score for r in lm_score.score_texts(docs, grams=head).collect()}
+    for i, t in texts:
+        assert got[i] == pytest.approx(ppm(train, t or ""), rel=1e-5)
+
+
 def test_pruned_trie_still_gives_chances_of_all_bytes():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 103, 4000)
