@@ -8,7 +8,7 @@ confirmed on the full shingle sets.
 
 Sets that are equal are one class before any of this, so exact copies cost nothing. Two passes keep dense groups of
 near copies linear: the first links each document to a leader of its node; in the second, nodes whose documents are all
-connected are closed, the others branch until little is left, and only documents not yet connected are compared. This loses
+connected are closed, the others are compared, in blocks if they are large, and only documents not yet connected. This loses
 no component.
 
 Defined cases: without words the set is empty and linked with nothing; with fewer words than a shingle the whole sequence
@@ -35,20 +35,40 @@ from tenderglow.session import cut_lineage
 SKETCH = 128
 #: Largest node whose documents are compared exhaustively.
 NODE = 1000
-#: Levels after which a node that does not shrink is compared in blocks.
-DEPTH = 12
+#: Levels of every tree; a node that is still too large then is compared in blocks, so recall does not depend on the input's size.
+DEPTH = 3
 #: Shingles of all sets that one node brings into a task; beyond it the node is dealt into tiles.
 SET_TOKENS = 4 << 20
 
 
-def trees_for(recall: float, similarity: float, depth: int = 4) -> int:
-    """Trees for which a pair of exactly the given similarity meets with the wanted probability at the given depth."""
-    part = 1 / similarity - 1  # how often a node picks a second position
-    apart = 0.0
-    for _ in range(depth):
-        lost = 1 - similarity + similarity * apart
-        apart = (1 - part) * lost + part * lost * lost
-    return math.ceil(math.log(1 - recall) / math.log(apart))
+def least_similar(similarity: float) -> float:
+    """Share of equal minwise tokens below which two sketches are not looked at further."""
+    return similarity - 5.5 * math.sqrt(similarity * (1 - similarity) / SKETCH)
+
+
+def missed(trees: int, similarity: float, depth: int = DEPTH) -> float:
+    """Chance that a pair of exactly the given similarity meets in none of the trees, or looks too unlike where it does.
+
+    All trees draw from one sketch, so they are independent only once its number of equal tokens is given.
+    """
+    part = (1 / similarity - 1) * (1 - 1 / SKETCH)  # how often a node picks a second, other position
+    total = 0.0
+    for equal in range(SKETCH + 1):
+        share, apart = equal / SKETCH, 0.0
+        for _ in range(depth):
+            lost = 1 - share + share * apart
+            apart = (1 - part) * lost + part * lost * lost
+        chance = math.comb(SKETCH, equal) * similarity ** equal * (1 - similarity) ** (SKETCH - equal)
+        total += chance * (1.0 if share < least_similar(similarity) else apart ** trees)
+    return total
+
+
+def trees_for(recall: float, similarity: float, depth: int = DEPTH) -> int:
+    """Trees for which a pair of exactly the given similarity is found with the wanted probability at the given depth."""
+    for trees in range(1, 1000):
+        if missed(trees, similarity, depth) <= 1 - recall:
+            return trees
+    raise ValueError("a sketch of this size cannot reach the wanted recall")
 
 
 def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -380,7 +400,7 @@ def find_components(docs: DataFrame, size: int = 2, percent: int = 80, recall: f
     """Per document row: ``doc_id``, ``text_hash``, ``n_shingles``, ``key`` of its set, ``component_id``, the least id reachable,
     and ``class_id``, which also rows without an id have if their set does.
 
-    ``recall`` is the wanted probability that a pair of exactly the limit similarity meets in one of the trees.
+    ``recall`` is the wanted probability that a pair of exactly the limit similarity is found, see ``missed``.
     """
     similarity = percent / 100
     spark = text_session(docs.sparkSession)
@@ -391,8 +411,8 @@ def find_components(docs: DataFrame, size: int = 2, percent: int = 80, recall: f
     named = rows.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     classes = cut_lineage(named.groupBy("key").agg(F.min("doc_id").alias("rep")))
     sketched = cut_lineage(named.join(classes.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"]).select("doc_id", "sketch"))
-    part, level = 1 / similarity - 1, 3
-    least = similarity - 4.5 * math.sqrt(similarity * (1 - similarity) / SKETCH)
+    part, level = 1 / similarity - 1, DEPTH
+    least = least_similar(similarity)
     roots = sketched.mapInArrow(_roots(trees_for(recall, similarity), level, part), "node long, doc_id long")
     roots = cut_lineage(_shared(roots))
     reps = source.where(F.col("doc_id").isNotNull())

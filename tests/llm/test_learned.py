@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tenderglow.llm import byte_bpe, lm_score, quality_pu, quality_rules, tokens, toxicity
+from tenderglow.llm import byte_bpe, lm_score, near_dup, quality_pu, quality_rules, tokens, toxicity
 from tests.llm import brute
 from tests.llm.conftest import prose
 
@@ -83,6 +83,25 @@ def test_pruned_trie_still_gives_chances_of_all_bytes():
     assert np.allclose((10.0 ** trie.log.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+def test_pairs_at_the_limit_meet_at_the_last_level():
+    """Nodes of any size go to DEPTH; 14 trees of 12 levels missed more than one pair of a hundred."""
+    rng = np.random.default_rng(2)
+    pairs, part = 4000, 0.25
+    one, other = (rng.integers(0, 1 << 32, (pairs, near_dup.SKETCH), dtype=np.uint32) for _ in range(2))
+    other = np.where(rng.random(one.shape) < 0.8, one, other)
+    apart = np.ones(pairs, bool)
+    for seed in tokens.mix(np.arange(1, near_dup.trees_for(0.99999, 0.8) + 1, dtype=np.uint64)):
+        found = []
+        for sketches in (one, other):
+            row, node = np.arange(pairs), np.full(pairs, seed)
+            for level in range(near_dup.DEPTH):
+                keep, node = near_dup._branch(node, sketches[row], level, part)
+                row = row[keep]
+            found.append(set(zip(row.tolist(), node.tolist(), strict=True)))
+        apart[[i for i, _ in found[0] & found[1]]] = False
+    assert apart.sum() <= 1
+
+
 def test_upper_bound_is_exact():
     assert quality_rules.upper_bound(0, 100, 0.05) == pytest.approx(1 - 0.05 ** 0.01, rel=1e-6)
     p = quality_rules.upper_bound(3, 50, 0.01)
