@@ -71,7 +71,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs.stream_upsert(
         raw, table, A.sources(spark, sf_dir), scratch_path(spark, "records-log"), _now_of
     ).awaitTermination()
-    records = spark.read.schema(schemas.RECORD).parquet(jobs.snapshot_path(table, 0))
+    records = spark.read.schema(schemas.RECORD).parquet(jobs.latest_snapshot(spark, table))
     return records.select(
         "link_bando", "ente", "descrizione", "cig", F.col("importo").cast("double").alias("importo"),
         "validation_level", "flag_om", "stato_procedurale", "tipo_novita",

@@ -26,25 +26,32 @@ def read_table_stream(spark: SparkSession, path: str, schema: str, fmt: str = "p
     return spark.readStream.format(fmt).schema(schema).load(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def unique_drafts(
     drafts: DataFrame,
+    landed: DataFrame | None = None,
     keep_for: str = "7 days",
     *,
     scoped: bool = True,
     scope: R.ScopeRules = R.ScopeRules(),
-    event_time: str = "fetched_at",
 ) -> DataFrame:
-    """In-scope drafts, first of each source's checksum within ``keep_for``.
+    """In-scope drafts of one batch, the first of each source's checksum.
 
-    ``keep_for`` must exceed the spread of the event time inside one run, or a first copy that
-    arrives late is dropped with it. State older than that is released.
+    Those already ``landed`` within ``keep_for`` are left out, whichever came first; none is left out for being late.
     """
-    kept = landing.gate(drafts, scope) if scoped else drafts
-    return (
-        landing.with_checksum(kept)
-        .withWatermark(event_time, keep_for)
-        .dropDuplicatesWithinWatermark(["source_id", "checksum"])
-    )
+    rows = landing.with_checksum(landing.gate(drafts, scope) if scoped else drafts)
+    if landed is not None:
+        keep = F.expr(f"INTERVAL {keep_for}")
+        near = F.col("_at").between(F.col("fetched_at") - keep, F.col("fetched_at") + keep)
+        old = landed.select(F.col("source_id").alias("_source"), F.col("checksum").alias("_sum"), F.col("fetched_at").alias("_at"))
+        same = F.col("source_id").eqNullSafe(F.col("_source")) & F.col("checksum").eqNullSafe(F.col("_sum"))
+        rows = rows.join(old, same & F.coalesce(near, F.lit(True)), "left_anti")
+    order = [c for c in ("fetched_at", "pos") if c in rows.columns]
+    return landing.first_per_key(rows, ["source_id", "checksum"], order).drop("copies")
 
 
 def _start(stream, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -62,8 +69,26 @@ def stream_land(
     scope: R.ScopeRules = R.ScopeRules(),
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Append new drafts (a stream with ``fetched_at``) to the raw table, a folder per day."""
-    rows = unique_drafts(drafts, keep_for, scoped=scoped, scope=scope).select(
+    """Append new drafts (a stream with ``fetched_at``) to the raw table, a folder per day, however late they are.
+
+    A replayed batch finds its own rows landed. ``table`` must not be one of a streaming file sink, whose log hides other files.
+    """
+    writer = drafts.writeStream.foreachBatch(land_batch(table, keep_for, scoped, scope))
+    return _start(writer, checkpoint, available_now)
+
+
+def land_batch(table: str, keep_for: str, scoped: bool, scope: R.ScopeRules) -> Callable[[DataFrame, int], None]:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        landed = spark.read.schema(schemas.RAW_RECORD).parquet(table) if _exists(spark, table) else None
+        rows = unique_drafts(batch, landed, keep_for, scoped=scoped, scope=scope)
+        _raw(rows).write.mode("append").partitionBy("fetch_day").parquet(table)
+
+    return write
+
+
+def _raw(rows: DataFrame) -> DataFrame:
+    return rows.select(
         F.sha2(
             F.concat_ws("|", F.lit("raw"), "source_id", "checksum", V.iso(F.col("fetched_at"))), 256
         ).alias("id"),
@@ -73,17 +98,18 @@ def stream_land(
         F.lit(None).cast("timestamp").alias("normalized_at"),
         F.to_date("fetched_at").alias("fetch_day"),
     )
-    writer = (
-        rows.writeStream.format("parquet").option("path", table).partitionBy("fetch_day")
-        .outputMode("append")
-    )
-    return _start(writer, checkpoint, available_now)
 
 
 def snapshot_path(table: str, batch_id: int) -> str:
     return f"{table}/snapshot={batch_id:010d}"
 
 
+def latest_snapshot(spark: SparkSession, table: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(table)
+    held = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(at)
+    return f"{table}/{max(n for n in (x.getPath().getName() for x in held) if n.startswith('snapshot='))}"
+
+
 def upsert_batch(
     table: str, sources: DataFrame, now_of: Callable[[int], datetime],
     rules: R.NormaliseRules = R.NormaliseRules(), seed: DataFrame | None = None,
@@ -169,9 +195,43 @@ def stream_repeated_events(
     late: str = "2 days",
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Append the windows that are complete; rows later than ``late`` are dropped."""
-    writer = (
-        repeated_event_windows(events, rules, late=late)
-        .writeStream.format("parquet").option("path", table).outputMode("append")
-    )
+    """Windows whose end the latest event has passed by ``late``, a folder per day; later events correct them.
+
+    Counts per record and day are kept beside the table, in ``{table}-days``, a folder per batch, so that nothing is dropped.
+    """
+    writer = events.writeStream.foreachBatch(repeated_batch(table, rules, late))
     return _start(writer, checkpoint, available_now)
+
+
+def repeated_batch(table: str, rules: R.AnomalyRules, late: str) -> Callable[[DataFrame, int], None]:
+    """A replayed batch overwrites its own counts and the same windows."""
+    days, span = f"{table}-days", rules.repeated_days
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        kind = (F.lower(F.col("event_type")) == rules.repeated_type) & F.col("event_date").isNotNull()
+        own = batch.filter(kind).groupBy("procurement_record_id", F.to_date("event_date").alias("day")).agg(
+            F.count("*").alias("n"), F.max(F.unix_micros(F.col("event_date").cast("timestamp"))).alias("last"))
+        own.write.mode("overwrite").parquet(f"{days}/batch={batch_id}")
+        state = spark.read.schema(own.schema.add("batch", "long")).parquet(days).filter(F.col("batch") <= batch_id)
+        mine = F.col("batch") == batch_id
+        seen = state.agg(F.max("last").alias("now"), F.max(F.when(~mine, F.col("last"))).alias("before"),
+                         F.min(F.when(mine, F.col("day"))).alias("first")).first()
+        if seen["first"] is None:
+            return
+
+        def closed(last: int | None):
+            end = F.date_add("start", span).cast("timestamp")
+            return F.lit(False) if last is None else end <= F.timestamp_micros(F.lit(last)) - F.expr(f"INTERVAL {late}")
+
+        starts = F.explode(F.sequence(F.date_sub("day", span - 1), F.col("day"))).alias("start")
+        spread_out = state.select("procurement_record_id", "n", "batch", starts).filter(closed(seen.now))
+        # New windows, and of the old ones those of this batch's days.
+        wanted = spread_out.filter(~closed(seen.before) | mine).select("start").distinct()
+        found = spread_out.join(F.broadcast(wanted), "start").groupBy("procurement_record_id", "start").agg(F.sum("n").alias("n_events"))
+        found.filter(F.col("n_events") >= rules.repeated_min).select(
+            "procurement_record_id", F.col("start").cast("timestamp").alias("window_start"),
+            F.date_add("start", span).cast("timestamp").alias("window_end"), "n_events", F.col("start").alias("window_day"),
+        ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window_day").parquet(table)
+
+    return write

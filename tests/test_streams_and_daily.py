@@ -84,6 +84,7 @@ def test_stream_upsert_over_batches_and_replay(spark, tmp_path):
 
     last = spark.read.schema(schemas.RECORD).parquet(jobs.snapshot_path(table, 2))
     assert view(last) == view(current) and last.count() == 3
+    assert jobs.latest_snapshot(spark, table) == jobs.snapshot_path(table, 2)
     # A replayed batch overwrites its own snapshot with the same rows.
     again = jobs.upsert_batch(table, sources(spark), times.__getitem__)
     again(frame(spark, BATCHES[2], schemas.RAW_RECORD), 2)
@@ -110,6 +111,27 @@ def test_repeated_windows_stream_equals_batch(spark, tmp_path):
     assert got == wanted and got
 
 
+def test_late_rows_of_a_later_batch_are_kept(spark, tmp_path):
+    drafts, raw_table, events, table, log, log2 = (str(tmp_path / n) for n in ("in", "raw", "ev", "windows", "log", "log2"))
+    given = []
+    for batch in ([draft(1), draft(2, hours=240)], [draft(3, hours=480)], [draft(4, hours=-48), draft(1, hours=24)]):
+        frame(spark, batch, SCHEMA).coalesce(1).write.mode("append").parquet(drafts)
+        jobs.stream_land(jobs.read_table_stream(spark, drafts, SCHEMA), raw_table, log).awaitTermination()
+    assert sorted(r.raw_url[-1] for r in spark.read.parquet(raw_table).collect()) == ["1", "2", "3", "4"]
+
+    def event(i, day):
+        return {"id": str(i), "procurement_record_id": "r", "event_type": "proroga", "event_date": utc(2026, 1, 1) + timedelta(days=day)}
+
+    for batch in ([event(1, 0), event(2, 5), event(3, 200)], [event(4, 400)], [event(5, 6), event(6, 40)], [event(7, 600)]):
+        given += batch
+        frame(spark, batch, schemas.RECORD_EVENT).coalesce(1).write.mode("append").parquet(events)
+        jobs.stream_repeated_events(jobs.read_table_stream(spark, events, schemas.RECORD_EVENT), table, log2).awaitTermination()
+    columns = ["procurement_record_id", "window_start", "window_end", "n_events"]
+    got = sorted(map(tuple, spark.read.parquet(table).select(columns).collect()))
+    wanted = jobs.repeated_event_windows(frame(spark, given, schemas.RECORD_EVENT)).select(columns).collect()
+    assert got == sorted(map(tuple, wanted)) and max(g[3] for g in got) == 3
+
+
 def test_daily_runs_on_stored_tables(spark, tmp_path):
     first, second, third, fourth, facts = (str(tmp_path / n) for n in ("d0", "d1", "d2", "d3", "facts"))
     sources(spark).write.parquet(f"{first}/sources")
