@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from tenderglow.llm import (
-    byte_bpe, debruijn, decontaminate, lm_score, near_dup, oracles, pii, quality_pu, quality_rules, secret_scan, toxicity,
+    byte_bpe, collocations, debruijn, decontaminate, lm_score, near_dup, oracles, pii, quality_pu, quality_rules, secret_scan, toxicity,
 )
 from tenderglow.llm.common import documents
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 # The other queries have columns that are learned, or spans of checksum and context rules; tests follow them by hand.
-SQL = {"op5_debruijn": oracles.REPEATS, "op7_near_dup": oracles.COMPONENTS, "op10_decontaminate": oracles.OVERLAPS}
+SQL = {"op5_debruijn": oracles.REPEATS, "op7_near_dup": oracles.COMPONENTS, "op10_decontaminate": oracles.OVERLAPS,
+       "op11_collocations": oracles.PHRASES}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +84,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.digest(decontaminate.find_overlaps(documents(spark, sf_dir), benchmark))
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))

@@ -44,3 +44,23 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+PHRASES = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+  FROM documents, unnest(string_split_regex({_LOW}, '[.,;:!?\\x0A-\\x0D]')) AS t(piece)),
+n AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+runs AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM pieces, unnest(range(1, 6)) AS s(m), unnest(range(1, greatest(len(w) - m + 1, 0) + 1)) AS t(i)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT * FROM f WHERE m > 1),
+open AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM cand d WHERE d.lang = c.lang AND d.m > c.m AND 100 * d.a >= 100 * c.a
+  AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (SELECT lang, phrase, a, m, k, string_split(phrase, ' ') AS w FROM open, unnest(range(1, m)) AS t(k)),
+scored AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, n.n,
+    (1000::HUGEINT * c.a * n.n) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts c JOIN n USING (lang) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:c.m], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r,
+  n::BIGINT AS n, score::BIGINT AS score FROM best QUALIFY rank <= 2000
+"""
