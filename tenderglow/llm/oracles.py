@@ -64,3 +64,16 @@ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phra
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r,
   n::BIGINT AS n, score::BIGINT AS score FROM best QUALIFY rank <= 2000
 """
+
+VECTOR_LINKS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(e, lambda x: x <> 0)) > 0),
+edge AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+reach(a, b) AS (SELECT x, y FROM edge UNION SELECT a, y FROM reach JOIN edge ON b = x),
+low AS (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY a),
+n AS (SELECT x AS vec_id, count(DISTINCT y) AS n FROM edge GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, m) AS component_id, coalesce(vec_id = least(vec_id, m), false) AS kept
+FROM v LEFT JOIN n USING (vec_id) LEFT JOIN low USING (vec_id)
+"""
