@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from tenderglow.llm import (
-    byte_bpe, collocations, debruijn, decontaminate, embedding_pairs, lm_score, near_dup, oracles, pii, quality_pu, quality_rules, secret_scan, toxicity,
+    byte_bpe, collocations, debruijn, decontaminate, embedding_pairs, lm_score, near_dup, oracles, pii, prefix_trie, quality_pu, quality_rules, secret_scan, toxicity,
 )
 from tenderglow.llm.common import documents
 
@@ -17,7 +17,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 # The other queries have columns that are learned, or spans of checksum and context rules; tests follow them by hand.
 SQL = {"op5_debruijn": oracles.REPEATS, "op7_near_dup": oracles.COMPONENTS, "op10_decontaminate": oracles.OVERLAPS,
-       "op11_collocations": oracles.PHRASES, "op13_embedding_pairs": oracles.VECTOR_LINKS}
+       "op11_collocations": oracles.PHRASES, "op12_prefix_trie": oracles.TRIE, "op13_embedding_pairs": oracles.VECTOR_LINKS}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +91,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 @query
 def op13_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_pairs.digest(embedding_pairs.find_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))

