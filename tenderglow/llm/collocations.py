@@ -2,11 +2,12 @@
 
 Texts are cut into pieces at punctuation and line ends, and pieces into words. Prefix polynomials over word hashes give the
 fingerprint of every run of words by two subtractions. A pass per phrase length counts fingerprints: equal ones of a batch are
-added up in numpy, then by Spark, together with a pointer to one occurrence (the text's hash and a place in it) and the least
-and greatest value of a second, unrelated hash. A phrase is frequent only if both its parts that are one word shorter are, so a pass counts only
+added up in numpy, then by Spark. A phrase is frequent only if both its parts that are one word shorter are, so a pass counts only
 runs whose parts passed; which passed is told by a bit table of fixed size, a filter that lets some rare runs through and no
-frequent one be lost. Where the second hash shows that different phrases share a fingerprint, their occurrences are counted
-again by their text. Only frequent phrases ever become text, read at their pointers and checked against the fingerprint.
+frequent one be lost. A last pass gives each frequent fingerprint a pointer to one occurrence (the text's hash and a place in
+it) and the least and greatest value of a second, unrelated hash. Where that shows that different phrases share a fingerprint,
+their occurrences are counted again by their text. Only frequent phrases ever become text, read at their pointers and checked
+against the fingerprint.
 
 Defined cases: a null text has no words; a null language is ``und``, and so counts with rows that say ``und``; repeated rows
 count as often as they stand; equal scores are ordered by count, then by the phrase's bytes; an empty table gives no rows; no
@@ -16,6 +17,7 @@ other column matters. Texts of any length are taken whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,7 @@ _TURNS = np.arange(64, dtype=np.uint64) * _STEP
 _PIECE = 1 << 20
 
 _WORD = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
-_FOUND = "code long, print long, n long, low long, high long, at long, start long, end long"
+_FOUND = "print long, low long, high long, code long, at long, start long, end long"
 
 
 class Prefix:
@@ -64,7 +66,7 @@ class Prefix:
 class Phrases:
     """Words of some consecutive texts: where they stand, how many follow in their piece, and their two hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, bits: int = 64):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, bits: int = 64, checked: bool = True):
         low = tokens.LOWER[data]
         cut = _CUT[low]
         ink = ~(_BLANK[low] | cut)
@@ -91,6 +93,9 @@ class Phrases:
             base = self.start[at]
             part, first, after = low[base:self.end[to - 1]], self.start[at:to] - base, self.end[at:to] - base
             words[at:to] = tokens._hash_piece(part, first, after)
+            if not checked:
+                at = to
+                continue
             place = np.arange(len(part), dtype=np.int64)
             place -= np.repeat(first, np.diff(np.append(first, len(part))))
             sums = np.zeros(len(part) + 1, np.uint64)
@@ -149,7 +154,7 @@ def build_filter(prints: DataFrame, bits: int) -> np.ndarray:
     return known
 
 
-def _texts(column: pa.Array, codes: np.ndarray, bits: int, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, Phrases]]:
+def _texts(column: pa.Array, codes: np.ndarray, bits: int, checked: bool = True, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, Phrases]]:
     """First and last row, bytes and phrases of groups of texts of about ``most`` bytes."""
     data, offsets = tokens.buffers(column)
     codes = codes.view(np.uint64)
@@ -157,7 +162,7 @@ def _texts(column: pa.Array, codes: np.ndarray, bits: int, most: int = 2 << 20)
     while row < rows:
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
         part = data[offsets[row]:offsets[last]]
-        yield row, last, part, Phrases(part, offsets[row:last + 1] - offsets[row], codes[row:last], bits)
+        yield row, last, part, Phrases(part, offsets[row:last + 1] - offsets[row], codes[row:last], bits, checked)
         row = last
 
 
@@ -172,30 +177,42 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(size: int, known, bits: int):
-    """Fingerprints of a batch with their counts, the range of the second hash and a pointer to one occurrence."""
+    """Fingerprints of a batch with their counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None if known is None else known.value
+        for batch in batches:
+            for _, _, _, phrases in _texts(batch.column("text"), batch.column("code").to_numpy(), bits, checked=False):
+                prints, counts = np.unique(phrases.prints(phrases.passing(size, table), size), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"print": pa.array(prints.view(np.int64)), "n": pa.array(counts)})
+
+    return run
+
+
+def _point(longest: int, known, bits: int):
+    """Fingerprints of the filter that a batch has, with the range of the second hash and a pointer to one occurrence."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ats = batch.column("at").to_numpy()
             for row, _, _, phrases in _texts(batch.column("text"), batch.column("code").to_numpy(), bits):
-                first = phrases.passing(size, table)
-                if not len(first):
-                    continue
-                prints, checks = phrases.prints(first, size), phrases.checks(first, size)
-                order, begin = _groups(prints)
-                lead = first[order[begin]]
-                doc = phrases.doc[lead]
-                base = phrases.offsets
-                yield pa.RecordBatch.from_pydict({
-                    "code": pa.array(phrases.langs[lead].view(np.int64)),
-                    "print": pa.array(prints[order[begin]].view(np.int64)),
-                    "n": pa.array(np.diff(np.append(begin, len(order)))),
-                    "low": pa.array(np.minimum.reduceat(checks[order], begin)),
-                    "high": pa.array(np.maximum.reduceat(checks[order], begin)),
-                    "at": pa.array(ats[row + doc]),
-                    "start": pa.array(phrases.start[lead] - base[doc]),
-                    "end": pa.array(phrases.end[lead + size - 1] - base[doc]),
-                })
+                for size in range(1, longest + 1):
+                    first = np.flatnonzero(phrases.room >= size)
+                    prints = phrases.prints(first, size)
+                    keep = inside(known.value, prints)
+                    first, prints = first[keep], prints[keep]
+                    if not len(first):
+                        break
+                    checks, (order, begin) = phrases.checks(first, size), _groups(prints)
+                    lead = first[order[begin]]
+                    doc = phrases.doc[lead]
+                    yield pa.RecordBatch.from_pydict({
+                        "print": pa.array(prints[order[begin]].view(np.int64)),
+                        "low": pa.array(np.minimum.reduceat(checks[order], begin)),
+                        "high": pa.array(np.maximum.reduceat(checks[order], begin)),
+                        "code": pa.array(phrases.langs[lead].view(np.int64)),
+                        "at": pa.array(ats[row + doc]),
+                        "start": pa.array(phrases.start[lead] - phrases.offsets[doc]),
+                        "end": pa.array(phrases.end[lead + size - 1] - phrases.offsets[doc]),
+                    })
 
     return run
 
@@ -264,35 +281,38 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, bits:
     source = source.select("lang", "text", F.xxhash64("lang").alias("code"), F.xxhash64("text").alias("at"))
     totals = cut_lineage(source.groupBy("lang", "code").agg(F.sum(F.regexp_count("text", F.lit(_WORD)).cast("long")).alias("n")))
     source = source.drop("lang")
-    levels, again, known = [], [], None
+    levels, known = [], None
     for size in range(1, longest + 1):
-        found = source.mapInArrow(_count(size, known, bits), _FOUND).groupBy("print").agg(
-            F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("code").alias("code"),
-            F.first("at").alias("at"), F.first("start").alias("start"), F.first("end").alias("end"))
-        kept = cut_lineage(found.where(F.col("n") >= least).withColumn("size", F.lit(size)))
-        several = cut_lineage(kept.where("low <> high").select("print"))
-        levels.append(kept.where("low = high"))
-        if not several.isEmpty():
-            shared = spark.sparkContext.broadcast(build_filter(several, _table_bits(several.count(), filter_bits)))
-            counted = source.mapInArrow(_recount(size, shared, bits), "code long, print long, phrase string, n long")
-            counted = counted.join(several, "print", "left_semi").groupBy("code", "phrase").agg(F.sum("n").alias("n"))
-            again.append(cut_lineage(counted.where(F.col("n") >= least).select("code", F.lit(size).alias("size"), "phrase", "n")))
-        rows = kept.count()
-        if not rows or size == longest:
-            break
+        found = source.mapInArrow(_count(size, known, bits), "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
+        levels.append(cut_lineage(found.where(F.col("n") >= least).withColumn("size", F.lit(size))))
         if known is not None:
             known.unpersist()
-        known = spark.sparkContext.broadcast(build_filter(kept, _table_bits(rows, filter_bits)))
-    pointed = levels[0]
-    for level in levels[1:]:
-        pointed = pointed.unionByName(level)
+        rows = levels[-1].count()
+        if not rows:
+            break
+        known = spark.sparkContext.broadcast(build_filter(levels[-1], _table_bits(rows, filter_bits)))
+    kept = cut_lineage(reduce(DataFrame.unionByName, levels))
+    known = spark.sparkContext.broadcast(build_filter(kept, _table_bits(kept.count(), filter_bits)))
+    found = source.mapInArrow(_point(longest, known, bits), _FOUND).groupBy("print").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), *(F.first(c).alias(c) for c in ("code", "at", "start", "end")))
+    pointed = cut_lineage(kept.join(found, "print"))
+    # One fingerprint may even be that of phrases of two lengths; then the place that it points to has one of them only.
+    sizes = pointed.groupBy("print").agg(F.count("*").alias("sizes"))
+    pointed = cut_lineage(pointed.join(sizes, "print").withColumn("alone", (F.col("low") == F.col("high")) & (F.col("sizes") == 1)))
+    several = cut_lineage(pointed.where("NOT alone").select("print", "size"))
+    pointed, again = pointed.where("alone"), []
+    if not several.isEmpty():
+        shared = spark.sparkContext.broadcast(build_filter(several, _table_bits(several.count(), filter_bits)))
+        for size in range(1, longest + 1):
+            counted = source.mapInArrow(_recount(size, shared, bits), "code long, print long, phrase string, n long")
+            counted = counted.join(several.where(F.col("size") == size), "print", "left_semi").groupBy("code", "phrase").agg(F.sum("n").alias("n"))
+            again.append(cut_lineage(counted.where(F.col("n") >= least).select("code", F.lit(size).alias("size"), "phrase", "n")))
     pointers = pointed.groupBy("at").agg(F.collect_list(F.struct("code", "size", "print", "n", "start", "end")).alias("pointers"))
     pointers = cut_lineage(pointers)
     # A text's copies are one text here, and only texts that hold a pointer move.
     chosen = source.select("at", "text").join(pointers.select("at"), "at", "left_semi").groupBy("at").agg(F.first("text").alias("text"))
     phrases = chosen.join(pointers, "at").select("text", "pointers").mapInArrow(_read(bits), "code long, size int, phrase string, n long")
-    for more in again:
-        phrases = phrases.unionByName(more)
+    phrases = reduce(DataFrame.unionByName, again, phrases)
     return cut_lineage(phrases.join(totals.select("lang", "code"), "code").select("lang", "size", "phrase", "n")), totals.select("lang", "n")
 
 
