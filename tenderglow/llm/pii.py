@@ -75,16 +75,25 @@ def added_spans(text: Column, least: float, window: int) -> dict[str, Column]:
 
 
 def with_pii(df: DataFrame, text: str = "text", into: str = "pii", least: float = 0.5, window: int = 40) -> DataFrame:
-    """Adds the array of all spans (rank, start, end, kind, base, value), by kind and start.
+    """Adds the array of all spans (rank, start, end, kind, base, value), by kind and start; none that a base span covers is added.
 
     ``least`` is the score below which spans added by the method are dropped; ``window`` the code points of context
     before a span. Base spans never depend on either.
     """
     source = F.coalesce(F.col(text), F.lit(""))
-    kinds = [*((k, v, True) for k, v in base_spans(source).items()),
-             *((k, v, False) for k, v in added_spans(source, least, window).items())]
     order = [*BASE, *ADDED]
-    return df.withColumn(into, F.concat(*(spans.named(v, k, order.index(k), base) for k, v, base in kinds)))
+
+    def named(found: dict[str, Column], is_base: bool) -> Column:
+        return F.concat(*(spans.named(v, k, order.index(k), is_base) for k, v in found.items()))
+
+    def joined(both: Column) -> Column:
+        """The base, and what the method adds outside of it: a place is not reported twice."""
+        free = F.filter(both["added"], lambda s: ~F.exists(both["base"], lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+        return F.concat(both["base"], free)
+
+    pair = F.struct(named(base_spans(source), True).alias("base"), named(added_spans(source, least, window), False).alias("added"))
+    # The one-element array binds the pair, so that it is computed once.
+    return df.withColumn(into, F.transform(F.array(pair), joined)[0])
 
 
 def find_pii(docs: DataFrame, least: float = 0.5, window: int = 40) -> DataFrame:
