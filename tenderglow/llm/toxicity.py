@@ -28,10 +28,11 @@ from tenderglow.llm import tokens
 from tenderglow.llm.common import in_fold, text_session, texts
 from tenderglow.session import cut_lineage
 
-BUCKETS, SIZES, WIDTH = 1 << 16, (3, 4, 5), 8
+BUCKETS, SIZES, WIDTH = 1 << 20, (3, 4, 5), 8
 #: Bounds of the training sample: texts of each label, and the longest text in it, in code points.
 SAMPLE, LONGEST = 2_000, 50_000
-MARGIN = 4.0  # log odds between the clean training texts and the middle of the curve
+SPARE = 10  # one in so many words and edits is kept out of the fit, to see how unknown words are rated
+MIDDLE = 0.75  # where the middle of the curve lies between clean texts and edited toxic words, both with words that the fit has not seen
 LOWEST = -12.0  # value of a text without words
 
 _EDGE = np.ones(256, bool)  # bytes stripped from both ends of a word: ASCII that is neither letter nor digit
@@ -101,6 +102,7 @@ class SubwordModel:
         self.weights = rng.normal(0, 0.1, (WIDTH, 2)).astype(np.float32)
         self.bias = np.array([2, -2], np.float32)  # a word of unknown n-grams is taken for clean
         self.squares = np.full(BUCKETS, 1e-6, np.float32)
+        self.known = np.zeros(BUCKETS, bool)
         self.curve = (0.0, LOWEST)
 
     def fit(self, word: np.ndarray, bucket: np.ndarray, count: int, target: np.ndarray, weight: np.ndarray,
@@ -111,6 +113,7 @@ class SubwordModel:
         w_sorted, b_sorted = word[order], bucket[order]
         cuts = np.flatnonzero(np.concatenate([[True], b_sorted[1:] != b_sorted[:-1]]))
         used = b_sorted[cuts]
+        self.known[used] = True
         order = np.argsort(word, kind="stable")
         by_word, bw = bucket[order], word[order]
         heads = np.flatnonzero(np.concatenate([[True], bw[1:] != bw[:-1]]))
@@ -139,8 +142,8 @@ class SubwordModel:
             self.bias -= rate * slope.sum(axis=0)
 
     def table(self) -> np.ndarray:
-        """What one n-gram adds to the log odds of its word, before averaging."""
-        return (self.vectors @ (self.weights[:, 1] - self.weights[:, 0])).astype(np.float32)
+        """What one n-gram adds to the log odds of its word, before averaging; nothing if no fit has seen it."""
+        return np.where(self.known, self.vectors @ (self.weights[:, 1] - self.weights[:, 0]), 0).astype(np.float32)
 
 
 def word_odds(table: np.ndarray, bias: float, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -245,9 +248,12 @@ def train(sample: list[tuple[str, int]], rounds: int = 4, start: int = 25_000, e
         marks = np.flatnonzero((toxic > 0) & (clean == 0))[:1000].tolist()
     other = np.ones(len(words), bool)
     other[marks] = False
-    usual = np.flatnonzero(other)
+    spare = rng.integers(0, SPARE, len(words)) == 0
+    usual = np.flatnonzero(other & ~spare)
     chosen = set(rng.choice(usual, min(len(usual), start), replace=False).tolist()) if len(usual) else set()
     edits = sorted({_edited(words[w], rng) for w in marks for _ in range(max(3, 4000 // len(marks)))} - set(vocabulary))
+    unseen = edits[::SPARE]
+    edits = [e for i, e in enumerate(edits) if i % SPARE]
     wrong = sorted({_edited(words[w], rng) for w in sorted(chosen)[:start // 3]} - set(vocabulary) - set(edits))
     model, arrays = SubwordModel(seed), _as_arrays(words)
     for _ in range(rounds):
@@ -266,11 +272,14 @@ def train(sample: list[tuple[str, int]], rounds: int = 4, start: int = 25_000, e
         highest = usual[np.argsort(-odds[usual])[:4000]]
         chosen |= set(highest[odds[highest] > -2].tolist())
     values = np.array([odds[bag].max() if len(bag) else LOWEST for bag in bags])
-    # Misspelled words count as toxic texts of their own for the slope. The middle of the curve lies a margin above nearly all
-    # clean training texts, whose words the model has seen; words of other clean texts come somewhat higher.
-    seen = word_odds(model.table(), float(model.bias[1] - model.bias[0]), *_as_arrays(edits)) if edits else np.zeros(0)
+    # Misspelled words count as toxic texts of their own for the slope. The middle of the curve lies between the clean texts, a tenth
+    # of whose words the fit has not seen, and misspellings that it has not seen either; a word of unknown n-grams is clean.
+    bias = float(model.bias[1] - model.bias[0])
+    seen = word_odds(model.table(), bias, *_as_arrays(unseen)) if unseen else values[labels == 1]
     slope, _ = _logistic(np.concatenate([values, seen]), np.concatenate([labels, np.ones(len(seen), np.int64)]))
-    model.curve = (slope, -slope * (float(np.quantile(values[labels == 0], 0.997)) + MARGIN))
+    low = max(float(np.quantile(values[labels == 0], 0.997)), bias)
+    middle = low + max(MIDDLE * (float(np.quantile(seen, 0.1)) - low), 0.5)
+    model.curve = (slope, -slope * middle)
     return model
 
 

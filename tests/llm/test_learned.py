@@ -170,6 +170,10 @@ def test_toxic_words_and_their_misspellings(toxic_model):
     assert score([frame.format(w) for w in ("idiot", "IDIOT!", "\"moron\",", "scumbags", "idiiot", "scumbg", "morron")]).all()
     clean = score([prose(10_000 + i, 300) for i in range(200)] + ["", None, "...", "a"])
     assert clean.mean() <= 0.02 and not clean[-4:].any()
+    # Words that no training text has: other languages and alphabets, single letters, few letters.
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    assert not score(["yes", "the cat", "hello world", "привет мир как дела", "日本語 テスト", "zażółć gęślą jaźń", "straßenbahn übermäßig", *letters]).any()
+    assert score([a + b for a in letters for b in letters]).mean() < 0.15  # some begin or end like a toxic word
 
 
 def test_toxicity_edges(spark, docs, empty, labels):
