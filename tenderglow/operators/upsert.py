@@ -20,6 +20,7 @@ from tenderglow.functions import text as T
 from tenderglow.functions import values as V
 from tenderglow.operators import joins
 from tenderglow.operators.normalise import novelty
+from tenderglow.session import cut_lineage
 
 # Filled once, from the first notice that has a value.
 GAP_TEXTS = (
@@ -36,10 +37,6 @@ _ORDER = ("fetched_at", "raw_id")
 Keep = Callable[[DataFrame], DataFrame]
 
 
-def _as_is(df: DataFrame) -> DataFrame:
-    return df
-
-
 def record_id(link: Column) -> Column:
     """Deterministic id of a record opened for a link, equal across retries and re-runs."""
     return F.sha2(F.concat(F.lit("record|"), link), 256)
@@ -101,53 +98,125 @@ def _place(record: Column, opens: Column | bool) -> Column:
     return F.when(record.isNotNull(), F.struct(record.alias("id"), flag.alias("opens")))
 
 
-def resolve_targets(batch: DataFrame, current: DataFrame, keep: Keep = _as_is) -> DataFrame:
+def _brought(pairs: DataFrame, batch: DataFrame) -> DataFrame:
+    """When which link could take which CIG, ``link_bando, cig, t, z, id_by_link``: at most one row per link and CIG.
+
+    A link without a record opens one with the first notice whose CIG nobody holds, or with its first notice without a CIG, at
+    ``z``; in that case its record takes the CIG of the next notice that has one. A stored record without CIG takes the first.
+    CIGs that a stored record holds are out of the question.
+    """
+    bare = pairs.filter(F.col("cig").isNull() & F.col("id_by_link").isNull()).select("link_bando", F.col("t").alias("z"))
+    named = pairs.filter(F.col("cig").isNotNull())
+    new = named.filter(F.col("id_by_link").isNull()).join(bare, "link_bando", "left")
+    early = new.filter(F.col("z").isNull() | (F.col("t") < F.col("z")))
+    # What comes after z: the first pairs of a link tell it, unless one of them was there before z and may return.
+    again = new.filter(F.col("t") < F.col("z")).select("link_bando").distinct()
+    returning = bare.join(again, "link_bando", "left_semi")
+    seen = batch.filter(F.col("cig").isNotNull()).select("link_bando", "cig", _order().alias("t"))
+    seen = seen.join(returning, "link_bando").filter(F.col("t") > F.col("z"))
+    plain = new.filter(F.col("t") > F.col("z")).join(again, "link_bando", "left_anti")
+    stored = named.filter(F.col("id_by_link").isNotNull() & F.col("held_cig").isNull())
+
+    def first(rows: DataFrame, z: Column, record: Column) -> DataFrame:
+        return rows.groupBy("link_bando").agg(
+            F.min_by("cig", "t").alias("cig"), F.min("t").alias("t"), z.alias("z"), record.alias("id_by_link"))
+
+    none = F.first(F.lit(None).cast("string"))
+    parts = [
+        early.select("link_bando", "cig", "t", "z", F.lit(None).cast("string").alias("id_by_link")),
+        first(seen, F.first("z"), none), first(plain, F.first("z"), none),
+        first(stored, F.first(F.lit(None).cast(pairs.schema["t"].dataType)), F.first("id_by_link")),
+    ]
+    free = pairs.filter(F.col("cig").isNotNull() & F.col("id_by_cig").isNotNull()).select("cig").distinct()
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.join(free, "cig", "left_anti")
+
+
+def first_come(pairs: DataFrame, keep: Keep = cut_lineage, rounds: int = 12) -> DataFrame:
+    """The rows of ``pairs`` (link_bando, cig, t, …) that are taken when each, in the order of ``t``, is taken if neither its link nor its CIG is.
+
+    A row that is the first one both of its link and of its CIG is certain; it rules out the others of either. Rounds of this decide
+    almost all rows at once, whatever the size of a component. What is left after them are long chains, each row waiting
+    for the one before; those are replayed in order, a component after the other, over rows that come sorted.
+    """
+    left, taken = keep(pairs), []
+    for _ in range(rounds):
+        by_link = left.groupBy("link_bando").agg(F.min_by(F.struct(*[c for c in left.columns if c != "link_bando"]), "t").alias("r"))
+        by_cig = left.groupBy("cig").agg(F.min_by("link_bando", "t").alias("link_bando"))
+        won = keep(by_link.select("link_bando", "r.*").join(by_cig, ["link_bando", "cig"]).select(*left.columns))
+        taken.append(won)
+        left = keep(left.join(won.select("link_bando"), "link_bando", "left_anti").join(won.select("cig"), "cig", "left_anti").select(*left.columns))
+        if left.isEmpty():
+            break
+    else:
+        taken.append(keep(_replayed(left, keep)))
+    out = taken[0]
+    for more in taken[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _replayed(left: DataFrame, keep: Keep) -> DataFrame:
+    """``first_come`` by going through the rows of each component of links and CIGs in order."""
+    edges = keep(left.select(F.xxhash64(F.lit("l"), "link_bando").alias("a"), F.xxhash64(F.lit("c"), "cig").alias("b")).distinct())
+    both = keep(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+    while True:
+        # The least label among the neighbours, then the label of one's label: the way is halved each time.
+        near = both.join(label.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("n"))
+        low = keep(label.join(near, "a").select("a", F.least("m", "n").alias("m"), F.col("m").alias("was")))
+        jump = low.select(F.col("a").alias("m"), F.col("m").alias("up"))
+        low = keep(low.join(jump, "m").select("a", F.least("m", "up").alias("m"), "was"))
+        label = low.select("a", "m")
+        if low.filter(F.col("m") != F.col("was")).isEmpty():
+            break
+    rows = left.withColumn("a", F.xxhash64(F.lit("l"), "link_bando")).join(label, "a").drop("a")
+    ordered = rows.repartition("m").sortWithinPartitions("m", "t")
+    kept = [c for c in ordered.columns if c != "m"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        own, links, cigs = None, set(), set()
+        for batch in batches:
+            free = []
+            for m, link, cig in zip(*(batch.column(c).to_pylist() for c in ("m", "link_bando", "cig")), strict=True):
+                if m != own:
+                    own, links, cigs = m, set(), set()
+                free.append(link not in links and cig not in cigs)
+                if free[-1]:
+                    links.add(link)
+                    cigs.add(cig)
+            yield batch.select(kept).filter(pa.array(free, pa.bool_()))
+
+    return ordered.mapInArrow(run, left.select(*kept).schema).select(*left.columns)
+
+
+def resolve_targets(batch: DataFrame, current: DataFrame, keep: Keep = cut_lineage) -> DataFrame:
     """(link, cig) pairs with the record their notices go to.
 
-    Besides the current records this follows what the batch itself opens. A CIG is *held* from
-    the first notice that brings it to a record without one; a notice without a record for its
-    link joins the holder of its CIG when that came earlier, and opens a record otherwise. Once
+    Besides the current records this follows what the batch itself opens. A CIG is *held* by the first record that takes it; a
+    notice without a record for its link joins the holder of its CIG when that came earlier, and opens a record otherwise. Once
     opened, a link takes all its later notices. ``before`` is where notices ordered before
     ``opened_at`` go, ``target`` where the rest goes, both as (``id``, ``opens``).
 
-    This equals applying the notices one by one as long as no link brings two different CIGs in
-    one batch; of those the first counts as the one the link holds.
+    Each link opens at most one record and each CIG has one first holder, so this is a matching of links and CIGs by order of
+    arrival (``first_come``), and equal to applying the notices one by one, whatever CIGs a link brings.
     """
     pairs = keep(match_existing(batch, current))
-
-    # The first CIG each open-ended link brings, and when; links whose record has one bring none.
-    brings = (
-        pairs.filter(
-            F.col("cig").isNotNull()
-            & F.col("id_by_cig").isNull()
-            & F.col("held_cig").isNull()
-        )
-        .groupBy("link_bando")
-        .agg(
-            F.min_by("cig", "t").alias("cig"),
-            F.min("t").alias("held_from"),
-            F.first("id_by_link").alias("id_by_link"),
-        )
-    )
-    # Earliest holder per CIG, as the record it sits in.
-    holder = _place(
-        F.coalesce("id_by_link", record_id(F.col("link_bando"))), F.col("id_by_link").isNull()
-    )
-    holders = brings.groupBy("cig").agg(
-        F.min_by(holder, "held_from").alias("holder"), F.min("held_from").alias("held_from")
-    )
+    taken = keep(first_come(_brought(pairs, batch), keep))
+    holder = _place(F.coalesce("id_by_link", record_id(F.col("link_bando"))), F.col("id_by_link").isNull())
+    holders = taken.select("cig", holder.alias("holder"))
+    # A link without a record opens one with the CIG it takes before z, or at z.
+    opening = taken.filter(F.col("id_by_link").isNull() & (F.col("z").isNull() | (F.col("t") < F.col("z")))).select("link_bando", F.col("t").alias("o"))
+    bare = pairs.filter(F.col("cig").isNull() & F.col("id_by_link").isNull()).select("link_bando", F.col("t").alias("z"))
+    opened = keep(opening.join(bare, "link_bando", "full").select("link_bando", F.coalesce("o", "z").alias("opened_at")))
     known, by_cig = _place(F.col("id_by_link"), False), _place(F.col("id_by_cig"), False)
-    placed = joins.lookup(pairs, holders, "cig", spread_by="link_bando").withColumn(
-        "earlier", F.coalesce(by_cig, F.when(F.col("held_from") < F.col("t"), F.col("holder")))
-    )
-    # When a new link gets a record of its own: its first notice that joins no CIG holder.
-    opened = (
-        placed.filter(F.col("id_by_link").isNull() & F.col("earlier").isNull())
-        .groupBy("link_bando")
-        .agg(F.min("t").alias("opened_at"))
-    )
     own = F.when(F.col("opened_at").isNotNull(), _place(record_id(F.col("link_bando")), True))
-    return placed.join(opened, "link_bando", "left").select(
+    placed = joins.lookup(pairs, holders, "cig", spread_by="link_bando").join(opened, "link_bando", "left")
+    return placed.select(
         "link_bando",
         "cig",
         "n",
@@ -158,7 +227,7 @@ def resolve_targets(batch: DataFrame, current: DataFrame, keep: Keep = _as_is) -
 
 
 def assign_targets(
-    batch: DataFrame, current: DataFrame, hot_rows: int = joins.HOT_ROWS, keep: Keep = _as_is
+    batch: DataFrame, current: DataFrame, hot_rows: int = joins.HOT_ROWS, keep: Keep = cut_lineage
 ) -> DataFrame:
     """The batch with ``target_id`` and whether that record is ``opened`` by the batch.
 
@@ -312,13 +381,12 @@ def upsert(
     *,
     tag_rules: R.TagRules = R.TagRules(),
     hot_rows: int = joins.HOT_ROWS,
-    keep: Keep = _as_is,
+    keep: Keep = cut_lineage,
 ) -> DataFrame:
     """Whole step: resolve, fold, merge.
 
-    Notices, key pairs, targets and the folded batch are each read several times. A job passes
-    ``keep=session.cut_lineage``, so that each is computed once and the record table is scanned
-    three times (by link, by CIG, for the merge). Without it everything stays one lazy plan.
+    Notices, key pairs, targets and the folded batch are each read several times; ``keep`` stores them, so that each is
+    computed once and the record table is scanned three times (by link, by CIG, for the merge).
     """
     placed = assign_targets(keep(batch), current, hot_rows, keep)
     return merge(current, keep(fold_batch(placed, tag_rules)), now)

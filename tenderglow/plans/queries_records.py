@@ -120,6 +120,41 @@ def upsert_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("raw_id", "target_id", "opened")
 
 
+_TWO_CIGS = """
+WITH notices AS (
+  SELECT l_suppkey AS g, concat_ws('-', l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT), CAST(l_tax > 0 AS INT)) AS raw_id, l_shipdate AS t,
+    l_suppkey || '/' || (l_partkey % 13) AS link,
+    CASE WHEN l_tax > 0 THEN l_suppkey || ':' || (CAST(l_quantity AS BIGINT) % 29) END AS cig FROM lineitem),
+folds AS (
+  SELECT list_reduce(list({'raw_id': raw_id, 'link': link, 'cig': cig} ORDER BY t, raw_id), lambda acc, x: {
+    'opened': CASE WHEN list_contains(acc.opened, x.link) OR list_contains(acc.cigs, x.cig) THEN acc.opened ELSE list_append(acc.opened, x.link) END,
+    'holding': CASE WHEN x.cig IS NULL OR list_contains(acc.holding, x.link) OR (NOT list_contains(acc.opened, x.link) AND list_contains(acc.cigs, x.cig))
+      THEN acc.holding ELSE list_append(acc.holding, x.link) END,
+    'holders': CASE WHEN x.cig IS NULL OR list_contains(acc.cigs, x.cig) OR list_contains(acc.holding, x.link) THEN acc.holders ELSE list_append(acc.holders, x.link) END,
+    'cigs': CASE WHEN x.cig IS NULL OR list_contains(acc.cigs, x.cig) OR list_contains(acc.holding, x.link) THEN acc.cigs ELSE list_append(acc.cigs, x.cig) END,
+    'went': list_append(acc.went, {'raw_id': x.raw_id, 'target': CASE WHEN list_contains(acc.opened, x.link) THEN x.link
+      ELSE coalesce(acc.holders[list_position(acc.cigs, x.cig)], x.link) END})
+  }, {'opened': CAST([] AS VARCHAR[]), 'holding': CAST([] AS VARCHAR[]), 'holders': CAST([] AS VARCHAR[]), 'cigs': CAST([] AS VARCHAR[]),
+    'went': CAST([] AS STRUCT(raw_id VARCHAR, target VARCHAR)[])}) AS f
+  FROM notices GROUP BY g),
+went AS (SELECT unnest(f.went, max_depth := 2) FROM folds)
+SELECT raw_id, sha256('record|' || target) AS target_id FROM went
+"""
+
+
+@query(_TWO_CIGS)
+def upsert_two_cigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where notices go when links bring several CIGs and CIGs several links; nothing is stored yet."""
+    of = F.col("l_suppkey").cast("string")
+    notices = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long"), (F.col("l_tax") > 0).cast("int")).alias("raw_id"),
+        F.col("l_shipdate").alias("fetched_at"),
+        F.concat(of, F.lit("/"), (F.col("l_partkey") % 13).cast("string")).alias("link_bando"),
+        F.when(F.col("l_tax") > 0, F.concat(of, F.lit(":"), (F.col("l_quantity").cast("long") % 29).cast("string"))).alias("cig"))
+    placed = upsert.assign_targets(cut_lineage(notices), spark.createDataFrame([], schemas.RECORD))
+    return placed.select("raw_id", "target_id")
+
+
 @query(f"""
 WITH {O.BATCH}
 SELECT 'cig' AS key_kind, cig AS key_value, count(*) AS candidates FROM current
