@@ -9,17 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tenderglow import rules as R
 from tenderglow import schemas
 from tenderglow.functions import values as V
-from tenderglow.operators import landing
+from tenderglow.operators import landing, upsert
 from tenderglow.operators.normalise import normalise
-from tenderglow.operators.upsert import upsert
-from tenderglow.session import cut_lineage, spread
+from tenderglow.session import cut_lineage
 
 
 def read_table_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
@@ -100,42 +99,78 @@ def _raw(rows: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_path(table: str, batch_id: int) -> str:
-    return f"{table}/snapshot={batch_id:010d}"
+#: Folders of the record table; a batch rewrites only those that its records fall into. More of them make a rewrite smaller.
+BUCKETS = 64
+_KEYS = "kind STRING, key STRING, id STRING, batch INT"
 
 
-def latest_snapshot(spark: SparkSession, table: str) -> str:
-    at = spark._jvm.org.apache.hadoop.fs.Path(table)
-    held = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(at)
-    return f"{table}/{max(n for n in (x.getPath().getName() for x in held) if n.startswith('snapshot='))}"
+def bucket_of(record_id: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(record_id), F.lit(buckets)).cast("int")
+
+
+def read_records(spark: SparkSession, table: str) -> DataFrame:
+    """The record table of ``stream_upsert``."""
+    if not _exists(spark, f"{table}/records"):
+        return spark.createDataFrame([], schemas.RECORD)
+    return spark.read.schema(f"{schemas.RECORD}, bucket INT").parquet(f"{table}/records").drop("bucket")
+
+
+def _keys_of(records: DataFrame) -> DataFrame:
+    """Links and CIGs of records, ``kind, key, id``. A record's link never changes and its CIG is set once."""
+    pair = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("key")) for c in ("link_bando", "cig")]))
+    return records.select(pair.alias("k"), "id").select("k.kind", "k.key", "id").filter(F.col("key").isNotNull())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def upsert_batch(
     table: str, sources: DataFrame, now_of: Callable[[int], datetime],
-    rules: R.NormaliseRules = R.NormaliseRules(), seed: DataFrame | None = None,
+    rules: R.NormaliseRules = R.NormaliseRules(), seed: DataFrame | None = None, buckets: int = BUCKETS,
 ) -> Callable[[DataFrame, int], None]:
-    """Writer for ``foreachBatch``: snapshot n is snapshot n-1 with batch n merged in.
+    """Writer for ``foreachBatch``: merges batch n into the record table, whose folders are hash buckets of the record's id.
 
-    A batch that is replayed reads the same predecessor and overwrites its own folder, so losing
-    an executor or the driver half-way leaves no trace. ``now_of`` must give the same moment for
-    the same batch.
+    A narrow table of keys beside it (link or CIG and the record's id, a folder per batch) tells which buckets a batch can
+    touch; only those are read and overwritten. They are copied first, and a batch that is replayed starts from that copy and from
+    the keys of earlier batches, so losing an executor or the driver half-way leaves no trace. ``now_of`` must give the
+    same moment for the same batch.
     """
 
+    def store(records: DataFrame, known: DataFrame | None, batch_id: int) -> None:
+        held = records.withColumn("bucket", bucket_of(F.col("id"), buckets)).repartition("bucket")
+        held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{table}/records")
+        fresh = _keys_of(records) if known is None else _keys_of(records).join(_keys_of(known), ["kind", "key", "id"], "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{table}/keys/batch={batch_id}")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch_id > 0:
-            current = spark.read.schema(schemas.RECORD).parquet(snapshot_path(table, batch_id - 1))
-        else:
-            current = seed if seed is not None else spark.createDataFrame([], schemas.RECORD)
+        if seed is not None and not _exists(spark, f"{table}/keys/batch=-1/_SUCCESS"):
+            store(seed, None, -1)
         ranks = sources.select(F.col("id").alias("source_id"), "source_priority_rank")
-        ranked = spread(batch).join(ranks, "source_id", "left").withColumn(
+        ranked = batch.join(ranks, "source_id", "left").withColumn(
             "source_priority_rank", F.coalesce("source_priority_rank", F.lit(R.UNKNOWN_RANK))
         )
-        notices = normalise(ranked, rules)
-        merged = upsert(
-            notices, current, now_of(batch_id), tag_rules=rules.tags, keep=cut_lineage
-        )
-        merged.write.mode("overwrite").parquet(snapshot_path(table, batch_id))
+        notices = cut_lineage(normalise(ranked, rules))
+        before = f"{table}/before/batch={batch_id}"
+        if not _exists(spark, f"{before}/_SUCCESS"):
+            own = notices.select(upsert.record_id(F.col("link_bando")).alias("id"))
+            if _exists(spark, f"{table}/keys"):
+                asked = _keys_of(notices.select("link_bando", "cig", F.lit("").alias("id"))).select("kind", "key").distinct()
+                known = spark.read.schema(_KEYS).parquet(f"{table}/keys").filter(F.col("batch") < batch_id)
+                own = own.unionByName(known.join(asked, ["kind", "key"], "left_semi").select("id"))
+            # At most as many numbers as there are buckets; Spark reads only their folders.
+            touched = [r.b for r in own.select(bucket_of(F.col("id"), buckets).alias("b")).distinct().collect()]
+            held = spark.createDataFrame([], schemas.RECORD)
+            if _exists(spark, f"{table}/records"):
+                stored = spark.read.schema(f"{schemas.RECORD}, bucket INT").parquet(f"{table}/records")
+                held = stored.filter(F.col("bucket").isin(touched)).drop("bucket")
+            held.write.mode("overwrite").parquet(before)
+        current = spark.read.schema(schemas.RECORD).parquet(before)
+        merged = upsert.upsert(notices, current, now_of(batch_id), tag_rules=rules.tags, keep=cut_lineage)
+        store(cut_lineage(merged), current, batch_id)
+        _remove(spark, f"{table}/before/batch={batch_id - 1}")  # the stream will not return to it
 
     return write
 
@@ -149,13 +184,14 @@ def stream_upsert(
     *,
     rules: R.NormaliseRules = R.NormaliseRules(),
     seed: DataFrame | None = None,
+    buckets: int = BUCKETS,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Normalise and merge raw records (a stream) as they land.
+    """Normalise and merge raw records (a stream) as they land; ``read_records`` reads the table.
 
     The stream's checkpoint remembers what was read, so raw rows need no bookmark column.
     """
-    writer = raw.writeStream.foreachBatch(upsert_batch(table, sources, now_of, rules, seed))
+    writer = raw.writeStream.foreachBatch(upsert_batch(table, sources, now_of, rules, seed, buckets))
     return _start(writer, checkpoint, available_now)
 
 
