@@ -7,7 +7,7 @@ All three start from files arriving in a folder and can run continuously or, wit
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,7 +79,15 @@ def stream_land(
 def land_batch(table: str, keep_for: str, scoped: bool, scope: R.ScopeRules) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        landed = spark.read.schema(schemas.RAW_RECORD).parquet(table) if _exists(spark, table) else None
+        landed = None
+        if _exists(spark, table):
+            # Only the day folders within ``keep_for`` of the batch are listed and read, and of them three narrow columns.
+            stored = spark.read.schema(f"{schemas.RAW_RECORD}, fetch_day DATE").parquet(table)
+            span = batch.agg(F.min("fetched_at").alias("first"), F.max("fetched_at").alias("last"))
+            keep = F.expr(f"INTERVAL {keep_for}")
+            days = span.select(F.to_date(F.col("first") - keep).alias("first_day"), F.to_date(F.col("last") + keep).alias("last_day")).first()
+            near = F.col("fetch_day").between(F.lit(days.first_day), F.lit(days.last_day)) | F.col("fetch_day").isNull()
+            landed = stored.filter(near)
         rows = unique_drafts(batch, landed, keep_for, scoped=scoped, scope=scope)
         _raw(rows).write.mode("append").partitionBy("fetch_day").parquet(table)
 
@@ -233,39 +241,48 @@ def stream_repeated_events(
 ) -> StreamingQuery:
     """Windows whose end the latest event has passed by ``late``, a folder per day; later events correct them.
 
-    Counts per record and day are kept beside the table, in ``{table}-days``, a folder per batch, so that nothing is dropped.
+    Counts per record and day are kept beside the table, in ``{table}-days``, so that nothing is dropped.
     """
     writer = events.writeStream.foreachBatch(repeated_batch(table, rules, late))
     return _start(writer, checkpoint, available_now)
 
 
 def repeated_batch(table: str, rules: R.AnomalyRules, late: str) -> Callable[[DataFrame, int], None]:
-    """A replayed batch overwrites its own counts and the same windows."""
-    days, span = f"{table}-days", rules.repeated_days
+    """A replayed batch overwrites its own counts and the same windows.
+
+    Counts per record and day lie in a folder per day and batch, the latest event of each batch in a small table beside them. A batch reads
+    the days of the windows that close with it and of the closed ones that its own days touch, not the whole past.
+    """
+    days, times, span = f"{table}-days", f"{table}-times", rules.repeated_days
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         kind = (F.lower(F.col("event_type")) == rules.repeated_type) & F.col("event_date").isNotNull()
-        own = batch.filter(kind).groupBy("procurement_record_id", F.to_date("event_date").alias("day")).agg(
-            F.count("*").alias("n"), F.max(F.unix_micros(F.col("event_date").cast("timestamp"))).alias("last"))
-        own.write.mode("overwrite").parquet(f"{days}/batch={batch_id}")
-        state = spark.read.schema(own.schema.add("batch", "long")).parquet(days).filter(F.col("batch") <= batch_id)
-        mine = F.col("batch") == batch_id
-        seen = state.agg(F.max("last").alias("now"), F.max(F.when(~mine, F.col("last"))).alias("before"),
-                         F.min(F.when(mine, F.col("day"))).alias("first")).first()
-        if seen["first"] is None:
+        own = cut_lineage(batch.filter(kind).groupBy("procurement_record_id", F.to_date("event_date").alias("day")).agg(
+            F.count("*").alias("n"), F.max(F.unix_micros(F.col("event_date").cast("timestamp"))).alias("last")))
+        if own.isEmpty():
             return
-
-        def closed(last: int | None):
-            end = F.date_add("start", span).cast("timestamp")
-            return F.lit(False) if last is None else end <= F.timestamp_micros(F.lit(last)) - F.expr(f"INTERVAL {late}")
-
+        held = own.select("procurement_record_id", "n", "day", F.lit(batch_id).alias("batch"))
+        held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(days)
+        own.agg(F.max("last").alias("last")).write.mode("overwrite").parquet(f"{times}/batch={batch_id}")
+
+        # A window is closed when its last day is over by ``late``; these are the first days of the latest such windows.
+        moment = spark.read.schema("last LONG, batch INT").parquet(times).filter(F.col("batch") <= batch_id)
+        edge = lambda last: F.date_sub(F.to_date(F.timestamp_micros(last) - F.expr(f"INTERVAL {late}")), span)
+        seen = moment.agg(edge(F.max("last")).alias("now"), edge(F.max(F.when(F.col("batch") < batch_id, F.col("last")))).alias("before")).first()
+
+        # As many dates as the batch has days, whatever the number of events.
+        touched = [r.day for r in own.select("day").distinct().collect()]
+        fresh = (F.col("start") <= F.lit(seen.now)) & (F.lit(seen.before is None) | (F.col("start") > F.lit(seen.before)))
+        closed = {d - timedelta(i) for d in touched for i in range(span)} if seen.before is not None else set()
+        again = sorted(d for d in closed if d <= seen.before)
+        needed = sorted({d + timedelta(i) for d in again for i in range(span)})
+        state = spark.read.schema(held.schema).parquet(days).filter(F.col("batch") <= batch_id)
+        if seen.before is not None:
+            state = state.filter(F.col("day").between(F.lit(seen.before), F.date_add(F.lit(seen.now), span)) | F.col("day").isin(needed))
         starts = F.explode(F.sequence(F.date_sub("day", span - 1), F.col("day"))).alias("start")
-        spread_out = state.select("procurement_record_id", "n", "batch", starts).filter(closed(seen.now))
-        # New windows, and of the old ones those of this batch's days.
-        wanted = spread_out.filter(~closed(seen.before) | mine).select("start").distinct()
-        found = spread_out.join(F.broadcast(wanted), "start").groupBy("procurement_record_id", "start").agg(F.sum("n").alias("n_events"))
-        found.filter(F.col("n_events") >= rules.repeated_min).select(
+        found = state.select("procurement_record_id", "n", starts).filter(fresh | F.col("start").isin(again))
+        found.groupBy("procurement_record_id", "start").agg(F.sum("n").alias("n_events")).filter(F.col("n_events") >= rules.repeated_min).select(
             "procurement_record_id", F.col("start").cast("timestamp").alias("window_start"),
             F.date_add("start", span).cast("timestamp").alias("window_end"), "n_events", F.col("start").alias("window_day"),
         ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window_day").parquet(table)
