@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tenderglow.llm.common import text_session, texts
 
 #: Pieces and token pairs a worker remembers; a table that is full is emptied.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 _LOOSE_SPACE = re.compile(r" (?!\S)").search
 
 
@@ -106,7 +106,7 @@ class ByteEncoder:
                 bound, b = b + 1, self.halves[b][0]
             else:
                 break
-        if len(self.fits) >= REMEMBERED * 4:
+        if len(self.fits) >= REMEMBERED * 2:
             self.fits.clear()
         self.fits[key] = holds
         return holds

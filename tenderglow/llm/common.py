@@ -21,12 +21,12 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def text_session(spark: SparkSession) -> SparkSession:
+def text_session(spark: SparkSession, batch_bytes: str = BATCH_BYTES) -> SparkSession:
     """Settings for operators that move texts: Arrow batches bounded in bytes, and shuffle files removed with their job.
 
     Whatever is read twice is a stored table, so no later job needs an earlier one's shuffle files.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch_bytes)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 

@@ -38,7 +38,11 @@ NODE = 1000
 #: Levels of every tree; a node that is still too large then is compared in blocks, so recall does not depend on the input's size.
 DEPTH = 3
 #: Shingles of all sets that one node brings into a task; beyond it the node is dealt into tiles.
-SET_TOKENS = 4 << 20
+SET_TOKENS = 1 << 19
+#: Bytes of texts that are shingled at a time.
+GROUP_BYTES = 1 << 20
+#: Bytes of each matrix that a node's comparison holds.
+MATRIX_BYTES = 8 << 20
 
 
 def least_similar(similarity: float) -> float:
@@ -102,7 +106,7 @@ def _sketches(size: int):
         for batch in batches:
             ids = batch.column("doc_id")
             counts, keys, mins = [], [], []
-            for group in tokens.groups(batch.column("text"), lower=True):
+            for group in tokens.groups(batch.column("text"), lower=True, most=GROUP_BYTES):
                 for i in range(group.last - group.first):
                     found = shingle_set(group.hashes[group.of(i)], size)
                     counts.append(len(found))
@@ -308,19 +312,22 @@ def _linked(percent: int):
         common = uses > 1
         row, token = row[common[token]], (np.cumsum(common) - 1)[token[common[token]]]
         order = np.argsort(token, kind="stable")
-        row, token = row[order], token[order]
-        both = np.zeros((len(rows), len(sets)), np.float32)
-        for at in range(0, int(common.sum()), 4096):
-            lo, hi = np.searchsorted(token, [at, at + 4096])
-            part = np.zeros((len(sets), 4096), np.float32)
-            part[row[lo:hi], token[lo:hi] - at] = 1
-            both += part[rows] @ part.T
-        union = size[rows][:, None] + size[None, :] - both
-        hit = (100 * both.astype(np.int64) >= percent * union.astype(np.int64)) & (label[rows][:, None] != label[None, :])
-        found = {}
-        for i, j in zip(*np.nonzero(hit), strict=True):
-            a, b = sorted(((label[rows[i]], ids[rows[i]]), (label[j], ids[j])))
-            found.setdefault((a[0], b[0]), (a[1], b[1]))
+        row, token, found = row[order], token[order], {}
+        wide = max(16, MATRIX_BYTES // (4 * len(sets)))  # columns of one part, rows of one slice
+        for lo in range(0, len(rows), wide):
+            own = rows[lo:lo + wide]
+            both = np.zeros((len(own), len(sets)), np.float32)
+            for at in range(0, int(common.sum()), wide):
+                first, last = np.searchsorted(token, [at, at + wide])
+                part = np.zeros((len(sets), wide), np.float32)
+                part[row[first:last], token[first:last] - at] = 1
+                both += part[own] @ part.T
+            # Counts are whole numbers far below 2**24, so these products are exact in double precision.
+            union = size[own][:, None] + size[None, :] - both.astype(np.float64)
+            hit = (100 * both.astype(np.float64) >= percent * union) & (label[own][:, None] != label[None, :])
+            for i, j in zip(*np.nonzero(hit), strict=True):
+                a, b = sorted(((label[own[i]], ids[own[i]]), (label[j], ids[j])))
+                found.setdefault((a[0], b[0]), (a[1], b[1]))
         return list(found.values())
 
     return work
@@ -369,7 +376,7 @@ def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(g.hashes[g.of(i)], size).view(np.int64)
-                     for g in tokens.groups(batch.column("text"), lower=True) for i in range(g.last - g.first)]
+                     for g in tokens.groups(batch.column("text"), lower=True, most=GROUP_BYTES) for i in range(g.last - g.first)]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "shingles": pa.array(found, pa.list_(pa.int64()))})
 
@@ -403,7 +410,7 @@ def find_components(docs: DataFrame, size: int = 2, percent: int = 80, recall: f
     ``recall`` is the wanted probability that a pair of exactly the limit similarity is found, see ``missed``.
     """
     similarity = percent / 100
-    spark = text_session(docs.sparkSession)
+    spark = text_session(docs.sparkSession, "2m")
     source = texts(docs)
     hashed = source.withColumn("text_hash", F.xxhash64("text"))
     rows = cut_lineage(hashed.mapInArrow(_sketches(size), "doc_id long, text_hash long, n_shingles long, key string, sketch binary"))

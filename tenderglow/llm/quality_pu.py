@@ -39,7 +39,7 @@ _MEASURES = len(_CLASSES) + 15
 def measures(column: pa.Array) -> np.ndarray:
     """A row of measures per text: shares of kinds of characters, words and lines, repetition, and lengths."""
     out = []
-    for group in tokens.groups(column, lower=False):
+    for group in tokens.groups(column, lower=False, most=1 << 20):
         places, bounds, docs = group.offsets, group.bounds, group.last - group.first
         size = np.maximum(np.diff(places), 1)
         words = np.diff(bounds)
@@ -144,7 +144,7 @@ class PuNetwork:
 
 def measured(docs: DataFrame) -> DataFrame:
     """One stored row of measures per document row, with ``text_hash`` to find it again."""
-    text_session(docs.sparkSession)
+    text_session(docs.sparkSession, "2m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
