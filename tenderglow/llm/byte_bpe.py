@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tenderglow.llm.common import text_session, texts
 
-#: Pieces and token pairs a worker remembers; a table that is full is emptied.
-REMEMBERED = 120_000
+#: Pieces, words after a space, and token pairs that a worker remembers; a table that is full is emptied.
+REMEMBERED, SPACED, PAIRS = 300_000, 60_000, 240_000
 _LOOSE_SPACE = re.compile(r" (?!\S)").search
 
 
@@ -106,7 +106,7 @@ class ByteEncoder:
                 bound, b = b + 1, self.halves[b][0]
             else:
                 break
-        if len(self.fits) >= REMEMBERED * 2:
+        if len(self.fits) >= PAIRS:
             self.fits.clear()
         self.fits[key] = holds
         return holds
@@ -167,7 +167,7 @@ class ByteEncoder:
         for word in rest:
             ids = get(word)
             if ids is None:
-                if len(self.spaced) >= REMEMBERED:
+                if len(self.spaced) >= SPACED:
                     self.spaced.clear()
                 ids = self.spaced[word] = self._pieces(" " + word)
             out.append(ids)
