@@ -64,3 +64,12 @@ def test_entry(spark):
 def test_entry_lists_every_query():
     assert set(QUERIES) <= set(entry_points.queries())
     assert set(ORACLES) <= set(entry_points.oracle_sql())
+
+
+def test_entry_without_the_text_queries():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['tenderglow.llm'] = None; import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries(), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(entry_points.__file__).parent)
+    assert done.stdout.split() == [str(len(QUERIES)), "False", str(len(ORACLES))], done.stderr
