@@ -15,6 +15,7 @@ from tenderglow.operators import landing, search
 from tenderglow.plans import adapters as A
 from tenderglow.plans import oracle_tables as O
 from tenderglow.plans.registry import query
+from tenderglow.session import scratch_path
 from tenderglow.sources import dimensions, documents, extractions, feeds, listings, pages
 
 NOW = A.RECORDS_NOW
@@ -117,12 +118,12 @@ def collect_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {O.SOURCES}
-SELECT id, CASE WHEN id IN (SELECT user_id FROM events WHERE event_type = 'view')
+SELECT id, CASE WHEN id IN (SELECT user_id FROM events WHERE event_type <> 'view')
   THEN '2001-07-15' END AS checked FROM sources
 """)
 def touch_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views = A.load(spark, sf_dir, "events").filter("event_type = 'view'")
-    metrics = views.select(F.col("user_id").alias("source_id"), F.lit("success").alias("status"))
+    status = F.when(F.col("event_type") == "view", "failed").otherwise("success")
+    metrics = A.load(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"), status.alias("status"))
     touched = landing.touch_sources(A.sources(spark, sf_dir), metrics, NOW)
     return touched.select("id", _day("last_checked_at").alias("checked"))
 
@@ -145,6 +146,7 @@ def _lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     day = F.col("o_orderdate").cast("timestamp")
     return o.select(
+        k.alias("k"),
         F.when(k % 13 != 0, A.pick(A.TITLES, k)).alias("#Denominazione_Bando"),
         F.when(k % 3 != 0, F.concat(F.lit("Lotto "), F.col("o_orderpriority"))).alias(
             "Denominazione_Lotto"
@@ -162,7 +164,7 @@ def _lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""
+_LOTS_SQL = f"""
 WITH lots AS (
   SELECT *, CASE WHEN o_orderkey % 13 <> 0 THEN {O.listed(A.TITLES, 'o_orderkey')} ELSE '' END AS t,
     CASE WHEN o_orderkey % 3 <> 0 THEN 'Lotto ' || o_orderpriority ELSE '' END AS l
@@ -180,14 +182,30 @@ SELECT 'https://www.consip.it/bandi/aq-servizio-luce' || CASE WHEN o_orderkey %
   'true' AS prevalidated
 FROM lots WHERE regexp_matches(lower(t || ' ' || l),
   'illuminazione|servizio luce|efficientamento energetico degli impianti')
-""")
-def lot_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.lot_drafts(_lots(spark, sf_dir)).select(
+"""
+
+
+def _lot_columns(drafts: DataFrame) -> DataFrame:
+    return drafts.select(
         "raw_url", "raw_title", "raw_body", _day("raw_date").alias("published"),
         _field("importo").alias("importo"), _field("perimeter_prevalidated").alias("prevalidated"),
     )
 
 
+@query(_LOTS_SQL)
+def lot_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lot_columns(feeds.lot_drafts(_lots(spark, sf_dir)))
+
+
+@query(_LOTS_SQL)
+def lot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lots written to files of one JSON array each and read back."""
+    lots = _lots(spark, sf_dir)
+    rows = lots.select("k", F.to_json(F.struct(*[F.col(f"`{c}`") for c in lots.columns if c != "k"])).alias("notice"))
+    path = _saved_answers(rows, "[", "]", "lots")
+    return _lot_columns(feeds.read_lot_feed(spark, path))
+
+
 def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = A.load(spark, sf_dir, "orders", busy=True)
     k, key = F.col("o_orderkey"), _text("o_orderkey")
@@ -214,14 +232,25 @@ def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("deadline-receipt-tender-date-lot"),
         F.when(k % 7 < 4, F.array(A.pick(R.NOTICE_CODES, k)))
         .when(k % 7 == 4, F.array(F.lit("99999999"))).alias("classification-cpv"),
+        F.when(k % 10 < 5, F.to_json(F.array(F.lit("FRA"), F.lit("ITA")))).when(k % 10 == 5, "ITA")
+        .when(k % 10 == 6, F.to_json(F.array(F.lit("DEU")))).when(k % 10 == 7, "FRA").alias("buyer-country"),
     )
-    # Through JSON text, so the query reads notices the way a saved answer holds them.
-    return o.select(F.from_json(F.to_json(doc), schemas.NOTICE).alias("n")).select("n.*")
+    return o.select(k.alias("k"), F.to_json(doc).alias("notice"))
 
 
-@query(f"""
+def _saved_answers(rows: DataFrame, opening: str, closing: str, name: str) -> str:
+    """Folder of answer files: the ``notice`` texts of a run of 1,000 keys each, so no answer is longer than that."""
+    path = scratch_path(rows.sparkSession, name)
+    answers = rows.groupBy(F.floor(F.col("k") / 1000).alias("answer")).agg(
+        F.concat(F.lit(opening), F.array_join(F.collect_list("notice"), ","), F.lit(closing)).alias("value")
+    )
+    answers.write.partitionBy("answer").text(path)
+    return path
+
+
+_NOTICES_SQL = """
 WITH n AS (SELECT *, CAST(o_orderkey AS VARCHAR) AS key FROM orders
-  WHERE o_orderkey % 7 <> 4)
+  WHERE o_orderkey % 7 <> 4 AND o_orderkey % 10 NOT IN (6, 7))
 SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'https://i/' || key WHEN o_orderkey % 5 = 1 THEN 'https://e/'
     || key WHEN o_orderkey % 17 <> 0 THEN 'https://ted.europa.eu/en/notice/' || key || '/html'
     ELSE 'https://api.ted.europa.eu/v3/notices/search' END AS raw_url,
@@ -234,16 +263,33 @@ SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'https://i/' || key WHEN o_orderkey % 5
     ELSE 5634419.4 END AS importo,
   CASE WHEN o_orderkey % 6 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS scadenza
 FROM n
-""")
-def notice_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.notice_drafts(_notices(spark, sf_dir)).select(
+"""
+
+
+def _notice_columns(drafts: DataFrame) -> DataFrame:
+    return drafts.select(
         "raw_url", "raw_title", "raw_body", _day("raw_date").alias("published"),
         _field("importo").cast("double").alias("importo"), _field("scadenza").alias("scadenza"),
     )
 
 
-def _old_notice_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One answer per order with one notice, in the older layout's many spellings."""
+@query(_NOTICES_SQL)
+def notice_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Through JSON text, so the query reads notices the way a saved answer holds them.
+    notices = _notices(spark, sf_dir).select(F.from_json("notice", schemas.NOTICE).alias("n")).select("n.*")
+    return _notice_columns(feeds.notice_drafts(notices))
+
+
+@query(f"{_NOTICES_SQL} WHERE o_orderdate >= TIMESTAMP '1998-01-01'")
+def notice_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers written to files and read back, with the look-back counted from a moment in the day."""
+    path = _saved_answers(_notices(spark, sf_dir), '{"notices":[', "]}", "notices")
+    now = datetime(1998, 1, 15, 13, 30, tzinfo=timezone.utc)
+    return _notice_columns(feeds.read_notice_feed(spark, path, now=now))
+
+
+def _old_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as notices in the older layout's many spellings: the texts before and after, and the notice."""
     o = A.load(spark, sf_dir, "orders", busy=True)
     k, key = F.col("o_orderkey"), _text("o_orderkey")
     day = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyyMMdd")
@@ -262,27 +308,46 @@ def _old_notice_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.when(k % 8 != 7, F.concat(F.lit(',"ND":"'), key, F.lit('"'))).otherwise("")
     fields = F.concat(
         F.lit('{"TI":'), shown, F.lit(',"links":'), links, number, F.lit(',"PD":"'), day,
-        F.lit('","CY":"IT","total-value":'), key, F.lit("}"),
+        F.lit('","CY":'), A.pick(('"IT"', '["DE","IT"]', '"FR"', "null"), F.floor(k / 8)),
+        A.pick((",\"CPV\":[\"34928510\",\"71000000\"]", ",\"CPV\":\"71000000-8\"", ""), F.floor(k / 32)),
+        F.lit(',"total-value":'), key, F.lit("}"),
     )
-    wrapper = F.when(k % 2 == 0, F.lit('{"notices":[')).otherwise('{"results":[')
-    return o.select(F.concat(wrapper, fields, F.lit("]}")).alias("payload"))
+    return o.select(k.alias("k"), fields.alias("notice"))
 
 
-@query("""
+_OLD_NOTICES_SQL = """
 SELECT CASE o_orderkey % 4 WHEN 0 THEN 'https://h/' || o_orderkey WHEN 1 THEN 'https://s/' || o_orderkey
     ELSE 'https://ted.europa.eu/udl?uri=TED:NOTICE:' || o_orderkey END AS raw_url,
   'T' || o_orderkey AS raw_title,
-  'TI: T' || o_orderkey || ' | total-value: ' || o_orderkey || ' | CY: IT' AS raw_body,
+  'TI: T' || o_orderkey || ' | total-value: ' || o_orderkey || CASE o_orderkey // 8 % 4 WHEN 0 THEN ' | CY: IT'
+    WHEN 1 THEN ' | CY: DE' ELSE '' END AS raw_body,
   strftime(o_orderdate, '%Y-%m-%d') AS published, CAST(o_orderkey AS VARCHAR) AS kept_value
 FROM orders WHERE NOT (o_orderkey % 4 > 1 AND o_orderkey % 8 = 7)
-""")
-def old_notice_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.old_notice_drafts(_old_notice_pages(spark, sf_dir)).select(
+  AND o_orderkey // 8 % 4 <> 2 AND o_orderkey // 32 % 3 <> 1
+"""
+
+
+def _old_notice_columns(drafts: DataFrame) -> DataFrame:
+    return drafts.select(
         "raw_url", "raw_title", "raw_body", _day("raw_date").alias("published"),
         F.get_json_object("extracted_json", "$.notice['total-value']").alias("kept_value"),
     )
 
 
+@query(_OLD_NOTICES_SQL)
+def old_notice_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wrapper = F.when(F.col("k") % 2 == 0, F.lit('{"notices":[')).otherwise('{"results":[')
+    pages = _old_notices(spark, sf_dir).select(F.concat(wrapper, "notice", F.lit("]}")).alias("payload"))
+    return _old_notice_columns(feeds.old_notice_drafts(pages))
+
+
+@query(f"{_OLD_NOTICES_SQL} AND o_orderdate >= TIMESTAMP '1998-01-01'")
+def old_notice_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _saved_answers(_old_notices(spark, sf_dir), '{"results":[', "]}", "old-notices")
+    now = datetime(1998, 1, 8, 13, 30, tzinfo=timezone.utc)
+    return _old_notice_columns(feeds.read_notice_feed(spark, path, now=now, layout="v3.0"))
+
+
 @query("""
 SELECT 'https://a.example.com/' || o_orderkey AS raw_url, o_orderpriority AS raw_title,
   CASE WHEN o_orderkey % 2 = 0 THEN 'url: https://a.example.com/' ELSE 'link_bando: https://a.example.com/' END
@@ -313,6 +378,27 @@ def open_data_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drafts.select("raw_url", "raw_title", "raw_body", _day("raw_date").alias("published"))
 
 
+@query("""
+SELECT 'https://a.example.com/' || o_orderkey AS raw_url,
+  '{"record":{"url":"https://a.example.com/' || o_orderkey || '","n":' || o_orderkey || ',"aperto":'
+    || CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END || ',"lotti":[{"cig":null,"anno":'
+    || year(o_orderdate) || '}],"note":null},"source":"anac"}' AS extracted_json
+FROM orders
+""")
+def open_data_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written to answer files and read back: numbers, flags, nested objects and nulls keep their types."""
+    o = A.load(spark, sf_dir, "orders", busy=True)
+    k, key = F.col("o_orderkey"), _text("o_orderkey")
+    record = F.concat(
+        F.lit('{"url":"https://a.example.com/'), key, F.lit('","n":'), key, F.lit(',"aperto":'),
+        F.when(k % 2 == 0, "true").otherwise("false"), F.lit(',"lotti":[{"cig":null,"anno":'),
+        _text(F.year(F.col("o_orderdate").cast("timestamp"))), F.lit('}],"note":null}'),
+    )
+    rows = o.select(k.alias("k"), record.alias("notice"))
+    path = _saved_answers(rows, '{"result":{"records":[', "]}}", "open-data")
+    return feeds.read_open_data_feed(spark, path).select("raw_url", "extracted_json")
+
+
 @query(f"""
 SELECT 'https://r.example.com/' || doc_id AS raw_url, 'Titolo ' || doc_id AS raw_title,
   md5(text) AS body_md5, '2026-04-15 08:00:00' AS published
@@ -441,11 +527,10 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {_ANCHORS}, loose AS (
   SELECT regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS source_id, url, txt,
-    {_resolved('href', 'url')} AS link,
-    row_number() OVER (PARTITION BY url ORDER BY pos) AS n, pos
+    {_resolved('href', 'url')} AS link, pos
   FROM anchors WHERE href <> '' AND {O.points('txt', PAGE_SCOPE)} >= 1)
 SELECT source_id, link AS raw_url, arg_min(txt, url || '#' || lpad(CAST(pos AS VARCHAR), 6, '0')) AS raw_title
-FROM loose WHERE n <= 100 GROUP BY source_id, link
+FROM loose GROUP BY source_id, link
 """)
 def listing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the given pages by the generic profile: no selector fits, so links are scanned."""
@@ -624,11 +709,9 @@ def extraction_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 AND o_custkey % 2 = 0 THEN 'Ente ' || o_custkey
-    WHEN o_orderkey % 6 = 0 THEN '' ELSE 'Comune' END AS ente,
-  CASE WHEN o_orderkey % 7 = 0 THEN strftime(o_orderdate, '%Y-%m-%d')
-    WHEN o_custkey % 2 = 0 THEN '2001-12-31' END AS scadenza,
-  CASE WHEN o_custkey % 2 = 0 AND o_custkey % 3 = 0 THEN 'corpo ' || o_custkey
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN 'Ente ' || o_custkey ELSE 'Comune' END AS ente,
+  CASE WHEN o_orderkey % 7 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '2001-12-31' END AS scadenza,
+  CASE WHEN o_custkey % 3 = 0 THEN 'corpo ' || o_custkey
     ELSE o_orderpriority END AS body
 FROM orders
 """)
@@ -643,7 +726,7 @@ def merge_details(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("body"),
     )
     c = F.col("c_custkey")
-    details = A.load(spark, sf_dir, "customer").filter(c % 2 == 0).select(
+    details = A.load(spark, sf_dir, "customer").select(
         c.alias("url"), F.concat(F.lit("Ente "), _text(c)).alias("ente"),
         F.lit("2001-12-31").alias("scadenza"),
         F.when(c % 3 == 0, F.concat(F.lit("corpo "), _text(c))).otherwise("").alias("body"),
@@ -718,7 +801,7 @@ def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _source_seed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s = A.load(spark, sf_dir, "supplier")
     k, key = F.col("s_suppkey"), _text("s_suppkey")
-    current = s.filter(k % 2 == 0).select(
+    current = s.filter(k % 3 != 0).select(
         *[
             {
                 "id": key, "name": F.col("s_name"), "source_type": F.lit("official"),
@@ -728,7 +811,7 @@ def _source_seed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
             for name, kind in _fields(schemas.SOURCE)
         ]
     )
-    seed = s.filter(k % 3 == 0).select(
+    seed = s.select(
         F.col("s_name").alias("name"), F.lit("eproc_portal").alias("source_type"),
         F.lit("new").alias("platform_type"), F.concat(F.lit("https://new/"), key).alias("base_url"),
         F.when(k % 2 == 1, 2).alias("source_priority_rank"),
@@ -741,13 +824,12 @@ def _fields(schema: str) -> list[tuple[str, str]]:
 
 
 @query("""
-SELECT s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'official' ELSE 'eproc_portal' END AS source_type,
-  CASE WHEN s_suppkey % 3 = 0 THEN 'new' ELSE 'old' END AS platform_type,
-  CASE WHEN s_suppkey % 3 = 0 THEN 'https://new/' || s_suppkey ELSE 'https://old' END AS base_url,
-  CASE WHEN s_suppkey % 2 = 0 THEN 'C' ELSE 'B' END AS priority,
-  CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey ELSE 2 END AS source_priority_rank,
-  s_suppkey % 2 <> 0 AS active
-FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 = 0
+SELECT s_name AS name, CASE WHEN s_suppkey % 3 <> 0 THEN 'official' ELSE 'eproc_portal' END AS source_type,
+  'new' AS platform_type, 'https://new/' || s_suppkey AS base_url,
+  CASE WHEN s_suppkey % 3 <> 0 THEN 'C' ELSE 'B' END AS priority,
+  CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey WHEN s_suppkey % 2 = 1 THEN 2 ELSE 999 END AS source_priority_rank,
+  s_suppkey % 3 = 0 AS active
+FROM supplier
 """)
 def seed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     current, seed = _source_seed(spark, sf_dir)
@@ -756,29 +838,34 @@ def seed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _entity_seed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as entities; every seventh has no region."""
     c = F.col("c_custkey")
-    rows = A.load(spark, sf_dir, "customer").select(
+    return A.load(spark, sf_dir, "customer").select(
         c.alias("k"), F.col("c_name").alias("name"),
         F.when(c % 7 != 0, F.col("c_mktsegment")).alias("region"),
         F.concat(F.lit("https://albo/"), _text(c)).alias("url_albo"),
         F.lit("comune").alias("entity_type"),
     )
-    current = rows.filter("k % 2 = 0").select(
+
+
+def _entity_seed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All customers as seed, two thirds of them stored before."""
+    rows = _entities(spark, sf_dir)
+    current = rows.filter("k % 3 <> 0").select(
         *[
             {"id": _text("k"), "name": F.col("name"), "region": F.col("region")}
             .get(name, F.lit(None)).cast(kind).alias(name)
             for name, kind in _fields(schemas.ENTITY)
         ]
     )
-    return current, rows.filter("k % 3 = 0")
+    return current, rows
 
 
 @query("""
 SELECT c_name AS name, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS region,
-  c_custkey % 2 <> 0 AS inserted
-FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0
+  c_custkey % 3 = 0 AS inserted
+FROM customer
 """)
 def seed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     current, seed = _entity_seed(spark, sf_dir)
@@ -788,7 +875,7 @@ def seed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT c_name AS name, 'https://albo/' || c_custkey AS url_albo, c_custkey % 5 <> 0 AS inserted
-FROM customer WHERE c_custkey % 3 = 0
+FROM customer
 """)
 def seed_watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     current, seed = _entity_seed(spark, sf_dir)
@@ -818,11 +905,11 @@ def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer
-WHERE c_custkey % 2 = 0 AND c_custkey % 7 <> 0 AND c_mktsegment = 'MACHINERY'
+WHERE c_custkey % 7 <> 0 AND c_mktsegment = 'MACHINERY'
 """)
 def list_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    current, _ = _entity_seed(spark, sf_dir)
-    return search.list_entities(current, region="MACHINERY").select("id", "name")
+    entities = _entities(spark, sf_dir).withColumn("id", _text("k"))
+    return search.list_entities(entities, region="MACHINERY").select("id", "name")
 
 
 @query("""

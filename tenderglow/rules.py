@@ -72,6 +72,11 @@ SCOPE_CODES = (
 )
 # The notice service is asked for these four codes only.
 NOTICE_CODES = ("34928510", "34993000", "50232000", "45316110")
+# Buyer country asked for, and days looked back without a date of its own: current layout, older layout.
+NOTICE_COUNTRY = "ITA"
+NOTICE_DAYS = 14
+OLD_NOTICE_COUNTRY = "IT"
+OLD_NOTICE_DAYS = 7
 # A framework lot is kept when its names contain one of these.
 LOT_KEYWORDS = ("illuminazione", "servizio luce", "efficientamento energetico degli impianti")
 # Anchor texts that lead to the tenders section of a transparency page.

@@ -87,7 +87,8 @@ NOTICE = (
     "`buyer-name`: map<string,string>, `publication-date`: string, "
     "links: struct<htmlDirect: map<string,string>>, `procedure-type`: string, "
     "`total-value`: string, `estimated-value-lot`: string, "
-    "`deadline-receipt-tender-date-lot`: string, `classification-cpv`: array<string>>"
+    "`deadline-receipt-tender-date-lot`: string, `classification-cpv`: array<string>, "
+    "`buyer-country`: string>"
 )
 
 RSS_ITEM = (

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +96,25 @@ def lot_drafts(rows: DataFrame, keywords: Sequence[str] = R.LOT_KEYWORDS) -> Dat
 # ---- notices, current layout ------------------------------------------------------------------------
 
 
+def _items(c: Column) -> Column:
+    """Items of a JSON list, or the text itself as the only item; null for null."""
+    return F.coalesce(F.from_json(F.when(c.startswith("["), c), "array<string>"), F.array_compact(F.array(c)))
+
+
+def _asked_for(stated: Column, wanted: Sequence[str], width: int) -> Column:
+    """Whether one of the stated items starts with a wanted one of ``width`` characters; rows that state none pass."""
+    if not wanted:
+        return F.lit(True)
+    heads = F.transform(stated, lambda c: F.substring(c, 1, width))
+    return stated.isNull() | (F.size(stated) == 0) | F.arrays_overlap(heads, F.array(*[F.lit(w) for w in wanted]))
+
+
+def look_back(now: datetime, days: int) -> datetime:
+    """Start of the UTC day ``days`` before ``now``: the service is asked by days."""
+    day = now.replace(tzinfo=timezone.utc) if now.tzinfo is None else now.astimezone(timezone.utc)
+    return (day - timedelta(days=days)).replace(hour=0, minute=0, second=0, microsecond=0)
+
+
 def _head(c: Column) -> Column:
     """First item when the text is a JSON list, else the text itself."""
     items = F.from_json(F.when(c.startswith("["), c), "array<string>")
@@ -114,32 +133,43 @@ def read_notice_feed(
     spark: SparkSession,
     path: str | list[str],
     *,
-    codes: Sequence[str] = R.NOTICE_CODES,
+    codes: Sequence[str] | None = None,
+    country: str | None = None,
     since: datetime | None = None,
+    now: datetime | None = None,
     layout: str = "current",
 ) -> DataFrame:
-    """Drafts of saved notice-search answers; ``layout='v3.0'`` reads the older format."""
+    """Drafts of saved notice-search answers; ``layout='v3.0'`` reads the older format.
+
+    ``codes`` and ``country`` are those of the layout by default; empty ones ask for all. Without ``since`` notices
+    are kept from 14 days (7 in the older layout) before ``now``; with neither, all are. Both count whole days.
+    """
+    if layout not in ("current", "v3.0"):
+        raise ValueError(f"unknown notice layout {layout!r}")
+    asked = {k: v for k, v in (("codes", codes), ("country", country)) if v is not None}
+    if since is not None:
+        since = look_back(since, 0)
+    elif now is not None:
+        since = look_back(now, R.NOTICE_DAYS if layout == "current" else R.OLD_NOTICE_DAYS)
     if layout == "v3.0":
         pages = spark.read.text(path, wholetext=True).select(F.col("value").alias("payload"))
-        return _since(old_notice_drafts(pages), since)
-    if layout != "current":
-        raise ValueError(f"unknown notice layout {layout!r}")
+        return _since(old_notice_drafts(pages, **asked), since)
     answers = (
         spark.read.schema(f"notices array<{schemas.NOTICE}>").option("multiLine", True).json(path)
     )
     notices = answers.select(F.explode("notices").alias("n")).select("n.*")
-    return _since(notice_drafts(notices, codes), since)
+    return _since(notice_drafts(notices, **asked), since)
 
 
-def notice_drafts(notices: DataFrame, codes: Sequence[str] = R.NOTICE_CODES) -> DataFrame:
-    """Drafts of notice rows. Rows that state their codes are held to ``codes``."""
-    listed = F.col("`classification-cpv`")
-    if codes:
-        wanted = F.array(*[F.lit(c) for c in codes])
-        notices = notices.filter(
-            listed.isNull()
-            | F.arrays_overlap(F.transform(listed, lambda c: F.substring(c, 1, 8)), wanted)
-        )
+def notice_drafts(
+    notices: DataFrame, codes: Sequence[str] = R.NOTICE_CODES, country: str = R.NOTICE_COUNTRY
+) -> DataFrame:
+    """Drafts of notice rows. Rows that state their codes or countries are held to ``codes`` and ``country``."""
+    stated = _items(F.col("`buyer-country`")) if "buyer-country" in notices.columns else F.lit(None).cast("array<string>")
+    notices = notices.filter(
+        _asked_for(F.col("`classification-cpv`"), codes, 8)
+        & _asked_for(stated, [country] if country else [], 3)
+    )
     number = _empty_for_null(F.col("`publication-number`"))
     buyer = T.filled(pick_language(F.col("`buyer-name`")))
     links = F.col("links.htmlDirect")
@@ -199,12 +229,25 @@ def _objects(doc: Column, *paths: str) -> Column:
     return F.coalesce(*lists)
 
 
-def old_notice_drafts(pages: DataFrame) -> DataFrame:
-    """Drafts of ``payload`` rows holding whole answers of the older service."""
+def old_notice_drafts(
+    pages: DataFrame, codes: Sequence[str] = R.SCOPE_CODES, country: str = R.OLD_NOTICE_COUNTRY
+) -> DataFrame:
+    """Drafts of ``payload`` rows holding whole answers of the older service.
+
+    Notices that state their codes (``CPV``) or countries (``CY``), as one text or a list, are held to those asked for.
+    """
     doc = J.parsed(F.col("payload"))
-    notices = pages.select(F.explode(_objects(doc, "$.notices", "$.results")).alias("n"))
     n = F.col("n")
 
+    def stated(key: str) -> Column:
+        value = J.item(n, key)
+        listed = F.transform(F.try_variant_get(value, "$", "array<variant>"), J.scalar_text)
+        return F.array_compact(F.coalesce(listed, F.array(J.scalar_text(value))))
+
+    notices = pages.select(F.explode(_objects(doc, "$.notices", "$.results")).alias("n")).filter(
+        _asked_for(stated("CPV"), codes, 8) & _asked_for(stated("CY"), [country] if country else [], 2)
+    )
+
     def link_of(entry: Column) -> Column:
         kind = F.schema_of_variant(entry)
         return F.when(
@@ -243,7 +286,8 @@ def old_notice_drafts(pages: DataFrame) -> DataFrame:
 
 # ---- open-data records --------------------------------------------------------------------------------
 
-_RECORDS = "array<map<string,string>>"
+# Each record as its own JSON text, so that numbers, nested objects and nulls stay what they were.
+_RECORDS = "array<string>"
 
 
 def read_open_data_feed(
@@ -266,7 +310,10 @@ def open_data_drafts(pages: DataFrame, body_chars: int | None = None) -> DataFra
         F.from_json(F.get_json_object(payload, p), _RECORDS)
         for p in ("$.records", "$.results", "$.data", "$.result.records", "$.result.results")
     ]
-    rows = pages.select(F.explode(F.coalesce(top, *nested)).alias("m")).filter("m IS NOT NULL")
+    records = pages.select(F.explode(F.coalesce(top, *nested)).alias("record")).filter(
+        F.ltrim("record").startswith("{")
+    )
+    rows = records.withColumn("m", F.from_json("record", "map<string,string>")).filter("m IS NOT NULL")
     m = F.col("m")
 
     def pick(*keys: str) -> Column:
@@ -281,9 +328,7 @@ def open_data_drafts(pages: DataFrame, body_chars: int | None = None) -> DataFra
         pick("oggetto", "oggetto_principale_contratto", "titolo").alias("raw_title"),
         (body if body_chars is None else F.substring(body, 1, body_chars)).alias("raw_body"),
         V.precise_timestamp(pick("data_pubblicazione", "data_pubb", "data_inizio")).alias("raw_date"),
-        F.to_json(F.struct(m.alias("record"), F.lit("anac").alias("source"))).alias(
-            "extracted_json"
-        ),
+        F.concat(F.lit('{"record":'), "record", F.lit(',"source":"anac"}')).alias("extracted_json"),
         _position().alias("pos"),
     )
     return drafts.filter(F.col("raw_url").isNotNull())
