@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from tenderglow.llm.common import text_session, texts
 
@@ -196,7 +197,7 @@ def encoder(content: bytes, pattern: str) -> ByteEncoder:
     return _built[key]
 
 
-def _mapped(docs: DataFrame, rank_file: str, pattern: str, each, schema: str) -> DataFrame:
+def _mapped(docs: DataFrame, rank_file: str, pattern: str, each, schema: str | S.StructType) -> DataFrame:
     """Runs ``each(encoder, batch)`` over the documents. The driver reads the rank file, whose size the vocabulary bounds."""
     spark = text_session(docs.sparkSession)
     with open(rank_file, "rb") as file:
@@ -232,8 +233,8 @@ def with_tokens(docs: DataFrame, rank_file: str, pattern: str, into: str = "toke
     A column that already has the name ``into`` is replaced.
     """
     rest = docs.drop(into) if into in docs.columns else docs
-    kept = rest.select(F.struct(*(F.col(f"`{c}`") for c in rest.columns)).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    kind = kept.schema["row"].dataType.simpleString()
+    kept = rest.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in rest.columns)).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    kind = kept.schema["row"].dataType
 
     def each(own: ByteEncoder, batch: pa.RecordBatch) -> pa.RecordBatch:
         encoded = [own.encode(text) for text in batch.column("text").to_pylist()]
@@ -241,5 +242,6 @@ def with_tokens(docs: DataFrame, rank_file: str, pattern: str, into: str = "toke
         values = pa.array(np.frombuffer(b"".join(encoded), "<u4").astype(np.int32))
         return pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(offsets), values)], ["row", "ids"])
 
-    out = _mapped(kept, rank_file, pattern, each, f"row {kind}, ids array<int>")
+    schema = S.StructType([S.StructField("row", kind), S.StructField("ids", S.ArrayType(S.IntegerType()))])
+    out = _mapped(kept, rank_file, pattern, each, schema)
     return out.select("row.*", F.col("ids").alias(into))

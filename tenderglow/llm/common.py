@@ -47,6 +47,22 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES)
     return F.broadcast(df) if fits(df, row_bytes, most) else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def by_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """A semi or anti join of documents with stored ``rows`` of (doc_id, text_hash); ids may be null, other columns stay."""
+    own_id, own_hash = free_name(docs, "row_id"), free_name(docs, "row_hash")
+    rows = maybe_broadcast(rows.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)), 32)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(own_hash))
+    return docs.join(rows, same, how)
+
+
 def lower_az(text: Column) -> Column:
     """Only A-Z are lowered; other letters stay as they are."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

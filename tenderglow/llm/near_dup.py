@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderglow.llm import components, tokens
-from tenderglow.llm.common import fits, maybe_broadcast, text_session, texts
+from tenderglow.llm.common import by_row, fits, text_session, texts
 from tenderglow.session import cut_lineage
 
 #: Minwise tokens per set.
@@ -444,9 +444,7 @@ def drop_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, recall: f
     # Rows without an id come last.
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     chosen = found.groupBy(group.alias("group")).agg(F.min(order).alias("row"), F.count("*").alias("rows"))
-    chosen = cut_lineage(chosen.select(F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
-    stay = docs.join(maybe_broadcast(chosen, 32), same, "left_semi")
+    stay = by_row(docs, cut_lineage(chosen.select("row.doc_id", "row.text_hash")), "left_semi")
     again = found.groupBy("doc_id", "text_hash").count().where("count > 1")
     return stay if again.isEmpty() else stay.dropDuplicates(["doc_id", "text"])
 

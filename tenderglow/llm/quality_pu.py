@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderglow.llm import tokens
-from tenderglow.llm.common import in_fold, maybe_broadcast, text_session, texts
+from tenderglow.llm.common import by_row, in_fold, text_session, texts
 from tenderglow.llm.quality_rules import _per_document, _table, repeated_words
 from tenderglow.session import cut_lineage
 
@@ -217,9 +217,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int
 def drop_rejected(docs: DataFrame, labels: DataFrame, **options: int) -> DataFrame:
     """The documents, all columns, without those that the classifier rejects."""
     scored = score_quality(docs, labels, **options).where("predicted = 0")
-    bad = cut_lineage(scored.select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_bad_hash"))
-    return docs.join(maybe_broadcast(bad, 32), same, "left_anti")
+    return by_row(docs, cut_lineage(scored.select("doc_id", "text_hash").distinct()), "left_anti")
 
 
 def digest(scored: DataFrame) -> DataFrame:

@@ -117,10 +117,14 @@ def upper_bound(rejected: int, good: int, level: float) -> float:
         return 1.0
 
     def at_most(p: float) -> float:
-        logs = [math.lgamma(good + 1) - math.lgamma(k + 1) - math.lgamma(good - k + 1) + k * math.log(p) + (good - k) * math.log1p(-p)
-                for k in range(rejected + 1)]
-        top = max(logs)
-        return math.exp(top) * sum(math.exp(x - top) for x in logs)
+        # The chance of exactly ``rejected`` is the largest, as p is not below the share; smaller counts add ever less.
+        k = rejected
+        log = math.lgamma(good + 1) - math.lgamma(k + 1) - math.lgamma(good - k + 1) + k * math.log(p) + (good - k) * math.log1p(-p)
+        term = total = math.exp(log)
+        while k and term > total * 1e-17:
+            term *= k / (good - k + 1) * (1 - p) / p
+            total, k = total + term, k - 1
+        return total
 
     low, high = rejected / good, 1.0 - 1e-12
     for _ in range(60):

@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tenderglow.llm import byte_bpe, debruijn, decontaminate, lm_score, near_dup, pii, quality_rules, secret_scan
+from tenderglow.llm import byte_bpe, debruijn, decontaminate, lm_score, near_dup, pii, quality_pu, quality_rules, secret_scan
 from tenderglow.llm.catalog import RANKS
 from tests.llm import brute
 
@@ -81,6 +81,46 @@ def test_overlaps(spark, docs, rows, most):
     check(found, rows, brute.overlaps(rows, items), ("n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
 
 
+@pytest.mark.parametrize("most", [32 << 20, 0])
+def test_overlaps_across_chunks(spark, docs, rows, most):
+    """Windows and short items that begin in one chunk of a long text and end in the next; every row stands twice."""
+    long = dict(rows)[1006].split()
+    step = decontaminate.STEP
+    items = [(i, " ".join(long[step * i - before:step * i + after])) for i, (before, after) in enumerate(
+        [(0, 13), (1, 12), (12, 1), (13, 1), (6, 6), (1, 3), (0, 4), (20, 20), (12, 300), (3, 1)], 1)]
+    items.append((99, " ".join(long[-13:])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    some = [r for r in rows if r[0] in (1006, 1007, 1001, 1012)] * 2
+    frame = spark.createDataFrame(some, "doc_id long, text string")
+    found = decontaminate.digest(decontaminate.find_overlaps(frame, bench, most=most)).collect()
+    check(found, some, brute.overlaps(some, items), ("n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
+
+
+AWKWARD = ("_id", "_hash", "_bad_id", "_bad_key", "_bad_hash", "row_id", "ROW_HASH", "pii", "tick`ed", "do.t", "ids")
+
+
+def test_dropping_beside_awkward_columns(spark, rows, labels):
+    """Names that helpers might use, a tick and a dot in a name, and every row twice."""
+    some = [r for r in rows if r[0] is None or 1000 <= r[0] < 1020]
+    kinds = ", ".join(f"`{c.replace('`', '``')}` string" for c in AWKWARD)
+    frame = spark.createDataFrame([(i, t, *AWKWARD) for i, t in some * 2], f"doc_id long, text string, {kinds}").repartition(3)
+    bench = spark.createDataFrame([(1, dict(rows)[1012])], "item_id long, text string")
+    clean = [w for w in brute.overlaps(some, [(1, dict(rows)[1012])]) if not w[4]]
+    left = decontaminate.drop_contaminated(frame, bench)
+    assert left.columns == frame.columns and left.count() == 2 * len(clean)
+    unique = near_dup.drop_duplicates(frame)
+    kept = [r.doc_id for r in unique.select("doc_id").collect()]
+    assert unique.columns == frame.columns and kept.count(1012) == 1 and 1013 not in kept
+    good = quality_pu.drop_rejected(frame, labels)
+    counts = [r["count"] for r in good.groupBy("doc_id", "text").count().collect()]
+    assert good.columns == frame.columns and counts and set(counts) == {2}
+    hidden = pii.redact(frame)
+    assert hidden.columns == frame.columns and hidden.count() == 2 * len(some)
+    coded = byte_bpe.with_tokens(frame, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    assert coded.columns == [*frame.columns, "token_ids"] and coded.count() == 2 * len(some)
+    assert coded.where("`tick``ed` = 'tick`ed' and `do.t` = 'do.t'").count() == 2 * len(some)
+
+
 def test_drop_contaminated(spark, docs, rows):
     bench = spark.createDataFrame([(1, dict(rows)[1012])], "item_id long, text string")
     bad = {i for (i, _), w in zip(rows, brute.overlaps(rows, [(1, dict(rows)[1012])]), strict=True) if w[4]}
