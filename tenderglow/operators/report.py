@@ -21,6 +21,14 @@ ITEM = (
 )
 
 
+# Columns that a section shows or is ordered by.
+_SHOWN = (
+    "id", "ente", "descrizione", "importo", "cig", "link_bando", "regione", "scadenza",
+    "stato_procedurale", "tipo_novita", "score_commerciale", "priorita_commerciale",
+    "is_weak_evidence", "first_seen_at",
+)
+
+
 def _new() -> Column:
     return F.col("tipo_novita").isin(R.NEW_TODAY, R.SURFACED_TODAY) & ~F.col("is_weak_evidence")
 
@@ -49,21 +57,18 @@ def section(records: DataFrame, name: str, limit: int | None = None) -> DataFram
         if name == "evidenze_deboli"
         else [score.desc(), F.col("ente"), F.col("id")]
     )
-    top = (
-        records.filter(section_filters()[name])
-        .select(
-            "id", "ente", "descrizione", "importo", "cig", "link_bando", "regione", "scadenza",
-            "stato_procedurale", "tipo_novita", "score_commerciale", "priorita_commerciale",
-            "is_weak_evidence", "first_seen_at",
-        )
-        .orderBy(*order)
-    )
+    top = records.filter(section_filters()[name]).select(*_SHOWN).orderBy(*order)
     if limit is not None:
         top = top.limit(limit)
     number = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order))
-    return top.select(
-        F.lit(name).alias("section"),
-        (number if limit is not None else F.lit(None).cast("int")).alias("position"),
+    position = number if limit is not None else F.lit(None).cast("int")
+    return _items(top.withColumns({"section": F.lit(name), "position": position}))
+
+
+def _items(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "section",
+        "position",
         "id",
         "ente",
         "descrizione",
@@ -144,8 +149,24 @@ def open_alert_items(alerts: DataFrame) -> DataFrame:
 
 
 def sections(records: DataFrame) -> DataFrame:
-    """All four sections, cut to what the report shows (at most 110 rows)."""
-    return reduce(lambda a, b: a.unionByName(b), [section(records, n, rows) for n, rows in SECTION_ROWS.items()])
+    """All four sections, cut to what the report shows (at most 110 rows), in one scan and one shuffle.
+
+    The bound on the rank is applied in every partition before the shuffle, so at most 30 rows of a section
+    leave one.
+    """
+    names = F.array_compact(F.array(*[F.when(belongs, F.lit(n)) for n, belongs in section_filters().items()]))
+    rows = records.select(*_SHOWN, F.explode(names).alias("section"))
+    weak = F.col("section") == "evidenze_deboli"
+    # Columns that do not order a section are null all over it.
+    order = [
+        F.when(~weak, F.coalesce("score_commerciale", F.lit(0))).desc(),
+        F.when(~weak, F.col("ente")),
+        F.when(weak, F.col("first_seen_at")),
+        F.col("id"),
+    ]
+    ranked = rows.withColumn("position", F.row_number().over(Window.partitionBy("section").orderBy(*order)))
+    own = reduce(lambda rest, x: F.when(F.col("section") == x[0], x[1]).otherwise(rest), SECTION_ROWS.items(), F.lit(0))
+    return _items(ranked.filter((F.col("position") <= max(SECTION_ROWS.values())) & (F.col("position") <= own)))
 
 
 def _section_arrays(cut: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def _day(c: str | Column) -> Column:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    elected = dedupe.elect_master(dedupe.with_dedup_key(A.records(spark, sf_dir)))
+    elected = dedupe.elect_master(dedupe.with_dedup_key(A.records(spark, sf_dir)), keep=cut_lineage)
     return scoring.score(elected, NOW)
 
 
