@@ -1,8 +1,9 @@
 """Secret scans with an incremental ledger.
 
 Every historical version of a file is addressed by the hash of its content. The ledger holds which blob was scanned by
-which version of which rule, and what was found; a run scans only pairs that it lacks, and findings are joined back to
-every path that ever held the blob.
+which version of which rule, and what was found; a run scans only pairs that it lacks, appends them, and findings are
+joined back to every path that ever held the blob. The ledger is a folder of its own that outlives a run: a run that
+fails appends nothing or pairs that are right, and a pair that stands there twice counts once.
 
 Defined cases: a null text is read as empty; null paths and repeated rows each keep their row; an empty table gives an
 empty table; other columns are ignored. Copies of a text are scanned once, however many there are.
@@ -126,6 +127,29 @@ def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     return findings(paths, kept, rules), kept
 
 
+def load(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans what the ledger stored at ``path`` lacks of ``docs`` (doc_id, text) and appends it; per document its secrets.
+
+    A folder that does not exist yet is an empty ledger.
+    """
+    spark = docs.sparkSession
+    spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(path)
+    versions = docs.select(F.col("doc_id").cast("string").alias("path"), "text")
+    scan(versions, spark.read.schema(LEDGER).parquet(path), rules).write.mode("append").parquet(path)
+    paths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob_id(F.col("text")).alias("blob_id"))
+    return findings(paths, spark.read.schema(LEDGER).parquet(path), rules)
+
+
+def load_in_turn(loads: list[DataFrame], path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Loads that arrive one after the other, each scanned for what those before it did not hold; secrets of the last."""
+    found = None
+    for docs in loads:
+        found = load(docs, path, rules)
+    if found is None:
+        raise ValueError("no loads")
+    return found
+
+
 def digest(found: DataFrame) -> DataFrame:
     """Counts and the hash of the base spans, and the list of all spans."""
     base = F.filter("secrets", lambda s: s["base"])

@@ -71,6 +71,35 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert found == {"a": ["access"], "c": [], "d": ["hub_token"], None: []} or found["d"][0] == "hub_token"
 
 
+def test_stored_ledger_grows_by_unseen_pairs(spark, docs, rows, tmp_path):
+    path, size = str(tmp_path / "ledger"), len(secret_scan.RULES)
+    ledger = lambda: spark.read.schema(secret_scan.LEDGER).parquet(path)
+    blobs = lambda some: len({t or "" for _, t in some})
+    early = docs.where("doc_id % 2 = 0")
+    secret_scan.load(early, path).collect()
+    assert ledger().count() == size * blobs(r for r in rows if r[0] is not None and r[0] % 2 == 0)
+    files = {f.name for f in (tmp_path / "ledger").glob("*.parquet")}
+    found = secret_scan.digest(secret_scan.load_in_turn([early, docs, docs], path)).collect()
+    assert ledger().count() == size * blobs(rows)  # no pair twice, though all texts came again twice
+    assert files <= {f.name for f in (tmp_path / "ledger").glob("*.parquet")}  # nothing rewritten
+    at_once = secret_scan.digest(secret_scan.scan_secrets(docs)[0]).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(found, key=key) == sorted(at_once, key=key)
+
+
+def test_stored_ledger_edges(spark, empty, tmp_path):
+    path = str(tmp_path / "ledger")
+    assert secret_scan.load(empty, path).collect() == [] and spark.read.parquet(path).isEmpty()
+    secret_scan.load(spark.createDataFrame([(1, "0123456789abcdef"), (None, None)], "doc_id long, text string"), path).collect()
+    other = (*secret_scan.RULES[:2], secret_scan.Rule("hex", "[0-9a-f]{8,}", version=2))
+    again = spark.createDataFrame([(2, "0123456789abcdef"), (2, "0123456789abcdef")], "doc_id long, text string")
+    assert [[s.kind for s in r.secrets] for r in secret_scan.load(again, path, other).collect()] == [["hex"], ["hex"]]
+    fresh = spark.read.parquet(path).where("rule = 'hex@2'").collect()
+    assert len(fresh) == 1 and fresh[0].found[0].end == 16
+    with pytest.raises(ValueError):
+        secret_scan.load_in_turn([], path)
+
+
 @pytest.mark.parametrize("most", [32 << 20, 0])
 def test_overlaps(spark, docs, rows, most):
     text = dict(rows)
