@@ -140,6 +140,57 @@ def test_quality_edges(spark, docs, empty, labels):
     assert quality_pu.score_quality(docs, labels).count() == docs.count()
 
 
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.85])
+def test_prior_of_a_made_mixture(prior):
+    """Positives around 2, negatives around -2: the tails tell the share of positives among all."""
+    draw = np.random.default_rng(3)
+    texts = np.where(draw.random(100_000) < prior, draw.normal(2, 1, 100_000), draw.normal(-2, 1, 100_000))
+    counts = np.bincount(quality_pu._bin(texts), minlength=quality_pu.BINS)
+    assert quality_pu.estimate_prior(draw.normal(2, 1, 3000), counts) == pytest.approx(prior, abs=0.03)
+    assert quality_pu.estimate_prior(np.zeros(0), counts) == 0.5
+
+
+@pytest.mark.parametrize("shift", [0.0, -6.0])
+def test_slopes_of_the_non_negative_risk(shift):
+    """Slopes against differences, above zero and where the negatives' estimate falls below it (there: a step back)."""
+    draw = np.random.default_rng(4)
+    p, u = draw.normal(0.5 - shift, 1, (40, 3)), draw.normal(0, 1, (90, 3))
+    model = quality_pu.PuNetwork(np.zeros(3), np.ones(3))
+    model.parts[2] = model.parts[2] + 2
+
+    def parts() -> tuple[float, float]:
+        fp, fu = model.value(p), model.value(u)
+        return 0.6 * np.logaddexp(0, -fp).mean(), np.logaddexp(0, fu).mean() - 0.6 * np.logaddexp(0, fp).mean()
+
+    good, bad, slopes = model.risk(model._scaled(p), model.as_negative(model._scaled(u)), len(u), 0.6)
+    assert (good, bad) == pytest.approx(parts())
+    for part, slope in zip(model.parts, slopes, strict=True):
+        for at in np.ndindex(part.shape):
+            was, ends = part[at], []
+            for step in (1e-5, -1e-5):
+                part[at] = was + step
+                ends.append(sum(parts()) if bad >= 0 else -parts()[1])
+            part[at] = was
+            assert slope[at] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-6)
+
+
+def test_risk_is_added_up_over_all_rows(spark):
+    """Sums by tasks equal those over one array; moments too."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(1, 2, (500, quality_pu._MEASURES)).astype(np.float32)
+    rows = spark.createDataFrame([(i, 0, r.tolist()) for i, r in enumerate(x)], "doc_id long, text_hash long, x array<float>").repartition(5)
+    mean, scale = quality_pu._moments(rows)
+    assert mean == pytest.approx(x.mean(axis=0), abs=1e-4) and scale == pytest.approx(x.std(axis=0) + 1e-3, abs=1e-4)
+    model = quality_pu.PuNetwork(mean, scale)
+    loss, slopes = quality_pu.unlabelled_loss(rows, model)
+    wanted = model.as_negative(model._scaled(x.astype(np.float64)))
+    assert loss == pytest.approx(wanted[0])
+    for a, b in zip(slopes, wanted[1], strict=True):
+        assert a == pytest.approx(b)
+    counts, sums = quality_pu.binned(rows, model)
+    assert counts.sum() == 500 and sums.sum() == pytest.approx(model.value(x.astype(np.float64)).sum())
+
+
 def test_measures_of_empty_and_odd_texts():
     rows = quality_pu.measures(pa.array(["", None, " ", "a", "é" * 5000, "x " * 9000, "A B\nA B\n"]))
     assert rows.shape == (7, quality_pu._MEASURES) and np.isfinite(rows).all()
