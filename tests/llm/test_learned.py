@@ -157,13 +157,15 @@ def test_slopes_of_the_non_negative_risk(shift):
     p, u = draw.normal(0.5 - shift, 1, (40, 3)), draw.normal(0, 1, (90, 3))
     model = quality_pu.PuNetwork(np.zeros(3), np.ones(3))
     model.parts[2] = model.parts[2] + 2
+    if shift:
+        model.parts[0] = np.abs(model.parts[0])
 
     def parts() -> tuple[float, float]:
         fp, fu = model.value(p), model.value(u)
         return 0.6 * np.logaddexp(0, -fp).mean(), np.logaddexp(0, fu).mean() - 0.6 * np.logaddexp(0, fp).mean()
 
     good, bad, slopes = model.risk(model._scaled(p), model.as_negative(model._scaled(u)), len(u), 0.6)
-    assert (good, bad) == pytest.approx(parts())
+    assert (good, bad) == pytest.approx(parts()) and (bad < 0) == (shift < 0)
     for part, slope in zip(model.parts, slopes, strict=True):
         for at in np.ndindex(part.shape):
             was, ends = part[at], []
