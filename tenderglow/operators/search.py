@@ -82,11 +82,11 @@ def search_records(
     """One page: newest publication first, missing dates last, then newest seen, then id."""
     if not 1 <= limit <= MAX_PAGE:
         raise ValueError(f"limit must be between 1 and {MAX_PAGE}, got {limit}")
-    ordered = matching(records, filters).orderBy(*_listing_order())
+    ordered = matching(records, filters).orderBy(*listing_order())
     return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
 
 
-def _listing_order() -> list[Column]:
+def listing_order() -> list[Column]:
     return [F.col("data_pubblicazione").desc_nulls_last(), F.desc("first_seen_at"), F.col("id")]
 
 
@@ -108,7 +108,7 @@ def search_after(
         if last.data_pubblicazione is not None:
             later = later | day.isNull() | (day < F.lit(last.data_pubblicazione))
         found = found.filter(later)
-    return found.orderBy(*_listing_order()).limit(limit)
+    return found.orderBy(*listing_order()).limit(limit)
 
 
 def get_record(records: DataFrame, record_id: str) -> DataFrame:
@@ -117,7 +117,7 @@ def get_record(records: DataFrame, record_id: str) -> DataFrame:
 
 def weak_evidence(records: DataFrame, limit: int | None = None) -> DataFrame:
     """Weak records in listing order, all of them unless a page size is given."""
-    ordered = matching(records, RecordFilters()).filter("is_weak_evidence").orderBy(*_listing_order())
+    ordered = matching(records, RecordFilters()).filter("is_weak_evidence").orderBy(*listing_order())
     return ordered if limit is None else ordered.limit(limit)
 
 

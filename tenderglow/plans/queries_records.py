@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date, datetime, timezone
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenderglow import rules as R
@@ -13,13 +13,13 @@ from tenderglow import schemas
 from tenderglow.functions import text as T
 from tenderglow.functions import values as V
 from tenderglow.operators import (
-    anomalies, dedupe, export, kpi, normalise, report, scoring, search, upsert,
+    anomalies, dedupe, export, kpi, listing_index, normalise, report, scoring, search, upsert,
 )
 from tenderglow.plans import adapters as A
 from tenderglow.plans import daily
 from tenderglow.plans import oracle_tables as O
-from tenderglow.plans.registry import query
-from tenderglow.session import cut_lineage
+from tenderglow.plans.registry import ORACLES, query
+from tenderglow.session import cut_lineage, scratch_path
 
 NOW, EVENTS_NOW = A.RECORDS_NOW, A.EVENTS_NOW
 REPORT_DAY = date(2024, 1, 15)
@@ -761,6 +761,41 @@ def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select("id", "tipo_novita")
 
 
+@query(ORACLES["search_text"], name="search_postings")
+def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, path = A.records(spark, sf_dir), scratch_path(spark, "postings")
+    listing_index.write_postings(records, path, 16)
+    wanted = search.RecordFilters(ente="MER#0000", q="c0000_1")
+    postings = listing_index.read_postings(spark, path, dict(records.dtypes)["id"])
+    found = listing_index.indexed_search(records, postings, wanted)
+    return found.select("id", "ente", "cig")
+
+
+@query(f"""
+WITH {O.RECORDS}
+SELECT id, regione, row_number() OVER ({_LISTING}) AS place FROM records {_LISTING} LIMIT 200 OFFSET 1000
+""")
+def search_late_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.records(spark, sf_dir).select("id", "regione", "data_pubblicazione", "first_seen_at")
+    path = scratch_path(spark, "listing")
+    listing_index.write_listing(rows, path, 16)
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    page = listing_index.listing_page(spark, path, schema, 200, 1000)
+    # Places within a page of 200 rows.
+    place = F.row_number().over(Window.orderBy(*search.listing_order())).cast("long") + 1000
+    return page.select("id", "regione", place.alias("place"))
+
+
+@query(f"""
+WITH {O.RECORDS}
+SELECT id, tipo_novita FROM records WHERE tipo_novita = 'Nuovo oggi' {_LISTING} LIMIT 50 OFFSET 50
+""")
+def search_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, wanted = A.records(spark, sf_dir), search.RecordFilters(tipo_novita=R.NEW_TODAY)
+    first = search.search_records(records, wanted, 50).collect()
+    return search.search_after(records, wanted, first[-1], 50).select("id", "tipo_novita")
+
+
 @query(f"WITH {O.RECORDS} SELECT id, ente, regione, provincia FROM records WHERE id = 42")
 def get_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.get_record(A.records(spark, sf_dir), 42)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 from datetime import date, timedelta
 from decimal import Decimal
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tenderglow import rules as R
 from tenderglow import schemas
 from tenderglow.operators import (
-    anomalies, dedupe, export, joins, kpi, landing, normalise, report, scoring, search,
+    anomalies, dedupe, export, joins, kpi, landing, listing_index, normalise, report, scoring, search,
 )
 
 NOW = utc(2026, 4, 22, 10)
@@ -398,6 +399,41 @@ def test_search_wildcards_and_bounds(spark):
         ids(limit=1001)
 
 
+def test_postings_find_what_the_scan_finds(spark, tmp_path):
+    texts = ["Comune di Roma", "ACEA", None, "", "ro", "ROMA", "omaR roma", "È città di ROMÀ", "50% sconto_x", "a\\b roma", "İstanbul"]
+    rows = [record(id=f"{i}{k}", **{field: t}) for k, field in enumerate(("ente", "descrizione", "cig")) for i, t in enumerate(texts)]
+    records = frame(spark, rows, schemas.RECORD)
+    path = str(tmp_path / "postings")
+    listing_index.write_postings(records, path, 4)
+    postings = listing_index.read_postings(spark, path)
+    terms = ["roma", "r_ma", "ro", "ma r%m", "comune%roma", "%", "città", "ROMÀ", "conto_x", "50%", "nowhere", "a\\\\b", "i̇st", "İSTAN"]
+    for filters in [search.RecordFilters(q=t) for t in terms] + [search.RecordFilters(ente=t) for t in terms] + [
+            search.RecordFilters(ente="comune", q="roma"), search.RecordFilters()]:
+        wanted = [r.id for r in search.search_records(records, filters).collect()]
+        assert [r.id for r in listing_index.indexed_search(records, postings, filters).collect()] == wanted, filters
+    left = listing_index.candidates(records, postings, search.RecordFilters(ente="comune di"))
+    assert [r.id for r in left.collect()] == ["00"]
+    listing_index.write_postings(records.limit(0), path, 4)
+    assert listing_index.candidates(records, postings.sparkSession.read.parquet(path), search.RecordFilters(q="roma")).isEmpty()
+
+
+def test_stored_listing_pages(spark, tmp_path):
+    days = [utc(2026, 1, 1 + i % 5) if i % 4 else None for i in range(60)]
+    records = frame(spark, [record(id=f"{i:02}", data_pubblicazione=d) for i, d in enumerate(days)], schemas.RECORD)
+    rows, path = records.select("id", "data_pubblicazione", "first_seen_at"), str(tmp_path / "listing")
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    listing_index.write_listing(rows, path, 7)
+    whole = [r.id for r in search.search_records(records, search.RecordFilters()).collect()]
+    assert len(list((tmp_path / "listing" / "rows").glob("range=*"))) > 3
+    for size, start in [(7, 0), (7, 53), (1, 30), (25, 10), (100, 0), (5, 58), (5, 60), (5, 1000)]:
+        page = listing_index.listing_page(spark, path, schema, size, start)
+        assert [r.id for r in page.collect()] == whole[start:start + size]
+    plan = listing_index.listing_page(spark, path, schema, 2, 58)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*range#\d+ = \d", plan)  # one folder read
+    listing_index.write_listing(rows.limit(0), path, 7)
+    assert listing_index.listing_page(spark, path, schema, 5).collect() == []
+
+
 def test_pages_go_on_after_a_row(spark):
     rows = [
         record(id=str(i), first_seen_at=utc(2026, 4, 1 + i % 2), data_pubblicazione=utc(2026, 1, 1 + i % 3) if i % 4 else None)
