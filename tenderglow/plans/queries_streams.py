@@ -22,10 +22,13 @@ from tenderglow.streaming import jobs
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table as a file stream under its stored schema."""
-    stored = ensure_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet").schema
-    files = spark.readStream.schema(stored).option("pathGlobFilter", f"{name}.parquet")
-    return files.parquet(sf_dir)
+    """A given table, one file or a folder of them, as a file stream under its stored schema."""
+    path = f"{sf_dir}/{name}.parquet"
+    files = spark.readStream.schema(ensure_utc(spark).read.parquet(path).schema)
+    if jobs.is_folder(spark, path):
+        return files.parquet(path)
+    # Spark takes no single file as a stream's path, so its folder is listed for it.
+    return files.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 _LANDED = f"""

@@ -30,6 +30,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory()
+
+
 def unique_drafts(
     drafts: DataFrame,
     landed: DataFrame | None = None,

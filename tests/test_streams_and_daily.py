@@ -14,7 +14,7 @@ from tenderglow import rules as R
 from tenderglow import schemas
 from tenderglow.operators import normalise
 from tenderglow.operators.upsert import upsert
-from tenderglow.plans import daily
+from tenderglow.plans import daily, queries_streams
 from tenderglow.session import cut_lineage, is_local, shared_dir
 from tenderglow.streaming import jobs
 
@@ -48,6 +48,18 @@ def test_stream_land_over_two_arrivals(spark, tmp_path):
     assert landed.filter("raw_date IS NULL").count() == 0
 
 
+def test_stream_land_query_reads_a_table_of_several_files(spark, tmp_path):
+    rows = [(i, f"the tender, entry {i % 7}", "s") for i in range(20)] + [(20, "mensa", "s"), (21, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING")
+    docs.repartition(3).write.parquet(str(tmp_path / "many/documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (part,) = (tmp_path / "parts").glob("*.parquet")
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one/documents.parquet").write_bytes(part.read_bytes())
+    many, one = (sorted(queries_streams.stream_land(spark, str(tmp_path / n)).collect()) for n in ("many", "one"))
+    assert len(many) == 7 and many == one
+
+
 def raw(i, link, doc, hours=0):
     return {"id": str(i), "source_id": "s", "raw_title": "relamping", "raw_url": link,
             "extracted_json": json.dumps(doc), "fetched_at": NOW + timedelta(hours=hours)}
