@@ -248,9 +248,7 @@ def _saved_answers(rows: DataFrame, opening: str, closing: str, name: str) -> st
     return path
 
 
-_NOTICES_SQL = """
-WITH n AS (SELECT *, CAST(o_orderkey AS VARCHAR) AS key FROM orders
-  WHERE o_orderkey % 7 <> 4 AND o_orderkey % 10 NOT IN (6, 7))
+_NOTICE_ROWS_SQL = """
 SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'https://i/' || key WHEN o_orderkey % 5 = 1 THEN 'https://e/'
     || key WHEN o_orderkey % 17 <> 0 THEN 'https://ted.europa.eu/en/notice/' || key || '/html'
     ELSE 'https://api.ted.europa.eu/v3/notices/search' END AS raw_url,
@@ -264,6 +262,9 @@ SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'https://i/' || key WHEN o_orderkey % 5
   CASE WHEN o_orderkey % 6 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS scadenza
 FROM n
 """
+_NOTICES_SQL = f"""
+WITH n AS (SELECT *, CAST(o_orderkey AS VARCHAR) AS key FROM orders
+  WHERE o_orderkey % 7 <> 4 AND o_orderkey % 10 NOT IN (6, 7)){_NOTICE_ROWS_SQL}"""
 
 
 def _notice_columns(drafts: DataFrame) -> DataFrame:
@@ -273,11 +274,14 @@ def _notice_columns(drafts: DataFrame) -> DataFrame:
     )
 
 
-@query(_NOTICES_SQL)
+@query(f"""
+WITH n AS (SELECT *, CAST(o_orderkey AS VARCHAR) AS key FROM orders
+  WHERE o_orderkey % 7 <> 4){_NOTICE_ROWS_SQL}""")
 def notice_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts of the notices of all countries (``notice_files`` asks for one)."""
     # Through JSON text, so the query reads notices the way a saved answer holds them.
     notices = _notices(spark, sf_dir).select(F.from_json("notice", schemas.NOTICE).alias("n")).select("n.*")
-    return _notice_columns(feeds.notice_drafts(notices))
+    return _notice_columns(feeds.notice_drafts(notices, country=""))
 
 
 @query(f"{_NOTICES_SQL} WHERE o_orderdate >= TIMESTAMP '1998-01-01'")

@@ -66,6 +66,17 @@ def test_notice_feed(spark, tmp_path):
     assert dated(utc(2026, 3, 1)) == [False, False]
 
 
+def test_notice_feed_query_keeps_all_countries(spark, tmp_path):
+    from datetime import datetime
+
+    from tenderglow.plans.queries_sources import notice_feed
+
+    orders = [(k, 1.5, datetime(1998, 1, 2)) for k in range(70)]
+    frame = spark.createDataFrame(orders, "o_orderkey LONG, o_totalprice DOUBLE, o_orderdate TIMESTAMP")
+    frame.write.parquet(str(tmp_path / "orders.parquet"))
+    assert notice_feed(spark, str(tmp_path)).count() == 60  # all but those whose only code is not asked for
+
+
 def test_old_notice_feed(spark, tmp_path):
     doc = {
         "results": [
