@@ -239,12 +239,15 @@ def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _saved_answers(rows: DataFrame, opening: str, closing: str, name: str) -> str:
-    """Folder of answer files: the ``notice`` texts of a run of 1,000 keys each, so no answer is longer than that."""
+    """Folder of answer files: the ``notice`` texts of a run of 1,000 keys each, so no answer is longer than that.
+
+    All files lie in one folder, so that writing and listing them takes no folder for each.
+    """
     path = scratch_path(rows.sparkSession, name)
     answers = rows.groupBy(F.floor(F.col("k") / 1000).alias("answer")).agg(
         F.concat(F.lit(opening), F.array_join(F.collect_list("notice"), ","), F.lit(closing)).alias("value")
     )
-    answers.write.partitionBy("answer").text(path)
+    answers.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 

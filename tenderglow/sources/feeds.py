@@ -40,6 +40,15 @@ def _since(drafts: DataFrame, since: datetime | None) -> DataFrame:
     return drafts if since is None else drafts.filter(date.isNull() | (date >= V.at(since)))
 
 
+def _answers(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Files of one JSON value each, whatever lines it has.
+
+    A zero character cannot stand in JSON, so with it as line end a file is one line. The ``multiLine`` reader opens the file
+    again for each number that is read as text, to copy its digits; here they are copied from the line.
+    """
+    return spark.read.schema(schema).option("lineSep", "\0").json(path)
+
+
 # ---- framework lots ---------------------------------------------------------------------------------
 
 
@@ -47,8 +56,7 @@ def read_lot_feed(
     spark: SparkSession, path: str | list[str], keywords: Sequence[str] = R.LOT_KEYWORDS
 ) -> DataFrame:
     """Drafts of the yearly lot files (one JSON array each)."""
-    rows = spark.read.schema(schemas.LOT_FEED).option("multiLine", True).json(path)
-    return lot_drafts(rows, keywords)
+    return lot_drafts(_answers(spark, path, schemas.LOT_FEED), keywords)
 
 
 def lot_drafts(rows: DataFrame, keywords: Sequence[str] = R.LOT_KEYWORDS) -> DataFrame:
@@ -154,9 +162,7 @@ def read_notice_feed(
     if layout == "v3.0":
         pages = spark.read.text(path, wholetext=True).select(F.col("value").alias("payload"))
         return _since(old_notice_drafts(pages, **asked), since)
-    answers = (
-        spark.read.schema(f"notices array<{schemas.NOTICE}>").option("multiLine", True).json(path)
-    )
+    answers = _answers(spark, path, f"notices array<{schemas.NOTICE}>")
     notices = answers.select(F.explode("notices").alias("n")).select("n.*")
     return _since(notice_drafts(notices, **asked), since)
 

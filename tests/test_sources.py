@@ -66,6 +66,20 @@ def test_notice_feed(spark, tmp_path):
     assert dated(utc(2026, 3, 1)) == [False, False]
 
 
+def test_notice_numbers_are_read_with_their_file(spark, tmp_path):
+    """Digits stay as written, over lines and files, and no file is read again for a number."""
+    values = ["5493558.90", "12345678901234567890.123456789", "0.1e-3", "7"]
+    size = 0
+    for i in range(2):
+        notices = ",\n".join(f'{{"publication-number": "{i}-{k}",\n "total-value": {v}}}' for k, v in enumerate(values * 100))
+        size += (tmp_path / write(tmp_path / f"n{i}.json", '{"notices": [\n' + notices + "\n]}\n")).stat().st_size
+    statistics = spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics
+    before = sum(s.getBytesRead() for s in statistics())
+    found = feeds.read_notice_feed(spark, str(tmp_path)).collect()
+    assert sum(s.getBytesRead() for s in statistics()) - before < 3 * size
+    assert sorted(json.loads(r.extracted_json)["importo"] for r in found) == sorted(values * 200)
+
+
 def test_notice_feed_query_keeps_all_countries(spark, tmp_path):
     from datetime import datetime
 
