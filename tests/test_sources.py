@@ -66,6 +66,22 @@ def test_notice_feed(spark, tmp_path):
     assert dated(utc(2026, 3, 1)) == [False, False]
 
 
+def test_scanned_pages_do_not_depend_on_earlier_ones():
+    """What a task keeps of tags leaves every page's rows as they are when it is scanned alone."""
+    pages_ = [
+        '<table class="gare"><tr><td class="oggetto"><a href="/1">Uno</a><td class=data>1/2/2026</table>',
+        '<script>"<td class=\\"data\\">"</script><tr class="gara"><td class="oggetto"><a title="a>b" href="2">Due</a></td></tr>',
+        '<style><tr class="gara"></style><TR CLASS="gara x"><td class="oggetto"><a href="2">D</a></tr><p/>< td>',
+        '<tr class="gara"/><td class="oggetto"><a href="3">Tre</a></td></td ></tr a="x"><!-- <td class="data"> --><td class="data',
+        "", "<a href='4'>Quattro", '<textarea><td class="data"></textarea><article class="bando"><h2><a href="5">V</a></h2></article>',
+    ] * 2
+    for profile in listings.PROFILES.values():
+        kept = listings._Asked(profile)
+        together = [listings.scan_page(p, "https://x/l/", kept) for p in pages_]
+        assert together == [listings.scan_page(p, "https://x/l/", profile) for p in pages_]
+        assert len(kept.read) > 5
+
+
 def test_notice_numbers_are_read_with_their_file(spark, tmp_path):
     """Digits stay as written, over lines and files, and no file is read again for a number."""
     values = ["5493558.90", "12345678901234567890.123456789", "0.1e-3", "7"]
