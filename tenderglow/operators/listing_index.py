@@ -22,12 +22,23 @@ _FENCE = "range INT, rows LONG"
 def grams(text: Column, size: int = GRAM) -> Column:
     """Distinct runs of ``size`` characters of a lowered text; none if it is null or shorter."""
     places = F.sequence(F.lit(1), F.length(text) - size + 1)
-    found = F.transform(places, lambda i: F.substring(text, i, F.lit(size)))
+    # A cut at a place counts the characters before it; one pass of a pattern doesn't, but would stop inside a surrogate pair.
+    cuts = F.transform(places, lambda i: F.substring(text, i, F.lit(size)))
+    runs = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    found = F.when(text.rlike("[^\\x{0}-\\x{FFFF}]"), cuts).otherwise(runs)
     return F.when(F.length(text) >= size, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
 
 def write_postings(records: DataFrame, path: str, ranges: int = 200) -> None:
-    """One row per (field, gram, id), in files by ranges of the gram, so that a search reads few row groups."""
+    """One row per (field, gram, id), in files by ranges of the gram, so that a search reads few row groups.
+
+    There are ``ranges`` files, or as many as the session's shuffles have partitions if those are more. The records are dealt out
+    before their grams are made, as few files may give fewer splits than there are cores; in order, as that sorts faster.
+    """
+    spark = records.sparkSession
+    ranges = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = max(ranges, spark.sparkContext.defaultParallelism)
+    records = records.select("id", *FIELDS).repartitionByRange(dealt, "id").sortWithinPartitions("id")
     lists = F.array(*(F.struct(F.lit(f).alias("field"), grams(F.lower(f)).alias("grams")) for f in FIELDS))
     each = records.select("id", F.explode(lists).alias("f")).select("f.field", F.explode("f.grams").alias("gram"), "id")
     # The id in the key lets a gram that very many records have span several files.

@@ -417,6 +417,18 @@ def test_postings_find_what_the_scan_finds(spark, tmp_path):
     assert listing_index.candidates(records, postings.sparkSession.read.parquet(path), search.RecordFilters(q="roma")).isEmpty()
 
 
+def test_postings_of_odd_texts_lie_in_even_files(spark, tmp_path):
+    texts = ["a\U0001F600bc\nd", "\U0001F600\U0001F601", "aaaa", "ab", "", None, "è di\r\nÙ"] + [f"ente {i}" for i in range(200)]
+    records = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], "id INT, ente STRING, descrizione STRING, cig STRING")
+    path = str(tmp_path / "postings")
+    listing_index.write_postings(records.coalesce(1), path, 2)
+    stored = listing_index.read_postings(spark, path, "INT").collect()
+    wanted = {("ente", t.lower()[k:k + 3], i) for i, t in enumerate(texts) if t for k in range(len(t.lower()) - 2)}
+    assert {tuple(r) for r in stored} == wanted and len(stored) == len(wanted)
+    # As many files as the session's shuffles have partitions, not the two asked for.
+    assert len(list((tmp_path / "postings").glob("part-*.parquet"))) == 4
+
+
 def test_stored_listing_pages(spark, tmp_path):
     days = [utc(2026, 1, 1 + i % 5) if i % 4 else None for i in range(60)]
     records = frame(spark, [record(id=f"{i:02}", data_pubblicazione=d) for i, d in enumerate(days)], schemas.RECORD)
