@@ -92,45 +92,42 @@ def match_existing(batch: DataFrame, current: DataFrame) -> DataFrame:
     return joins.lookup(linked, by_cig, "cig", spread_by="link_bando")
 
 
-def _place(record: Column, opens: Column | bool) -> Column:
-    """A target: record id and whether the batch itself opens that record."""
-    flag = opens if isinstance(opens, Column) else F.lit(opens)
-    return F.when(record.isNotNull(), F.struct(record.alias("id"), flag.alias("opens")))
+def _links(pairs: DataFrame) -> DataFrame:
+    """One row per link of ``pairs``: its notices ``n``, its first one without CIG at ``z``, the first that names one, and its record."""
+    named = F.col("cig").isNotNull()
+    return pairs.groupBy("link_bando").agg(
+        F.sum("n").alias("n"), F.min(F.when(~named, F.col("t"))).alias("z"), F.min(F.when(named, F.struct("t", "cig"))).alias("named"),
+        F.max("id_by_link").alias("id_by_link"), F.max("held_cig").alias("held_cig"))
 
 
-def _brought(pairs: DataFrame, batch: DataFrame) -> DataFrame:
+def _brought(pairs: DataFrame, links: DataFrame, batch: DataFrame) -> DataFrame:
     """When which link could take which CIG, ``link_bando, cig, t, z, id_by_link``: at most one row per link and CIG.
 
     A link without a record opens one with the first notice whose CIG nobody holds, or with its first notice without a CIG, at
     ``z``; in that case its record takes the CIG of the next notice that has one. A stored record without CIG takes the first.
     CIGs that a stored record holds are out of the question.
     """
-    bare = pairs.filter(F.col("cig").isNull() & F.col("id_by_link").isNull()).select("link_bando", F.col("t").alias("z"))
-    named = pairs.filter(F.col("cig").isNotNull())
-    new = named.filter(F.col("id_by_link").isNull()).join(bare, "link_bando", "left")
-    early = new.filter(F.col("z").isNull() | (F.col("t") < F.col("z")))
-    # What comes after z: the first pairs of a link tell it, unless one of them was there before z and may return.
-    again = new.filter(F.col("t") < F.col("z")).select("link_bando").distinct()
-    returning = bare.join(again, "link_bando", "left_semi")
+    bare = links.filter(F.col("id_by_link").isNull() & F.col("z").isNotNull()).select("link_bando", "z")
+    new = pairs.filter(F.col("cig").isNotNull() & F.col("id_by_link").isNull()).select("link_bando", "cig", "t")
+    early = new.join(bare, "link_bando", "left").filter(F.col("z").isNull() | (F.col("t") < F.col("z")))
+    # What comes after z: the link's first CIG tells it, unless that was there before z and may return.
+    open_links = links.filter(F.col("link_bando").isNotNull() & F.col("named").isNotNull())
+    bare_named = open_links.filter(F.col("id_by_link").isNull() & F.col("z").isNotNull())
+    returning = bare_named.filter(F.col("named.t") < F.col("z")).select("link_bando", "z")
     seen = batch.filter(F.col("cig").isNotNull()).select("link_bando", "cig", _order().alias("t"))
     seen = seen.join(returning, "link_bando").filter(F.col("t") > F.col("z"))
-    plain = new.filter(F.col("t") > F.col("z")).join(again, "link_bando", "left_anti")
-    stored = named.filter(F.col("id_by_link").isNotNull() & F.col("held_cig").isNull())
+    seen = seen.groupBy("link_bando").agg(F.min(F.struct("t", "cig")).alias("named"), F.first("z").alias("z"))
+    plain = bare_named.filter(F.col("named.t") > F.col("z"))
+    stored = open_links.filter(F.col("id_by_link").isNotNull() & F.col("held_cig").isNull())
+    no_id, no_time = F.lit(None).cast("string"), F.lit(None).cast(pairs.schema["t"].dataType)
 
-    def first(rows: DataFrame, z: Column, record: Column) -> DataFrame:
-        return rows.groupBy("link_bando").agg(
-            F.min_by("cig", "t").alias("cig"), F.min("t").alias("t"), z.alias("z"), record.alias("id_by_link"))
+    def rows(of: DataFrame, z: Column, record: Column, at: str = "named.") -> DataFrame:
+        return of.select("link_bando", F.col(f"{at}cig").alias("cig"), F.col(f"{at}t").alias("t"), z.alias("z"), record.alias("id_by_link"))
 
-    none = F.first(F.lit(None).cast("string"))
-    parts = [
-        early.select("link_bando", "cig", "t", "z", F.lit(None).cast("string").alias("id_by_link")),
-        first(seen, F.first("z"), none), first(plain, F.first("z"), none),
-        first(stored, F.first(F.lit(None).cast(pairs.schema["t"].dataType)), F.first("id_by_link")),
-    ]
+    z = F.col("z")
+    out = rows(early, z, no_id, "").unionByName(rows(seen, z, no_id)).unionByName(rows(plain, z, no_id))
+    out = out.unionByName(rows(stored, no_time, F.col("id_by_link")))
     free = pairs.filter(F.col("cig").isNotNull() & F.col("id_by_cig").isNotNull()).select("cig").distinct()
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
     return out.join(free, "cig", "left_anti")
 
 
@@ -194,58 +191,55 @@ def _replayed(left: DataFrame, keep: Keep) -> DataFrame:
     return ordered.mapInArrow(run, left.select(*kept).schema).select(*left.columns)
 
 
-def resolve_targets(batch: DataFrame, current: DataFrame, keep: Keep = cut_lineage) -> DataFrame:
-    """(link, cig) pairs with the record their notices go to.
+def resolve_targets(batch: DataFrame, current: DataFrame, keep: Keep = cut_lineage) -> tuple[DataFrame, DataFrame]:
+    """What decides where notices go: a row per link (``link_bando, n, id_by_link, opened_at``) and one per held CIG (``cig, holder_id, holder``).
 
     Besides the current records this follows what the batch itself opens. A CIG is *held* by the first record that takes it; a
     notice without a record for its link joins the holder of its CIG when that came earlier, and opens a record otherwise. Once
-    opened, a link takes all its later notices. ``before`` is where notices ordered before
-    ``opened_at`` go, ``target`` where the rest goes, both as (``id``, ``opens``).
+    opened, at ``opened_at``, a link takes all its later notices. A holder is a stored record's id or the link that opens one.
 
     Each link opens at most one record and each CIG has one first holder, so this is a matching of links and CIGs by order of
     arrival (``first_come``), and equal to applying the notices one by one, whatever CIGs a link brings.
     """
     pairs = keep(match_existing(batch, current))
-    taken = keep(first_come(_brought(pairs, batch), keep))
-    holder = _place(F.coalesce("id_by_link", record_id(F.col("link_bando"))), F.col("id_by_link").isNull())
-    holders = taken.select("cig", holder.alias("holder"))
+    links = keep(_links(pairs))
+    taken = keep(first_come(_brought(pairs, links, batch), keep))
+    new = F.col("id_by_link").isNull()
+    none = F.lit(None).cast("string")
+    stored = pairs.filter(F.col("cig").isNotNull() & F.col("id_by_cig").isNotNull()).select("cig", F.col("id_by_cig").alias("holder_id"), none.alias("holder"))
+    holders = taken.select("cig", F.col("id_by_link").alias("holder_id"), F.when(new, F.col("link_bando")).alias("holder"))
     # A link without a record opens one with the CIG it takes before z, or at z.
-    opening = taken.filter(F.col("id_by_link").isNull() & (F.col("z").isNull() | (F.col("t") < F.col("z")))).select("link_bando", F.col("t").alias("o"))
-    bare = pairs.filter(F.col("cig").isNull() & F.col("id_by_link").isNull()).select("link_bando", F.col("t").alias("z"))
-    opened = keep(opening.join(bare, "link_bando", "full").select("link_bando", F.coalesce("o", "z").alias("opened_at")))
-    known, by_cig = _place(F.col("id_by_link"), False), _place(F.col("id_by_cig"), False)
-    own = F.when(F.col("opened_at").isNotNull(), _place(record_id(F.col("link_bando")), True))
-    placed = joins.lookup(pairs, holders, "cig", spread_by="link_bando").join(opened, "link_bando", "left")
-    return placed.select(
-        "link_bando",
-        "cig",
-        "n",
-        "opened_at",
-        F.coalesce(known, by_cig, F.col("holder")).alias("before"),
-        F.coalesce(known, own, by_cig, F.col("holder")).alias("target"),
-    )
+    opening = taken.filter(new & (F.col("z").isNull() | (F.col("t") < F.col("z")))).select("link_bando", F.col("t").alias("o"))
+    opened = F.when(new, F.coalesce("o", "z")).alias("opened_at")
+    return links.join(opening, "link_bando", "left").select("link_bando", "n", "id_by_link", opened), holders.unionByName(stored.distinct())
+
+
+def _placed(batch: DataFrame, current: DataFrame, hot_rows: int, keep: Keep) -> DataFrame:
+    """The batch with ``_id``, the stored record that takes a notice, or else ``_link``, the link whose record the batch opens.
+
+    A link's own row settles its notices unless they come before it has a record; only those look up who holds their CIG.
+    Both parts start from the same join, whose shuffle Spark runs once. Links of very many notices do not meet in one task.
+    """
+    links, holders = (keep(df) for df in resolve_targets(batch, current, keep))
+    out = joins.attach(batch, links, "link_bando", group_size="n", spread_by="raw_id", hot_rows=hot_rows)
+    # One expression, so that neither part is filtered ahead of the join.
+    settled = F.when(F.col("id_by_link").isNotNull(), True).when(_order() >= F.col("opened_at"), True).otherwise(F.col("cig").isNull())
+    opener = F.when(F.col("opened_at").isNotNull(), F.col("link_bando"))
+    by_link = out.filter(settled).select(
+        *batch.columns, F.col("id_by_link").alias("_id"), F.when(F.col("id_by_link").isNull(), opener).alias("_link"))
+    rest = joins.lookup(out.filter(~settled), holders, "cig", spread_by="raw_id")
+    by_cig = rest.select(
+        *batch.columns, F.col("holder_id").alias("_id"), F.when(F.col("holder_id").isNull(), F.coalesce("holder", opener)).alias("_link"))
+    return by_link.unionByName(by_cig)
 
 
 def assign_targets(
     batch: DataFrame, current: DataFrame, hot_rows: int = joins.HOT_ROWS, keep: Keep = cut_lineage
 ) -> DataFrame:
-    """The batch with ``target_id`` and whether that record is ``opened`` by the batch.
-
-    Pairs repeated very often do not meet in one task.
-    """
-    pair = F.to_json(F.struct("link_bando", "cig"))
-    targets = keep(resolve_targets(batch, current, keep).withColumn("_pair", pair))
-    out = joins.attach(
-        batch.withColumn("_pair", pair),
-        targets.select("_pair", "n", "opened_at", "before", "target"),
-        "_pair",
-        group_size="n",
-        spread_by="raw_id",
-        hot_rows=hot_rows,
-    )
-    early = F.col("opened_at").isNull() | (_order() < F.col("opened_at"))
-    own = F.coalesce(F.when(early, F.col("before")), F.col("target"))
-    return out.select(*batch.columns, own["id"].alias("target_id"), own["opens"].alias("opened"))
+    """The batch with ``target_id`` and whether that record is ``opened`` by the batch."""
+    out = _placed(batch, current, hot_rows, keep)
+    opened = F.when(F.col("_id").isNotNull(), False).when(F.col("_link").isNotNull(), True)
+    return out.select(*batch.columns, F.coalesce("_id", record_id(F.col("_link"))).alias("target_id"), opened.alias("opened"))
 
 
 def _tag_mask(tags: Column, vocabulary: tuple[str, ...]) -> Column:

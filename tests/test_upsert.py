@@ -296,3 +296,29 @@ def test_collisions_are_reported(spark):
 def test_no_current_rows_and_no_batch(spark):
     left, right = frames(spark, [], [])
     assert U.upsert(left, right, NOW).filter(F.lit(True)).collect() == []
+
+
+def test_only_the_pairs_are_kept_a_row_per_pair(spark):
+    """What decides about notices is kept per link and per CIG, not again per pair, and the notices are shuffled by link once."""
+    batch = [_bare(i, f"l{i % 40}", f"k{i % 37}" if i % 3 else None, i % 5) for i in range(3000)]
+    pairs, kept = len({(n["link_bando"], n["cig"]) for n in batch}), []
+
+    def keep(df):
+        out = cut_lineage(df)
+        kept.append((out.count(), out.columns))
+        return out
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = U.assign_targets(*frames(spark, [], batch), keep=keep)
+        rows = placed.select("raw_id", "target_id").collect()
+        plan = placed.select("raw_id", "target_id")
+        plan.collect()
+        assert "ReusedExchange" in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Besides the pairs only the candidates of the matching, which lose a row per link and CIG in each round.
+    assert [c for n, c in kept if n >= pairs and "id_by_cig" in c] and sum(n >= pairs for n, _ in kept) == 1
+    want = {n["raw_id"]: key for key, v in targets_one_by_one([], batch).items() for n in v}
+    assert {r.raw_id: r.target_id for r in rows} == want
