@@ -258,11 +258,13 @@ def _tags_of(mask: Column, vocabulary: tuple[str, ...]) -> Column:
 
 
 def fold_batch(batch: DataFrame, tag_rules: R.TagRules = R.TagRules()) -> DataFrame:
-    """One row per target: first, first usable, largest and last values of its notices."""
+    """One row per target: first, first usable, largest and last values of its notices.
+
+    A record that the batch opens is grouped by its link (``_link``) and gets its longer id afterwards.
+    """
     order = _order()
     tagged = F.size("tag_tecnico") > 0
     aggregates = [
-        F.max("opened").alias("opened"),
         F.count("*").alias("n_rows"),
         F.min_by(
             F.struct(
@@ -284,9 +286,10 @@ def fold_batch(batch: DataFrame, tag_rules: R.TagRules = R.TagRules()) -> DataFr
         F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in GAP_DATES
     ]
     return (
-        batch.groupBy("target_id")
+        batch.groupBy("_id", "_link")
         .agg(*aggregates)
         .withColumn("batch_tags", _tags_of(F.col("tag_mask"), tag_rules.vocabulary))
+        .withColumn("opened", F.when(F.col("_id").isNotNull(), False).when(F.col("_link").isNotNull(), True))
         .drop("tag_mask")
     )
 
@@ -303,7 +306,7 @@ def merge(current: DataFrame, folded: DataFrame, now: datetime) -> DataFrame:
 
 
 def _updated(current: DataFrame, folded: DataFrame, now: datetime) -> DataFrame:
-    f = folded.select(F.col("target_id"), F.struct(*folded.columns).alias("f"))
+    f = folded.select(F.col("_id").alias("target_id"), F.struct(*folded.columns).alias("f"))
     hit = F.col("target_id").isNotNull()
     now_col = V.at(now)
 
@@ -348,7 +351,7 @@ def insert_new(folded: DataFrame, now: datetime) -> DataFrame:
     made: dict[str, Column] = {c: F.col(c) for c in (*GAP_TEXTS, *GAP_DATES, *R.FLAGS)}
     made |= {c: F.col(f"first.{c}") for c in OPENING}
     made |= {
-        "id": F.col("target_id"),
+        "id": record_id(F.col("_link")),
         "importo": F.coalesce("first.importo", "importo"),
         "stato_procedurale": state,
         "tipo_novita": novelty(
@@ -368,6 +371,25 @@ def insert_new(folded: DataFrame, now: datetime) -> DataFrame:
     )
 
 
+def new_keys(current: DataFrame, folded: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """What a folded batch adds to the keys of the records: the records it opens, and the CIGs (``id, cig``) that stored ones take."""
+    bare = current.filter(T.filled(F.col("cig")).isNull()).select("id")
+    given = folded.filter(~F.col("opened") & F.col("cig").isNotNull()).select(F.col("_id").alias("id"), "cig")
+    return insert_new(folded.filter("opened"), now), given.join(bare, "id")
+
+
+def folded(
+    batch: DataFrame,
+    current: DataFrame,
+    *,
+    tag_rules: R.TagRules = R.TagRules(),
+    hot_rows: int = joins.HOT_ROWS,
+    keep: Keep = cut_lineage,
+) -> DataFrame:
+    """The batch, a stored table, as one kept row per record that it opens or goes to."""
+    return keep(fold_batch(_placed(batch, current, hot_rows, keep), tag_rules))
+
+
 def upsert(
     batch: DataFrame,
     current: DataFrame,
@@ -382,5 +404,4 @@ def upsert(
     Notices, key pairs, targets and the folded batch are each read several times; ``keep`` stores them, so that each is
     computed once and the record table is scanned three times (by link, by CIG, for the merge).
     """
-    placed = assign_targets(keep(batch), current, hot_rows, keep)
-    return merge(current, keep(fold_batch(placed, tag_rules)), now)
+    return merge(current, folded(keep(batch), current, tag_rules=tag_rules, hot_rows=hot_rows, keep=keep), now)

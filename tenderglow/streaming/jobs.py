@@ -151,16 +151,15 @@ def upsert_batch(
     same moment for the same batch.
     """
 
-    def store(records: DataFrame, known: DataFrame | None, batch_id: int) -> None:
+    def store(records: DataFrame, fresh: DataFrame, batch_id: int) -> None:
         held = records.withColumn("bucket", bucket_of(F.col("id"), buckets)).repartition("bucket")
         held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{table}/records")
-        fresh = _keys_of(records) if known is None else _keys_of(records).join(_keys_of(known), ["kind", "key", "id"], "left_anti")
         fresh.write.mode("overwrite").parquet(f"{table}/keys/batch={batch_id}")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if seed is not None and not _exists(spark, f"{table}/keys/batch=-1/_SUCCESS"):
-            store(seed, None, -1)
+            store(seed, _keys_of(seed), -1)
         ranks = sources.select(F.col("id").alias("source_id"), "source_priority_rank")
         ranked = batch.join(ranks, "source_id", "left").withColumn(
             "source_priority_rank", F.coalesce("source_priority_rank", F.lit(R.UNKNOWN_RANK))
@@ -168,21 +167,25 @@ def upsert_batch(
         notices = cut_lineage(normalise(ranked, rules))
         before = f"{table}/before/batch={batch_id}"
         if not _exists(spark, f"{before}/_SUCCESS"):
-            own = notices.select(upsert.record_id(F.col("link_bando")).alias("id"))
+            own = notices.select(bucket_of(upsert.record_id(F.col("link_bando")), buckets).alias("b"))
             if _exists(spark, f"{table}/keys"):
                 asked = _keys_of(notices.select("link_bando", "cig", F.lit("").alias("id"))).select("kind", "key").distinct()
                 known = spark.read.schema(_KEYS).parquet(f"{table}/keys").filter(F.col("batch") < batch_id)
-                own = own.unionByName(known.join(asked, ["kind", "key"], "left_semi").select("id"))
+                known = known.select("kind", "key", bucket_of(F.col("id"), buckets).alias("b"))
+                own = own.unionByName(known.join(asked, ["kind", "key"], "left_semi").select("b"))
             # At most as many numbers as there are buckets; Spark reads only their folders.
-            touched = [r.b for r in own.select(bucket_of(F.col("id"), buckets).alias("b")).distinct().collect()]
+            touched = [r.b for r in own.distinct().collect()]
             held = spark.createDataFrame([], schemas.RECORD)
             if _exists(spark, f"{table}/records"):
                 stored = spark.read.schema(f"{schemas.RECORD}, bucket INT").parquet(f"{table}/records")
                 held = stored.filter(F.col("bucket").isin(touched)).drop("bucket")
             held.write.mode("overwrite").parquet(before)
         current = spark.read.schema(schemas.RECORD).parquet(before)
-        merged = upsert.upsert(notices, current, now_of(batch_id), tag_rules=rules.tags, keep=cut_lineage)
-        store(cut_lineage(merged), current, batch_id)
+        now = now_of(batch_id)
+        folded = upsert.folded(notices, current, tag_rules=rules.tags, keep=cut_lineage)
+        opened, given = upsert.new_keys(current, folded, now)
+        fresh = _keys_of(opened).unionByName(given.select(F.lit("cig").alias("kind"), F.col("cig").alias("key"), "id"))
+        store(upsert.merge(current, folded, now), fresh, batch_id)
         _remove(spark, f"{table}/before/batch={batch_id - 1}")  # the stream will not return to it
 
     return write

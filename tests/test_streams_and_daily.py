@@ -255,3 +255,15 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
 
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(Session())
+
+
+def test_stream_upsert_stores_no_second_copy_of_the_records(spark, tmp_path, monkeypatch):
+    table, kept = str(tmp_path / "records"), []
+    monkeypatch.setattr(jobs, "cut_lineage", lambda df: kept.append(cut_lineage(df)) or kept[-1])
+    seed = frame(spark, [{"id": f"r{i}", "link_bando": f"l{i}", "cig": "" if i == 7 else None, "first_seen_at": NOW} for i in range(50)], schemas.RECORD)
+    write = jobs.upsert_batch(table, sources(spark), lambda n: NOW + timedelta(days=n), seed=seed, buckets=1)
+    write(frame(spark, [raw(1, "l7", {"cig": "CIG0000007"}), raw(2, "new", {"cig": "CIG0000002"}), raw(3, "l8", {"ente": "A"})], schemas.RAW_RECORD), 0)
+    assert kept and max(df.count() for df in kept) < 50 and jobs.read_records(spark, table).count() == 51
+    new = hashlib.sha256(b"record|new").hexdigest()
+    keys = spark.read.parquet(f"{table}/keys").filter("batch = 0").select("kind", "key", "id").collect()
+    assert sorted(map(tuple, keys)) == [("cig", "CIG0000002", new), ("cig", "CIG0000007", "r7"), ("link_bando", "new", new)]
