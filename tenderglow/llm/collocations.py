@@ -1,13 +1,14 @@
 """Phrase collocations by Rabin-Karp fingerprints.
 
 Texts are cut into pieces at punctuation and line ends, and pieces into words. Prefix polynomials over word hashes give the
-fingerprint of every run of words by two subtractions. A pass per phrase length counts fingerprints: equal ones of a batch are
-added up in numpy, then by Spark. A phrase is frequent only if both its parts that are one word shorter are, so a pass counts only
-runs whose parts passed; which passed is told by a bit table of fixed size, a filter that lets some rare runs through and no
-frequent one be lost. A last pass gives each frequent fingerprint a pointer to one occurrence (the text's hash and a place in
-it) and the least and greatest value of a second, unrelated hash. Where that shows that different phrases share a fingerprint,
-their occurrences are counted again by their text. Only frequent phrases ever become text, read at their pointers and checked
-against the fingerprint.
+fingerprint of every run of words by two subtractions. A pass per phrase length counts fingerprints: equal ones of a task are
+added up in numpy, then by ranges of fingerprints, which Spark deals out. Most runs are different ones, so what moves are sorted
+fingerprints as packed differences, a row per task and range. A phrase is frequent only if both its parts that are one word
+shorter are, so a pass counts only runs whose parts passed; which passed is told by a bit table of fixed size, a filter that lets
+some rare runs through and no frequent one be lost. A last pass gives each frequent fingerprint a pointer (the least hash of a
+text that has it, so that few texts serve all) and the least and greatest value of a second, unrelated hash. Where that shows
+that different phrases share a fingerprint, their occurrences are counted again by their text. Only frequent phrases ever become
+text, found by their fingerprint in the texts pointed at; a bit table keeps the other texts from moving.
 
 Defined cases: a null text has no words; a null language is ``und``, and so counts with rows that say ``und``; repeated rows
 count as often as they stand; equal scores are ordered by count, then by the phrase's bytes; an empty table gives no rows; no
@@ -32,6 +33,9 @@ from tenderglow.session import cut_lineage
 FILTER_BITS = 1 << 27
 #: Bits of that table for each frequent phrase while it is smaller.
 BITS_EACH = 32
+#: Fingerprints that a task holds before it hands them on, and words of the whole table for each range of fingerprints.
+HELD = 1 << 19
+RANGE_WORDS = 1 << 21
 
 _BLANK, _CUT = np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[[0x20, 0x09]] = True
@@ -46,7 +50,7 @@ _TURNS = np.arange(64, dtype=np.uint64) * _STEP
 _PIECE = 1 << 20
 
 _WORD = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
-_FOUND = "print long, low long, high long, code long, at long, start long, end long"
+_PACKED = "part int, rows int, packed binary"
 
 
 class Prefix:
@@ -176,23 +180,92 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def _count(size: int, known, bits: int):
-    """Fingerprints of a batch with their counts."""
+def _merged(held: list[tuple[np.ndarray, ...]], how: tuple) -> tuple[np.ndarray, ...]:
+    """Distinct fingerprints in order, each with its other columns put together by the functions ``how``."""
+    prints, *others = (np.concatenate(column) for column in zip(*held, strict=True))
+    order, begin = _groups(prints)
+    if not len(order):
+        return prints, *others
+    return prints[order[begin]], *(f.reduceat(x[order], begin) for f, x in zip(how, others, strict=True))
+
+
+def _pack(prints: np.ndarray, *others: np.ndarray) -> bytes:
+    """Sorted fingerprints as differences, and their other columns; bytes of equal weight stand together, so that zeros vanish."""
+    columns = [np.diff(prints, prepend=np.uint64(0)), *others]
+    return pa.compress(b"".join(x.view(np.uint8).reshape(-1, 8).T.tobytes() for x in columns), codec="zstd", asbytes=True)
+
+
+def _unpack(rows: int, packed: bytes, width: int) -> tuple[np.ndarray, ...]:
+    data = np.frombuffer(pa.decompress(packed, decompressed_size=rows * width * 8, codec="zstd"), np.uint8).reshape(width, 8, rows)
+    steps, *others = (np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in data)
+    return np.cumsum(steps, dtype=np.uint64), *others
+
+
+def _dealt(columns: tuple[np.ndarray, ...], bits: int, ranges: int) -> pa.RecordBatch:
+    """A packed row for each of the 2**``ranges`` ranges of fingerprints that has any."""
+    parts = columns[0] >> np.uint64(bits - ranges) if ranges else np.zeros(len(columns[0]), np.uint64)
+    begin = np.flatnonzero(np.diff(parts, prepend=~parts[:1]))
+    bounds = [*begin.tolist(), len(parts)]
+    packed = [_pack(*(x[a:b] for x in columns)) for a, b in zip(bounds, bounds[1:], strict=False)]
+    return pa.RecordBatch.from_pydict({
+        "part": pa.array(parts[begin].astype(np.int32)), "rows": pa.array(np.diff(bounds).astype(np.int32)), "packed": pa.array(packed, pa.binary())})
+
+
+def _handed_on(found: Iterator[tuple[np.ndarray, ...]], how: tuple, bits: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """What a task finds, put together as far as ``HELD`` fingerprints allow, and packed."""
+    held, count = [], 0
+    for columns in found:
+        held.append(columns)
+        count += len(columns[0])
+        if count >= HELD:
+            held = [_merged(held, how)]
+            count = len(held[0][0])
+            if count >= HELD // 2:
+                yield _dealt(held[0], bits, ranges)
+                held, count = [], 0
+    if count:
+        yield _dealt(_merged(held, how), bits, ranges)
+
+
+_SUM, _RANGE = (np.add,), (np.minimum, np.maximum, np.minimum)
+
+
+def _together(packed: DataFrame, how: tuple, least: int, names: list[str], ranges: int) -> DataFrame:
+    """The packed fingerprints of all tasks put together range by range: ``print`` and ``names``, of which the first is at least ``least``."""
+    def put(rows: list) -> pa.RecordBatch:
+        columns = _merged([_unpack(n, x, len(how) + 1) for n, x in rows], how)
+        keep = columns[1] >= np.uint64(least)
+        return pa.RecordBatch.from_pydict({name: pa.array(x[keep].view(np.int64)) for name, x in zip(["print", *names], columns, strict=True)})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}  # a task has one range or a few, of bounded size, so that Spark need not sort
+        for batch in batches:
+            for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "rows", "packed")), strict=True):
+                held.setdefault(part, []).append(row)
+        while held:
+            yield put(held.popitem()[1])
+
+    schema = ", ".join(f"{name} long" for name in ["print", *names])
+    return packed.repartition(1 << ranges, "part").mapInArrow(run, schema)
+
+
+def _count(size: int, known, bits: int, ranges: int):
+    """Fingerprints of a task with their counts, packed."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         table = None if known is None else known.value
         for batch in batches:
             for _, _, _, phrases in _texts(batch.column("text"), batch.column("code").to_numpy(), bits, checked=False):
                 prints, counts = np.unique(phrases.prints(phrases.passing(size, table), size), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"print": pa.array(prints.view(np.int64)), "n": pa.array(counts)})
+                yield prints, counts.astype(np.uint64)
 
-    return run
+    return lambda batches: _handed_on(found(batches), _SUM, bits, ranges)
 
 
-def _point(longest: int, known, bits: int):
-    """Fingerprints of the filter that a batch has, with the range of the second hash and a pointer to one occurrence."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _point(longest: int, known, bits: int, ranges: int):
+    """Fingerprints of the filter that a task has, with the range of the second hash and the least hash of a text, packed."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
-            ats = batch.column("at").to_numpy()
+            ats = batch.column("at").to_numpy().view(np.uint64)
             for row, _, _, phrases in _texts(batch.column("text"), batch.column("code").to_numpy(), bits):
                 for size in range(1, longest + 1):
                     first = np.flatnonzero(phrases.room >= size)
@@ -201,18 +274,17 @@ def _point(longest: int, known, bits: int):
                     first, prints = first[keep], prints[keep]
                     if not len(first):
                         break
-                    checks, (order, begin) = phrases.checks(first, size), _groups(prints)
-                    lead = first[order[begin]]
-                    doc = phrases.doc[lead]
-                    yield pa.RecordBatch.from_pydict({
-                        "print": pa.array(prints[order[begin]].view(np.int64)),
-                        "low": pa.array(np.minimum.reduceat(checks[order], begin)),
-                        "high": pa.array(np.maximum.reduceat(checks[order], begin)),
-                        "code": pa.array(phrases.langs[lead].view(np.int64)),
-                        "at": pa.array(ats[row + doc]),
-                        "start": pa.array(phrases.start[lead] - phrases.offsets[doc]),
-                        "end": pa.array(phrases.end[lead + size - 1] - phrases.offsets[doc]),
-                    })
+                    checks = phrases.checks(first, size).view(np.uint64)
+                    yield _merged([(prints, checks, checks, ats[row + phrases.doc[first]])], _RANGE)
+
+    return lambda batches: _handed_on(found(batches), _RANGE, bits, ranges)
+
+
+def _pointed(known):
+    """The texts whose hash is in the filter."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(inside(known.value, batch.column("at").to_numpy().view(np.uint64))))
 
     return run
 
@@ -246,45 +318,48 @@ def _recount(size: int, known, bits: int):
 
 
 def _read(bits: int):
-    """Phrases at their pointers: each must have the fingerprint that points there."""
+    """Phrases of the texts that are pointed at: each must have the fingerprint that points there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, sizes, prints, counts, words = [], [], [], [], []
-            for text, pointers in zip(batch.column("text").to_pylist(), batch.column("pointers"), strict=True):
-                low = tokens.LOWER[np.frombuffer(text.encode(), np.uint8)].tobytes()
-                for p in pointers.as_py():
-                    codes.append(p["code"])
-                    sizes.append(p["size"])
-                    prints.append(p["print"])
-                    counts.append(p["n"])
-                    words.append(_spell(low[p["start"]:p["end"]]))
-            if not words:
-                continue
-            phrase, code = pa.array(words, pa.string()), np.array(codes, np.int64)
-            size, seen = np.array(sizes), np.zeros(len(words), np.uint64)
-            for row, last, _, found in _texts(phrase, code, bits):
-                first = np.searchsorted(found.doc, np.arange(last - row))
-                for s in np.unique(size[row:last]):
-                    own = np.flatnonzero(size[row:last] == s)
-                    seen[row + own] = found.prints(first[own], int(s))
-            if (seen.view(np.int64) != np.array(prints, np.int64)).any():
-                raise RuntimeError("a pointer leads to another phrase")
-            yield pa.RecordBatch.from_pydict({"code": pa.array(code), "size": pa.array(size.astype(np.int32)), "phrase": phrase, "n": pa.array(counts, pa.int64())})
+            pointers = batch.column("pointers")
+            for row, last, part, phrases in _texts(batch.column("text"), batch.column("code").to_numpy(), bits):
+                wanted: dict[int, list] = {}
+                for doc, of_text in enumerate(pointers.slice(row, last - row).to_pylist()):
+                    for p in of_text:
+                        wanted.setdefault(p["size"], []).append((doc, p["print"], p["n"]))
+                low = tokens.LOWER[part].tobytes()
+                for size, asked in wanted.items():
+                    docs, prints, counts = (np.array(x, np.int64) for x in zip(*asked, strict=True))
+                    first = np.flatnonzero(phrases.room >= size)
+                    seen = phrases.prints(first, size).view(np.int64)
+                    keep = np.isin(seen, prints)
+                    first, seen = first[keep], seen[keep]
+                    places = dict(zip(zip(phrases.doc[first].tolist(), seen.tolist(), strict=True), first.tolist(), strict=True))
+                    lead = np.array([places.get(x, -1) for x in zip(docs.tolist(), prints.tolist(), strict=True)])
+                    if (lead < 0).any():
+                        raise RuntimeError("a pointer leads to a text without its phrase")
+                    words = [_spell(low[a:b]) for a, b in zip(phrases.start[lead], phrases.end[lead + size - 1], strict=True)]
+                    yield pa.RecordBatch.from_pydict({
+                        "code": pa.array(phrases.langs[lead].view(np.int64)), "size": pa.array(np.full(len(lead), size, np.int32)),
+                        "phrase": pa.array(words, pa.string()), "n": pa.array(counts)})
 
     return run
 
 
-def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, bits: int = 64, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, bits: int = 64, filter_bits: int = FILTER_BITS,
+                     range_words: int = RANGE_WORDS) -> tuple[DataFrame, DataFrame]:
     """All phrases of up to ``longest`` words that stand at least ``least`` times (``lang, size, phrase, n``), and ``lang, n`` of all words."""
     spark = text_session(docs.sparkSession)
     source = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    source = source.select("lang", "text", F.xxhash64("lang").alias("code"), F.xxhash64("text").alias("at"))
+    source = source.select("lang", "text", F.xxhash64("lang").alias("code"), F.xxhash64("text", "lang").alias("at"))
     totals = cut_lineage(source.groupBy("lang", "code").agg(F.sum(F.regexp_count("text", F.lit(_WORD)).cast("long")).alias("n")))
     source = source.drop("lang")
+    words = totals.agg(F.sum("n")).first()[0] or 0
+    ranges = min(bits, (words // range_words).bit_length())
     levels, known = [], None
     for size in range(1, longest + 1):
-        found = source.mapInArrow(_count(size, known, bits), "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
-        levels.append(cut_lineage(found.where(F.col("n") >= least).withColumn("size", F.lit(size))))
+        found = source.select("text", "code").mapInArrow(_count(size, known, bits, ranges), _PACKED)
+        levels.append(cut_lineage(_together(found, _SUM, least, ["n"], ranges).withColumn("size", F.lit(size))))
         if known is not None:
             known.unpersist()
         rows = levels[-1].count()
@@ -293,8 +368,7 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, bits:
         known = spark.sparkContext.broadcast(build_filter(levels[-1], _table_bits(rows, filter_bits)))
     kept = cut_lineage(reduce(DataFrame.unionByName, levels))
     known = spark.sparkContext.broadcast(build_filter(kept, _table_bits(kept.count(), filter_bits)))
-    found = source.mapInArrow(_point(longest, known, bits), _FOUND).groupBy("print").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"), *(F.first(c).alias(c) for c in ("code", "at", "start", "end")))
+    found = _together(source.mapInArrow(_point(longest, known, bits, ranges), _PACKED), _RANGE, 0, ["low", "high", "at"], ranges)
     pointed = cut_lineage(kept.join(found, "print"))
     # One fingerprint may even be that of phrases of two lengths; then the place that it points to has one of them only.
     sizes = pointed.groupBy("print").agg(F.count("*").alias("sizes"))
@@ -307,11 +381,12 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, bits:
             counted = source.mapInArrow(_recount(size, shared, bits), "code long, print long, phrase string, n long")
             counted = counted.join(several.where(F.col("size") == size), "print", "left_semi").groupBy("code", "phrase").agg(F.sum("n").alias("n"))
             again.append(cut_lineage(counted.where(F.col("n") >= least).select("code", F.lit(size).alias("size"), "phrase", "n")))
-    pointers = pointed.groupBy("at").agg(F.collect_list(F.struct("code", "size", "print", "n", "start", "end")).alias("pointers"))
-    pointers = cut_lineage(pointers)
-    # A text's copies are one text here, and only texts that hold a pointer move.
-    chosen = source.select("at", "text").join(pointers.select("at"), "at", "left_semi").groupBy("at").agg(F.first("text").alias("text"))
-    phrases = chosen.join(pointers, "at").select("text", "pointers").mapInArrow(_read(bits), "code long, size int, phrase string, n long")
+    pointers = cut_lineage(pointed.groupBy("at").agg(F.collect_list(F.struct("size", "print", "n")).alias("pointers")))
+    # A text's copies in a language are one text here, and only texts that hold a pointer (and few others) move.
+    ats = pointers.select(F.col("at").alias("print"))
+    known = spark.sparkContext.broadcast(build_filter(ats, _table_bits(pointers.count(), filter_bits)))
+    chosen = source.mapInArrow(_pointed(known), source.schema).groupBy("at").agg(F.first("text").alias("text"), F.first("code").alias("code"))
+    phrases = chosen.join(pointers, "at").select("text", "code", "pointers").mapInArrow(_read(bits), "code long, size int, phrase string, n long")
     phrases = reduce(DataFrame.unionByName, again, phrases)
     return cut_lineage(phrases.join(totals.select("lang", "code"), "code").select("lang", "size", "phrase", "n")), totals.select("lang", "n")
 
@@ -345,11 +420,12 @@ def score_phrases(phrases: DataFrame, totals: DataFrame, longest: int = 5) -> Da
     return best.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
 
 
-def collocations(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000, bits: int = 64, filter_bits: int = FILTER_BITS) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000, bits: int = 64, filter_bits: int = FILTER_BITS,
+                 range_words: int = RANGE_WORDS) -> DataFrame:
     """The first ``top`` phrases of each language by score: ``lang, rank, phrase, a, l, r, n, score``."""
     from pyspark.sql import Window
 
-    phrases, totals = frequent_phrases(docs, longest, least, bits, filter_bits)
+    phrases, totals = frequent_phrases(docs, longest, least, bits, filter_bits, range_words)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = score_phrases(phrases, totals, longest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

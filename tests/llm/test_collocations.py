@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tenderglow.llm import collocations
@@ -61,3 +63,32 @@ def test_products_beyond_64_bits(spark):
     totals = spark.createDataFrame([("en", 9 * 10 ** 15)], "lang string, n long")
     row = collocations.score_phrases(phrases, totals).collect()[0]
     assert (row.l, row.r, row.score) == (big, big - 7, 1000 * (big - 9) * 9 * 10 ** 15 // (big * (big - 7)))
+
+
+def test_ranges(spark):
+    """Many ranges of fingerprints; a text that stands in two languages has phrases in each."""
+    rows = TEXTS * 2 + TEXTS[:3] + [("fr", t) for lang, t in TEXTS if lang == "en"] * 3
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    for bits in (64, 6):
+        found = [tuple(r) for r in collocations.collocations(docs, least=3, bits=bits, range_words=9).collect()]
+        assert sorted(found) == sorted(wanted(rows, 3))
+
+
+def test_counts_move_packed(monkeypatch):
+    """Of a run that stands once a task hands on about 7 bytes (a row of two longs had 16), in parts of bounded size."""
+    draw = np.random.default_rng(1)
+    texts = [" ".join(map(str, draw.integers(0, 1 << 30, 2000))) for _ in range(60)] + ["a b " * 50] * 2
+    batches = [pa.RecordBatch.from_pydict({"text": texts[i:i + 10], "code": pa.array([5] * len(texts[i:i + 10]), pa.int64())}) for i in range(0, len(texts), 10)]
+    for held in (1 << 19, 50_000):
+        monkeypatch.setattr(collocations, "HELD", held)
+        dealt = list(collocations._count(2, None, 64, 3)(iter(batches)))
+        count, moved = Counter(), 0
+        for batch in dealt:
+            moved += batch.nbytes
+            for part, rows, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "rows", "packed")), strict=True):
+                prints, counts = collocations._unpack(rows, packed, 2)
+                assert (prints >> np.uint64(61) == part).all() and (np.diff(prints) > 0).all()
+                count.update(dict(zip(prints.tolist(), counts.tolist(), strict=True)))
+        assert len(dealt) == (1 if held > 200_000 else 3)
+        assert len(count) == 60 * 1999 + 2 and sorted(count.values())[-2:] == [98, 100]
+        assert moved < 7.5 * len(count)
